@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, secrets
+from . import packing, secrets, simhash, urls, warc
 from .common import table
 
 
@@ -16,8 +17,67 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, limit=2)
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the URL query.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+#: Words in host names of unwanted sites; pages of such hosts make the list.
+UNWANTED = "casino|bets|pills"
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, _, _ = urls.split_url(F.col("url"))
+    listed = pages.where(host.rlike(UNWANTED)).select(urls.canonical_url(F.col("url")).alias("canonical"))
+    return urls.judge_urls(pages, listed, URL_RULES)
+
+
+OP10_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&') AS tail
+  FROM cut
+), urls AS (
+  SELECT page_id, host, path,
+         regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN tail <> '' THEN '?' || tail ELSE '' END AS canonical
+  FROM parts
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fitting AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+), listed AS (
+  SELECT DISTINCT canonical FROM urls WHERE regexp_matches(host, 'casino|bets|pills')
+)
+SELECT u.page_id, u.host, u.path, f.rule,
+       coalesce(f.verdict, CASE WHEN u.canonical <> '' AND l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l ON u.canonical = l.canonical
+"""
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op5_warc": op5_warc,
+    "op10_urls": op10_urls,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_urls": OP10_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, urls, warc
+from . import ann, leaks, licenses, packing, pii, quality, secrets, simhash, urls, warc
 from .common import table
 
 
@@ -22,10 +22,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 #: The rules of the URL query.
 URL_RULES = (
     ("block", "com", "/en/"),
@@ -73,11 +94,23 @@ SELECT u.page_id, u.host, u.path, f.rule,
 FROM urls u LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l ON u.canonical = l.canonical
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
+    "op9_ann": op9_ann,
     "op10_urls": op10_urls,
 }
 ORACLES = {"op10_urls": OP10_SQL}

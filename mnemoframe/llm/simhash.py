@@ -129,3 +129,69 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, limit: int = BITS) -> D
 
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Sizes of the sketch that near_duplicate_groups completes SimHash with: least hashes kept, and those used as keys.
+SKETCH = 128
+KEYS = 16
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, sketch): the fingerprint and the SKETCH least distinct shingle hashes, in order."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(h) for h in hashes], "sketch": [np.unique(h.view(np.int64))[:SKETCH] for h in hashes]})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(hashed, "doc_id long, fp long, sketch array<long>")
+
+
+def resemblance(a: Column, b: Column) -> Column:
+    """Jaccard similarity from two sketches: exact if neither was cut, else over the SKETCH least of the union."""
+    both = F.array_sort(F.array_union(a, b))
+    least = F.when((F.size(a) < SKETCH) & (F.size(b) < SKETCH), both).otherwise(F.slice(both, 1, SKETCH))
+    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = BITS) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts whose ``words``-word shingles are alike.
+
+    Fingerprints within ``limit`` bits link first. A similarity of 0.8 is about ten bits of 64, which no segment
+    survives, so one document of each such group is then compared by least shingle hashes: documents that share
+    one of their KEYS least are candidates, and those whose sketches agree to ``similarity`` are linked. A hash
+    that over PAIRED documents share makes no pairs; its documents are compared with the first of them instead.
+    Texts without words form one group. Repeated rows are returned each; a null doc_id has no group (null).
+    """
+    rows = materialise(sketches(docs, words), "sketches")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    groups = connected_components(linked(distinct.select("fp"), limit))
+    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    ids = named.groupBy("group").agg(F.min("least").alias("first"))
+    first = materialise(named.select("fp", "group").join(ids, "group").select("fp", "first"), "first")
+    # One row of each group: that of the first document.
+    kept = rows.join(first, "fp").where("doc_id = first and size(sketch) > 0").groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
+    kept = materialise(kept, "kept")
+    keys = kept.select("doc_id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("b")).where("n > 1")
+    shared = materialise(keys.join(sizes, "key"), "keys")
+    cold = shared.where(F.col("n") <= PAIRED)
+    pairs = cold.select("key", F.col("doc_id").alias("a")).join(cold.select("key", F.col("doc_id").alias("b")), "key").where("a > b").select("a", "b")
+    stars = shared.where((F.col("n") > PAIRED) & (F.col("doc_id") > F.col("b"))).select(F.col("doc_id").alias("a"), "b")
+    candidates = pairs.unionByName(stars).distinct()
+    sides = [kept.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    alike = candidates.join(sides[0], "a").join(sides[1], "b").where(resemblance(F.col("sketch_a"), F.col("sketch_b")) >= similarity).select("a", "b")
+    merged = connected_components(alike)
+    final = first.join(merged.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    return rows.select("doc_id", "fp").join(final, "fp").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that with the least doc_id.
+
+    doc_id names a document: rows that repeat it are one document, of which one row stays. Rows without a
+    doc_id are kept.
+    """
+    groups = near_duplicate_groups(docs.where("doc_id is not null"), words, similarity)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

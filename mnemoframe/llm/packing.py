@@ -7,6 +7,7 @@ at or above the piece's length. When a new bin is needed and all are in use, the
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -60,8 +61,9 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    path, full = public_tokenizers.path(f"{name}.json"), []
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -69,7 +71,9 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.asarray(full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if not full:  # seldom needed and large
+                full.append(Tokenizer.from_file(path))
+            return np.asarray(full[0].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts = text.split(" ")
         # An empty part is a double blank; a part that starts or ends with white space is a mixed run.
         if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):

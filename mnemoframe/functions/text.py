@@ -97,9 +97,9 @@ def _number(word: Column) -> Column:
     return F.when(word.rlike(r"^\d+$"), word.try_cast("int")).otherwise(F.try_element_at(table, word))
 
 
-def temporal_window(question: Column, reference: Column) -> tuple[Column, Column]:
-    """(first day, last day) that a question means, given a reference date as text; nulls if none."""
-    q, ref = F.lower(question), epoch_day(reference)
+def temporal_window(question: Column, ref: Column) -> tuple[Column, Column]:
+    """(first day, last day) that a question means, given the epoch day it was asked on; nulls if none."""
+    q = F.lower(question)
     count = r"(\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|few|couple(?:\s+of)?|several)"
     unit = r"(day|week|month|year)s?"
     days, pads = (F.create_map(*(F.lit(x) for pair in t.items() for x in pair)) for t in (UNIT_DAYS, UNIT_PADS))
@@ -138,7 +138,7 @@ def temporal_window(question: Column, reference: Column) -> tuple[Column, Column
 
 
 def has_temporal_intent(question: Column) -> Column:
-    return temporal_window(question, F.lit("2000/01/15"))[0].isNotNull()
+    return temporal_window(question, F.lit(10971))[0].isNotNull()
 
 
 def normalize_answer(text: Column) -> Column:

@@ -21,7 +21,10 @@ def evidence_ranks(ranked: DataFrame, evidence: DataFrame, keys: Sequence[str] =
 
 
 def _recalls(ks: Sequence[int]):
-    return [F.avg(F.size(F.filter("ranks", lambda r, k=k: r <= k)) / F.col("n_evidence")).alias(f"recall_{k}") for k in ks]
+    def recall(k: int):
+        return F.avg(F.size(F.filter("ranks", lambda r: r <= k)) / F.col("n_evidence")).alias(f"recall_{k}")
+
+    return [recall(k) for k in ks]
 
 
 def retrieval_metrics(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as T
+from mnemoframe.functions.helpers import saved
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -34,11 +35,16 @@ def build_index(docs: DataFrame, fields: dict[str, float], group: Column | None
     shuffle. An empty or null field adds nothing.
     """
     grp = F.lit(0) if group is None else group
-    parts = [F.transform(T.tokens(F.col(f)), lambda t, w=w: F.struct(t.alias("token"), F.lit(float(w)).alias("w"))) for f, w in fields.items()]
+
+    def weighted(field: str, weight: float) -> Column:
+        return F.transform(T.tokens(F.col(field)), lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
+
+    parts = [weighted(f, w) for f, w in fields.items()]
     rows = docs.select(grp.alias("grp"), F.col(doc_id).alias("doc_id"), F.concat(*parts).alias("words"))
     rows = rows.withColumn("doc_len", F.size("words"))
     counted = rows.select("grp", "doc_id", "doc_len", F.explode("words").alias("x")).groupBy("grp", F.col("x.token").alias("token"), "doc_id").agg(F.sum("x.w").alias("tf"), F.max("doc_len").alias("doc_len"))
-    return Index(counted, rows.groupBy("grp").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")))
+    # Written once: every term of every tier reads it again.
+    return Index(saved(counted), saved(rows.groupBy("grp").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -56,7 +62,8 @@ def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool =
     """(grp, query_id, doc_id, score, matched): negated BM25 of every document that has a term; lower is better.
 
     ``queries`` has query_id, an array column ``terms`` and, for grouped indexes, grp. With ``prefix`` a term
-    stands for all tokens that start with it: its counts are summed per document before scoring.
+    stands for all tokens that start with it: its counts are summed per document before scoring. Scores have nine
+    decimals, so that equal documents tie whatever order the sums ran in.
     """
     q = queries.select(F.col("grp") if "grp" in queries.columns else F.lit(0).alias("grp"), "query_id", F.explode(F.array_distinct(F.col(terms))).alias("term"))
     wanted = q.select("grp", "term").distinct()
@@ -73,7 +80,7 @@ def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool =
     weights = weights.select("grp", "term", "avg_len", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = per_doc.join(weights, ["grp", "term"]).withColumn("gain", gain).select("grp", "term", "doc_id", "gain").join(_small(q), ["grp", "term"])
-    return scored.groupBy("grp", "query_id", "doc_id").agg((-F.sum("gain")).alias("score"), F.count("*").alias("matched"))
+    return scored.groupBy("grp", "query_id", "doc_id").agg(F.round(-F.sum("gain"), 9).alias("score"), F.count("*").alias("matched"))
 
 
 def top_k(scores: DataFrame, k: int, order: list[Column], by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:
@@ -87,7 +94,7 @@ def search(queries: DataFrame, index: Index, k: int = 20, keep: Callable[[DataFr
 
     The first tier that returns rows answers; ``keep`` filters documents before the limit.
     """
-    asked = queries.select(*[c for c in ("grp",) if c in queries.columns], "query_id", T.plain_terms(F.col("question")).alias("plain"), T.content_terms(F.col("question")).alias("content"))
+    asked = saved(queries.select(*[c for c in ("grp",) if c in queries.columns], "query_id", T.plain_terms(F.col("question")).alias("plain"), T.content_terms(F.col("question")).alias("content")))
     tiers = []
     if not loose_only:
         every = bm25(asked, index, "plain")
@@ -210,10 +217,10 @@ def prf_terms(feedback: DataFrame, n: int = 5) -> DataFrame:
 def prf_search(queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int = 10, fusion: str = "rerank", pin: int = 3, feedback: int = 3) -> DataFrame:
     """Search, widen the question by terms of the first results, search again; the first ``pin`` stay, the rest is
     ordered by reciprocal ranks in both lists. ``docs`` has (doc_id, text)."""
-    first = search_hybrid(queries, index, vectors, max(3 * k, 30), fusion)
+    first = saved(search_hybrid(queries, index, vectors, max(3 * k, 30), fusion))
     seen = first.where(F.col("rank") <= feedback).join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "question"), "query_id")
     more = prf_terms(seen).select("query_id", F.array_join("terms", " ").alias("more"))
-    wider = queries.join(more, "query_id", "left").withColumn("question", F.concat_ws(" ", "question", "more")).drop("more")
+    wider = saved(queries.join(more, "query_id", "left").withColumn("question", F.concat_ws(" ", "question", "more")).drop("more"))
     second = search_hybrid(wider, index, vectors, max(3 * k, 30), fusion)
     both = fuse_rrf(first, second).select("query_id", "doc_id", "score")
     joined = both.join(first.where(F.col("rank") <= pin).select("query_id", "doc_id", F.col("rank").alias("pinned")), ["query_id", "doc_id"], "left")

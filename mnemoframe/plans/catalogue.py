@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, log_queries  # noqa: F401
+from . import graph_queries, log_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -195,7 +195,7 @@ def truncate_bytes(text: Column, limit: int, marker: str = "") -> Column:
     """The longest prefix of at most ``limit`` UTF-8 bytes, with a marker if anything was cut."""
     data = F.encode(text, "UTF-8")
     # A cut inside a character leaves one replacement character at the end.
-    cut = F.regexp_replace(F.decode(F.substring(data, 1, limit), "UTF-8"), "\ufffd+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(data, 1, limit).cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(cut, F.lit(marker)))
 
 

@@ -138,11 +138,11 @@ def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int, same_group: b
                     q = np.array([block[i][1] for i in which], dtype=np.float64)
                     norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
                     cos = np.divide(q @ m.T, norms, out=np.zeros_like(norms), where=norms > 0)
-                    ids = part["doc_id"].to_numpy()
+                    ids = np.array(part["doc_id"].tolist())
                     for row, i in enumerate(which):
                         best = np.lexsort((ids, -cos[row]))[:k]
                         best = best[cos[row][best] > 0]
-                        yield pd.DataFrame({"query_id": [block[i][0]] * len(best), "doc_id": ids[best], "score": cos[row][best]})
+                        yield pd.DataFrame({"query_id": [block[i][0]] * len(best), "doc_id": ids[best].tolist(), "score": cos[row][best]})
 
         part = vectors.select("doc_id", "vec").where("vec is not null").mapInPandas(ranked, schema)
         out = part if out is None else out.unionByName(part)

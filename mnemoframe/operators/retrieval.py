@@ -142,7 +142,8 @@ def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int, same_group: b
                     for row, i in enumerate(which):
                         best = np.lexsort((ids, -cos[row]))[:k]
                         best = best[cos[row][best] > 0]
-                        yield pd.DataFrame({"query_id": [block[i][0]] * len(best), "doc_id": ids[best].tolist(), "score": cos[row][best]})
+                        if len(best):
+                            yield pd.DataFrame({"query_id": [block[i][0]] * len(best), "doc_id": ids[best].tolist(), "score": cos[row][best]})
 
         part = vectors.select("doc_id", "vec").where("vec is not null").mapInPandas(ranked, schema)
         out = part if out is None else out.unionByName(part)

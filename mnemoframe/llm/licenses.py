@@ -195,6 +195,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         ready = Templates(texts)
         for batch in batches:
             rows = [(key, *hit) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in scan_text(text or "", ready, coverage)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, "doc_id long, license string, coverage double, start long, end long")

@@ -260,7 +260,8 @@ def sample_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS, most_docs: int =
             for text in batch["text"]:
                 rng = np.random.default_rng(len(text))
                 rows += [(w, [{"s": s, "e": e, "kind": k} for s, e, k in spans]) for w, spans in training_windows(text, rng)]
-            yield pd.DataFrame(rows, columns=["window", "spans"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["window", "spans"])
 
     made = some.mapInPandas(cut, "window string, spans array<struct<s:int,e:int,kind:string>>")
     return [(r["window"], [tuple(x) for x in r["spans"]]) for r in made.orderBy(F.xxhash64("window"), "window").limit(limit).collect()]

@@ -41,8 +41,9 @@ PLACEHOLDERS = frozenset("changeme example placeholder none null true false unde
 _LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _BARE = r"\$?\{?[^\s\"'`;,<>(){}\[\]+|]+\}?"
 _VALUE = rf"(?:{_LITERAL}|{_BARE})"
+#: A name begins where a word does, or long words would be read again from each character.
 STATEMENT = re.compile(
-    rf"(?P<quote>[\"']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!:|//))[ \t]*(?P<value>{_VALUE}(?:[ \t]*\+[ \t]*{_VALUE})*)", re.A
+    rf"(?P<quote>[\"']?)(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!:|//))[ \t]*(?P<value>{_VALUE}(?:[ \t]*\+[ \t]*{_VALUE})*)", re.A
 )
 FLAG = re.compile(rf"(?<!\S)--(?P<name>[A-Za-z][\w\-]*)[ \t]+(?P<value>{_LITERAL}|[^\s\"'-][^\s\"']*)", re.A)
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<value>[^<>\n]+)</(?P=name)>", re.A)

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from mnemoframe.functions.helpers import saved
 from mnemoframe.operators.ledger import reduce_latest, redact, valid_events
 from mnemoframe.sources.logs import map_hook_events, with_hash
 
@@ -58,21 +60,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 
 
 def keep_latest(log: DataFrame, path: str, checkpoint: str, key: str, version: str, buckets: int = 32):
-    """Keep the reduced table under ``path`` current: each batch is reduced with the buckets that it touches, so an
-    older revision that comes late never wins. Buckets are written beside the old ones and named by a new version
-    folder; readers take the last version that is complete (its ``_SUCCESS``)."""
+    """Keep the reduced table under ``path`` current: a batch is reduced together with the buckets that it touches, and
+    only those are written again, so an older revision that comes late never wins. A batch that runs again gives the
+    same rows, as reducing is idempotent."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
         try:
-            current = spark.read.schema(fresh.schema).parquet(f"{path}/v{batch_id - 1}") if batch_id else None
-        except Exception:
-            current = None
-        both = fresh if current is None else current.unionByName(fresh)
-        out = reduce_latest(both, [key, "bucket"], version)
-        # A batch that runs again writes the same rows to the same version.
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{batch_id}")
+            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched)))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch finds no table
+                raise
+        # Computed in full before the buckets that it reads are replaced.
+        out = saved(reduce_latest(fresh, [key, "bucket"], version))
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -137,6 +137,11 @@ KEYS = 16
 #: Estimates from cut sketches that are this near to the limit are counted again on the whole sets; three
 #: standard errors of a similarity of 0.8 over SKETCH hashes.
 MARGIN = 0.106
+#: Finer keys of documents whose hashes many share: BANDS keys of ROWS minima each. A pair with similarity 0.8 has
+#: none in common with a probability of 0.0001.
+BANDS = 32
+ROWS = 6
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 #: Ids of texts to count again up to which they are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -179,41 +184,97 @@ def exactly_alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: flo
     return both.mapInPandas(check, "a long, b long").distinct()
 
 
+def alike_pairs(candidates: DataFrame, kept: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b) that are alike: by their sketches where these decide, else by whole shingle sets."""
+    sides = [kept.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    cut = (F.size("sketch_a") == SKETCH) | (F.size("sketch_b") == SKETCH)
+    estimated = candidates.join(sides[0], "a").join(sides[1], "b").select("a", "b", resemblance(F.col("sketch_a"), F.col("sketch_b")).alias("alike"), cut.alias("cut"))
+    estimated = materialise(estimated.where(F.col("alike") >= F.when(F.col("cut"), similarity - MARGIN).otherwise(similarity)), "estimated")
+    close = F.col("cut") & (F.col("alike") < similarity + MARGIN)
+    sure, unsure = estimated.where(~close).select("a", "b"), estimated.where(close).select("a", "b")
+    return materialise(sure.unionByName(exactly_alike(unsure, docs, words, similarity)), "alike")
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """BANDS keys, each from ROWS minima of the sketch under as many mixings of its hashes."""
+    mixed = sketch.astype(np.int64).view(np.uint64)[None, :] ^ _MIXERS[:, None]
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    least = mixed.min(axis=1).reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, component) with one key and different components.
+
+    Keys whose members are of one component make none. Of others, the members outside the key's largest component
+    meet all members: what is linked already is never paired again, and no pair between components is left out.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    bodies = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("body"), F.count("*").alias("components"))
+    open_ = materialise(members.join(bodies.where("components > 1").drop("components"), "key"), "open")
+    rest = open_.where("component <> body").select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
+    every = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+    pairs = rest.join(every, "key").where("of_a <> of_b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = BITS) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose ``words``-word shingles are alike.
 
     Fingerprints within ``limit`` bits link first. A similarity of 0.8 is about ten bits of 64, which no segment
-    survives, so one document of each such group is then compared by least shingle hashes: documents that share
-    one of their KEYS least are candidates, and those that agree to ``similarity`` are linked: by their sketches
-    where these decide, by their whole shingle sets where the estimate is near the limit. A hash
-    that over PAIRED documents share makes no pairs; its documents are compared with the first of them instead.
+    survives, so all distinct texts are then compared by least shingle hashes: documents that share one of their
+    KEYS least are candidates, and those that agree to ``similarity`` are linked. The documents of a
+    hash that over PAIRED share are first compared with the one among them whose hashes are the most shared: the
+    text that copies have in common. Where such a hash still has documents of several groups, these get finer
+    keys (BANDS of ROWS minima), and all pairs of one finer key between different groups are compared.
     Texts without words form one group. Repeated rows are returned each; a null doc_id has no group (null).
     """
-    rows = materialise(sketches(docs, words), "sketches")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rows = materialise(sketches(docs, words).withColumn("same", F.xxhash64("sketch")), "sketches")
+    # Equal texts are one row from here on: that of the least doc_id.
+    texts = materialise(rows.groupBy("fp", "same").agg(F.min("doc_id").alias("text_id")), "texts")
+    distinct = materialise(texts.groupBy("fp").agg(F.min("text_id").alias("least")), "distinct")
     groups = connected_components(linked(distinct.select("fp"), limit))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     ids = named.groupBy("group").agg(F.min("least").alias("first"))
-    first = materialise(named.select("fp", "group").join(ids, "group").select("fp", "first"), "first")
-    # One row of each group: that of the first document.
-    kept = rows.join(first, "fp").where("doc_id = first and size(sketch) > 0").groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
-    kept = materialise(kept, "kept")
+    first = named.select("fp", "group").join(ids, "group").select("fp", "first")
+    close_bits = materialise(texts.join(first, "fp").where("text_id <> first").select(F.col("text_id").alias("a"), F.col("first").alias("b")), "close")
+    kept = rows.where("size(sketch) > 0").join(texts.withColumnRenamed("text_id", "doc_id"), ["fp", "same", "doc_id"], "left_semi")
+    kept = materialise(kept.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "kept")
     keys = kept.select("doc_id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("b")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(keys.join(sizes, "key"), "keys")
     cold = shared.where(F.col("n") <= PAIRED)
     pairs = cold.select("key", F.col("doc_id").alias("a")).join(cold.select("key", F.col("doc_id").alias("b")), "key").where("a > b").select("a", "b")
-    stars = shared.where((F.col("n") > PAIRED) & (F.col("doc_id") > F.col("b"))).select(F.col("doc_id").alias("a"), "b")
-    candidates = pairs.unionByName(stars).distinct()
-    sides = [kept.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    cut = (F.size("sketch_a") == SKETCH) | (F.size("sketch_b") == SKETCH)
-    estimated = candidates.join(sides[0], "a").join(sides[1], "b").select("a", "b", resemblance(F.col("sketch_a"), F.col("sketch_b")).alias("alike"), cut.alias("cut"))
-    estimated = materialise(estimated.where(F.col("alike") >= F.when(F.col("cut"), similarity - MARGIN).otherwise(similarity)), "estimated")
-    close = F.col("cut") & (F.col("alike") < similarity + MARGIN)
-    alike = estimated.where(~close).select("a", "b").unionByName(exactly_alike(estimated.where(close).select("a", "b"), docs, words, similarity))
-    merged = connected_components(alike)
-    final = first.join(merged.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.select("doc_id", "fp").join(final, "fp").select("doc_id", "component_id")
+    weights = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    crowded = materialise(shared.where(F.col("n") > PAIRED).select("key", "doc_id").join(weights, "doc_id"), "crowded")
+    pivots = crowded.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", F.negative("doc_id"))).alias("pivot"))
+    stars = crowded.join(pivots, "key").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b"))
+    alike = alike_pairs(pairs.unionByName(stars).distinct(), kept, docs, words, similarity)
+    merged = connected_components(close_bits.unionByName(alike))
+
+    def placed(members: DataFrame) -> DataFrame:
+        return members.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    several = placed(crowded.select("key", "doc_id")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    unsettled = materialise(crowded.join(several, "key", "left_semi").select("doc_id").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+
+        def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "keys": [band_keys(s) for s in batch["sketch"]]})
+
+        fine = kept.join(unsettled, "doc_id", "left_semi").mapInPandas(finer, "doc_id long, keys array<long>")
+        fine = materialise(fine.select("doc_id", F.explode("keys").alias("key")), "fine")
+        alike = alike.unionByName(alike_pairs(cross_pairs(placed(fine)), kept, docs, words, similarity))
+        merged = connected_components(close_bits.unionByName(alike))
+    final = texts.join(merged.withColumnRenamed("node", "text_id"), "text_id", "left").select("fp", "same", F.coalesce("component", "text_id").alias("component_id"))
+    return rows.select("doc_id", "fp", "same").join(final, ["fp", "same"]).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -82,3 +82,49 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 40)] + [(3, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {i: 5 for i in range(10, 40)}
+
+
+def plain_groups(texts, similarity, k=5):
+    """Groups over all pairs of whole shingle sets, as the least index reachable."""
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    top = list(range(len(sets)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def test_large_groups_whose_copies_are_unlike_each_other(spark):
+    """Copies link only through their original, which has the greatest id, and through copies of copies."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    original, passage = fresh(400), fresh(120)
+    copies = [edited(rng, original, 7) for _ in range(150)]
+    further = [edited(rng, copies[i], 7) for i in range(20)]
+    sharing = [fresh(60) + passage + fresh(60) for _ in range(100)]
+    again = [edited(rng, sharing[i], 2) for i in range(10)]
+    short = [passage[:50] + fresh(9) for _ in range(80)]
+    texts = [" ".join(w) for w in copies + further + sharing + again + short + [original]]
+    want = plain_groups(texts, 0.8)
+    assert want[-1] == 0 and len({want[i] for i in range(170)}) == 1
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want

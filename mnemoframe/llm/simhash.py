@@ -227,9 +227,10 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = BITS) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose ``words``-word shingles are alike.
 
-    Fingerprints within ``limit`` bits link first. A similarity of 0.8 is about ten bits of 64, which no segment
-    survives, so all distinct texts are then compared by least shingle hashes: documents that share one of their
-    KEYS least are candidates, and those that agree to ``similarity`` are linked. The documents of a
+    Fingerprints within ``limit`` bits are candidates and no more: they count repeated shingles, so texts of one
+    repeated line have the same whatever else they hold. A similarity of 0.8 is about ten bits of 64, which no
+    segment survives, so all distinct texts are compared by least shingle hashes too: documents that share one of
+    their KEYS least are candidates. Only candidates that agree to ``similarity`` are linked. The documents of a
     hash that over PAIRED share are first compared with the one among them whose hashes are the most shared: the
     text that copies have in common. Where such a hash still has documents of several groups, these get finer
     keys (BANDS of ROWS minima), and all pairs of one finer key between different groups are compared.
@@ -239,11 +240,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     # Equal texts are one row from here on: that of the least doc_id.
     texts = materialise(rows.groupBy("fp", "same").agg(F.min("doc_id").alias("text_id")), "texts")
     distinct = materialise(texts.groupBy("fp").agg(F.min("text_id").alias("least")), "distinct")
-    groups = connected_components(linked(distinct.select("fp"), limit))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    ids = named.groupBy("group").agg(F.min("least").alias("first"))
-    first = named.select("fp", "group").join(ids, "group").select("fp", "first")
-    close_bits = materialise(texts.join(first, "fp").where("text_id <> first").select(F.col("text_id").alias("a"), F.col("first").alias("b")), "close")
+    ends = linked(distinct.select("fp"), limit).join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same_fp = texts.join(distinct, "fp").where("text_id <> least").select(F.col("text_id").alias("x"), F.col("least").alias("y"))
+    close_bits = ends.select("x", "y").unionByName(same_fp).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     kept = rows.where("size(sketch) > 0").join(texts.withColumnRenamed("text_id", "doc_id"), ["fp", "same", "doc_id"], "left_semi")
     kept = materialise(kept.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "kept")
     keys = kept.select("doc_id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
@@ -255,8 +254,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     crowded = materialise(shared.where(F.col("n") > PAIRED).select("key", "doc_id").join(weights, "doc_id"), "crowded")
     pivots = crowded.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", F.negative("doc_id"))).alias("pivot"))
     stars = crowded.join(pivots, "key").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b"))
-    alike = alike_pairs(pairs.unionByName(stars).distinct(), kept, docs, words, similarity)
-    merged = connected_components(close_bits.unionByName(alike))
+    alike = alike_pairs(close_bits.unionByName(pairs).unionByName(stars).distinct(), kept, docs, words, similarity)
+    merged = connected_components(alike)
 
     def placed(members: DataFrame) -> DataFrame:
         return members.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -272,7 +271,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         fine = kept.join(unsettled, "doc_id", "left_semi").mapInPandas(finer, "doc_id long, keys array<long>")
         fine = materialise(fine.select("doc_id", F.explode("keys").alias("key")), "fine")
         alike = alike.unionByName(alike_pairs(cross_pairs(placed(fine)), kept, docs, words, similarity))
-        merged = connected_components(close_bits.unionByName(alike))
+        merged = connected_components(alike)
     final = texts.join(merged.withColumnRenamed("node", "text_id"), "text_id", "left").select("fp", "same", F.coalesce("component", "text_id").alias("component_id"))
     return rows.select("doc_id", "fp", "same").join(final, ["fp", "same"]).select("doc_id", "component_id")
 

@@ -128,3 +128,19 @@ def test_large_groups_whose_copies_are_unlike_each_other(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_texts_of_one_repeated_line_are_not_alike(spark):
+    """One line repeated gives all texts the same fingerprint; only those that share the rest are near-duplicates."""
+    rng = random.Random(3)
+    line = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+    rest = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randint(60, 150))] for _ in range(12)]
+    rest += [edited(rng, rest[i], 1) for i in range(4)]
+    texts = [" ".join(line * rng.randint(60, 100) + r) for r in rest]
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    assert max(bin(a ^ b).count("1") for a in fps for b in fps) <= 2
+    want = plain_groups(texts, 0.8)
+    assert want == [*range(12), *range(4)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want

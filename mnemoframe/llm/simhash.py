@@ -8,6 +8,7 @@ key; the longer chains prune before the full Hamming check.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -137,11 +138,8 @@ KEYS = 16
 #: Estimates from cut sketches that are this near to the limit are counted again on the whole sets; three
 #: standard errors of a similarity of 0.8 over SKETCH hashes.
 MARGIN = 0.106
-#: Finer keys of documents whose hashes many share: BANDS keys of ROWS minima each. A pair with similarity 0.8 has
-#: none in common with a probability of 0.0001.
-BANDS = 32
-ROWS = 6
-_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+#: Counters by which the shingles of texts in crowded hashes are put in order, the rare ones first.
+COUNTERS = 1 << 20
 #: Ids of texts to count again up to which they are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -195,33 +193,87 @@ def alike_pairs(candidates: DataFrame, kept: DataFrame, docs: DataFrame, words:
     return materialise(sure.unionByName(exactly_alike(unsure, docs, words, similarity)), "alike")
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """BANDS keys, each from ROWS minima of the sketch under as many mixings of its hashes."""
-    mixed = sketch.astype(np.int64).view(np.uint64)[None, :] ^ _MIXERS[:, None]
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    least = mixed.min(axis=1).reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, doc_id, component) with one key and different components.
+def whole_sets(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, component, hashes) of the members (doc_id, component): all distinct shingle hashes of each text."""
+    if members.count() <= BROADCAST_IDS:
+        members = F.broadcast(members)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").select("doc_id", "component", "text")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["doc_id", "component"]].assign(hashes=[np.unique(shingle_hashes(t, words).view(np.int64)) for t in batch["text"]])
+
+    return materialise(texts.mapInPandas(hashed, "doc_id long, component long, hashes array<long>"), "sets")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, component, size, keys): the rarest hashes of each set, of which two alike sets share at least one.
+
+    Any order that is one for all sets loses no pair, so counters that several hashes share may give it: alike sets
+    have at least ``similarity`` of each in common, and the first common one is no later than the last key.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for hashes in batch["hashes"]:
+                np.add.at(total, _counter(np.asarray(hashes, dtype=np.int64)), 1)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": used, "n": total[used]})
+
+    # At most COUNTERS rows, whatever the input.
+    counts = sets.select("hashes").mapInPandas(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(COUNTERS, dtype=np.int64)
+    totals[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(totals)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes, keys = [], []
+            for hashes in batch["hashes"]:
+                hashes = np.asarray(hashes, dtype=np.int64)
+                sizes.append(len(hashes))
+                order = np.lexsort((hashes, shared.value[_counter(hashes)]))
+                keys.append(hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]])
+            yield batch[["doc_id", "component"]].assign(size=sizes, keys=keys)
+
+    return sets.mapInPandas(rarest, "doc_id long, component long, size int, keys array<long>")
+
+
+def cross_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, place, size, doc_id, component) with one key and different components.
 
     Keys whose members are of one component make none. Of others, the members outside the key's largest component
     meet all members: what is linked already is never paired again, and no pair between components is left out.
+    Hashes before the first common one of two sets are not shared, so ``place`` and ``size`` rule out pairs whose
+    rest is too short for ``similarity``; alike sets pass at their first common key.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     bodies = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("body"), F.count("*").alias("components"))
     open_ = materialise(members.join(bodies.where("components > 1").drop("components"), "key"), "open")
-    rest = open_.where("component <> body").select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-    every = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-    pairs = rest.join(every, "key").where("of_a <> of_b")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    a = open_.where("component <> body").select("key", *(F.col(c).alias(f"{c}_a") for c in ("place", "size", "doc_id", "component")))
+    b = open_.select(F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in ("place", "size", "doc_id", "component")))
+    needed = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
+    fits = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= needed
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+    return pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
+def alike_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            good = [n >= similarity * (len(x) + len(y) - n) for n, x, y in zip(common, batch["x"], batch["y"], strict=True)]
+            yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    return materialise(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long").distinct(), "alike-sets")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = BITS) -> DataFrame:
@@ -232,8 +284,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     segment survives, so all distinct texts are compared by least shingle hashes too: documents that share one of
     their KEYS least are candidates. Only candidates that agree to ``similarity`` are linked. The documents of a
     hash that over PAIRED share are first compared with the one among them whose hashes are the most shared: the
-    text that copies have in common. Where such a hash still has documents of several groups, these get finer
-    keys (BANDS of ROWS minima), and all pairs of one finer key between different groups are compared.
+    text that copies have in common. Where such a hash still has documents of several groups, these are compared by
+    an exact prefix filter: all pairs between different groups that share one of the rarest of their whole sets.
     Texts without words form one group. Repeated rows are returned each; a null doc_id has no group (null).
     """
     rows = materialise(sketches(docs, words).withColumn("same", F.xxhash64("sketch")), "sketches")
@@ -263,14 +315,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     several = placed(crowded.select("key", "doc_id")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     unsettled = materialise(crowded.join(several, "key", "left_semi").select("doc_id").distinct(), "unsettled")
     if not unsettled.isEmpty():
-
-        def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "keys": [band_keys(s) for s in batch["sketch"]]})
-
-        fine = kept.join(unsettled, "doc_id", "left_semi").mapInPandas(finer, "doc_id long, keys array<long>")
-        fine = materialise(fine.select("doc_id", F.explode("keys").alias("key")), "fine")
-        alike = alike.unionByName(alike_pairs(cross_pairs(placed(fine)), kept, docs, words, similarity))
+        sets = whole_sets(placed(unsettled), docs, words)
+        rare = materialise(prefixes(sets, similarity).select("doc_id", "component", "size", F.posexplode("keys").alias("place", "key")), "rare")
+        alike = alike.unionByName(alike_sets(cross_pairs(rare, similarity), sets, similarity))
         merged = connected_components(alike)
     final = texts.join(merged.withColumnRenamed("node", "text_id"), "text_id", "left").select("fp", "same", F.coalesce("component", "text_id").alias("component_id"))
     return rows.select("doc_id", "fp", "same").join(final, ["fp", "same"]).select("doc_id", "component_id")

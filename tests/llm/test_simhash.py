@@ -144,3 +144,21 @@ def test_texts_of_one_repeated_line_are_not_alike(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_truncated_copies_of_crowded_sections(spark):
+    """Texts put together from common sections, and their first four fifths: what a pair shares, many others have."""
+    rng = random.Random(8)
+    sections = [[f"w{rng.randrange(10**9)}" for _ in range(150)] for _ in range(16)]
+    picks = []
+    while len(picks) < 120:
+        pick = rng.sample(range(16), 6)
+        if all(len(set(pick) & set(p)) < 5 for p in picks):
+            picks.append(pick)
+    whole = [[w for i in p for w in sections[i]] for p in picks]
+    texts = [" ".join(w) for w in whole] + [" ".join(w[: 4 + -(-(len(w) - 4) * 4 // 5)]) for w in whole]
+    want = plain_groups(texts, 0.8)
+    assert all(want[i] == want[i + 120] for i in range(120)) and len(set(want)) > 100
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
+    assert sum(got[i] != w for i, w in enumerate(want)) == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as T
@@ -111,12 +111,25 @@ def skill_risks(logical: DataFrame, structural: DataFrame) -> DataFrame:
     return out.unionByName(risk(wide, "many-scopes", "info"))
 
 
+#: Parts of a signature whose least ids are taken on their own.
+SAMPLE_PARTS = 64
+
+
 def canonical_candidates(logical: DataFrame, known: DataFrame, least: int = 3, samples: int = 3) -> DataFrame:
-    """Action and sorted resources that ``least`` logical nodes share without a reference and that are not known."""
+    """Action and sorted resources that ``least`` logical nodes share without a reference and that are not known.
+
+    A few signatures may cover all nodes, so ids are never gathered: the least of each of SAMPLE_PARTS parts of a
+    signature are taken first.
+    """
     signature = F.concat(F.col("action"), F.lit("|"), F.array_join(F.array_sort("resources"), ","))
     rows = logical.where("action_ref is null").withColumn("signature", signature).join(known.select("signature").distinct(), "signature", "left_anti")
-    grouped = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("skill").alias("skills"), F.array_sort(F.collect_set("logical_id")).alias("ids"))
-    return grouped.where(F.col("n") >= least).select("signature", "n", "skills", F.slice("ids", 1, samples).alias("samples"))
+    grouped = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("skill").alias("skills")).where(F.col("n") >= least)
+    ids = rows.where("logical_id is not null").select("signature", "logical_id").distinct().withColumn("part", F.pmod(F.xxhash64("logical_id"), F.lit(SAMPLE_PARTS)))
+    for keys in (["signature", "part"], ["signature"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("logical_id"))).where(F.col("rank") <= samples)
+    first = ids.groupBy(F.col("signature").alias("of")).agg(F.array_sort(F.collect_list("logical_id")).alias("samples"))
+    none = F.array().cast(first.schema["samples"].dataType)
+    return grouped.join(first, F.col("signature").eqNullSafe(F.col("of")), "left").select("signature", "n", "skills", F.coalesce("samples", none).alias("samples"))
 
 
 def canonical_vocab(items: DataFrame, extensions: DataFrame) -> DataFrame:

@@ -258,6 +258,16 @@ def test_router_drops_no_rule_of_a_large_table(spark):
     assert got.count() == 1500
 
 
+def test_canonical_samples_gather_no_ids(spark):
+    """The least distinct ids of each signature, without a group that holds all of them."""
+    rows = [(f"i{n % 500:03}", f"s{n % 7}", "READ", ["B", "A"], None) for n in range(1000)] + [(None, "s", "WRITE", ["A"], None)] * 3 + [("z", "s", "WRITE", ["C"], None)] * 2
+    rows += [("i", "s", "WRITE", ["D"], "ref")] * 3 + [("i", "s", "WRITE", ["K"], None)] * 3
+    df = spark.createDataFrame(rows, "logical_id string, skill string, action string, resources array<string>, action_ref string")
+    out = govern.canonical_candidates(df, spark.createDataFrame([("WRITE|K",)], "signature string"))
+    assert {r.signature: (r.n, r.skills, r.samples) for r in out.collect()} == {"READ|A,B": (1000, 7, ["i000", "i001", "i002"]), "WRITE|A": (3, 1, [])}
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_metrics(spark):
     ranks = metrics.evidence_ranks(ranked(spark, ["a", "b", "c"]), spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "z")], "query_id string, doc_id string"))
     rows = ranks.withColumns({"mode": F.lit("m"), "type": F.lit("t")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -12,20 +13,31 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset and
+    gets a folder of its own; on a cluster that would be a folder that other machines cannot see, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mnemoframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Rows of an Arrow batch: texts may be long, so a Python worker holds few of them at once.
+#: Rows and bytes of an Arrow batch: texts may be long, so a Python worker holds few of them at once.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at once. These are settings of the session; the operators give the same
+    rows whatever they are, but need them for bounded memory on long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,6 +8,7 @@ at or above the piece's length. When a new bin is needed and all are in use, the
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,8 @@ END = 2
 OPEN_BINS = 8192
 #: Entries of a worker's cache of encoded words; it is emptied when full.
 CACHE = 200_000
+#: White space in a row from which on a text goes to the tokenizer itself: the other encoder's pattern recurses there.
+LONG_SPACE = re.compile(r"\s{2000}")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -51,7 +54,7 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
 
     A single blank between two other characters always begins a new pre-token, so the words between single
     blanks are encoded on their own and remembered. Texts with other runs of blanks are encoded whole, those
-    that name a special token by the tokenizer itself.
+    that name a special token or hold a very long run of white space by the tokenizer itself.
     """
     if name in _ENCODERS:
         return _ENCODERS[name]
@@ -70,7 +73,7 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
     words = WordCache(plain.encode_ordinary)
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or LONG_SPACE.search(text):
             if not full:  # seldom needed and large
                 full.append(Tokenizer.from_file(path))
             return np.asarray(full[0].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -158,7 +161,9 @@ def plan_packing(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
             yield batch.drop(columns="task")
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = pieces.repartition("doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    # Dealt by all columns and a row number, so that rows of one or of no doc_id do not meet in one task.
+    numbered = pieces.withColumn("deal", F.xxhash64(*pieces.columns, F.monotonically_increasing_id()))
+    dealt = numbered.repartition("deal").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "deal").drop("deal")
     return dealt.withColumn("task", F.spark_partition_id().cast("long")).mapInPandas(pack, schema)
 
 

@@ -254,3 +254,43 @@ def test_ann_small_and_empty(spark):
     assert ann.nearest(empty, empty).count() == 0
     one = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert ann.nearest(one, one).count() == 0
+
+
+def brute_force(vectors, own, k):
+    """The k largest inner products of one vector with all others, in double precision, ties to the smaller id."""
+    scores = [(-float(np.dot(np.asarray(v, float), np.asarray(vectors[own], float))), i) for i, v in vectors.items() if i != own]
+    return [(i, -s) for s, i in sorted(scores)[:k]]
+
+
+def test_recall_on_unclustered_vectors_of_many_shards(spark):
+    rng = np.random.default_rng(4)
+    vectors = dict(enumerate(rng.normal(size=(10_000, 64))))
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in vectors.items()], "vec_id long, embedding array<double>, rank string")
+    found: dict[int, list] = {}
+    for r in ann.nearest(df.where("vec_id % 100 = 0"), df, 20, shard=1000).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert len(found) == 100 and all(len(v) == 20 for v in found.values())
+    hits = 0
+    for own, got in found.items():
+        hits += len({i for i, _ in got} & {i for i, _ in brute_force(vectors, own, 20)})
+        assert all(abs(s - float(np.dot(vectors[own], vectors[i]))) <= 1e-12 * 64 for i, s in got)
+    assert hits / 2000 >= 0.95
+
+
+def test_very_large_and_very_small_vectors_take_part(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: (rng.normal(size=8) * 10.0 ** [25, -25, 0][i % 3]).tolist() for i in range(60)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    out = ann.nearest(df.where("vec_id < 3"), df, 20).orderBy("query_id", "rank").collect()
+    for own in range(3):
+        got = [(r["vec_id"], r["score"]) for r in out if r["query_id"] == own]
+        assert [i for i, _ in got] == [i for i, _ in brute_force(vectors, own, 20)]
+
+
+def test_ties_repeated_rows_and_lengths(spark):
+    rows = [(i, [1.0, 0.0], "a") for i in (40, 10, 30, 20, 0)] * 2 + [(50, [0.5, 0.5], "b"), (60, [1.0, 0.0, 0.0], "c"), (70, [1.0, 1.0, 0.0], "c"), (80, [float("nan"), 1.0], "d"), (90, [0.0, 0.0], "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    out = ann.nearest(df.where("vec_id % 20 = 0"), df, 3).collect()
+    got = {q: [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 60, 80)}
+    assert got[0] == [(10, 1.0), (20, 1.0), (30, 1.0)] and got[20] == [(0, 1.0), (10, 1.0), (30, 1.0)]
+    assert got[60] == [(70, 1.0)] and got[80] == []

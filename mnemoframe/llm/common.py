@@ -48,6 +48,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key, where a few keys may have most of the rows.
+
+    Keys of more than one in ``share`` of all rows are at most ``share``, whatever the input: their rows of ``side``
+    are broadcast, the other rows are joined by a shuffle. ``rows`` is read several times and should be a table.
+    """
+    total = rows.count()
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 64) & (F.col("n") * share > total)).select(key).collect()]
+    if not hot:
+        return rows.join(side, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    common = rows.where(is_hot).join(F.broadcast(side.where(is_hot)), key, how)
+    return rows.where(~is_hot).join(side.where(~is_hot), key, how).unionByName(common)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

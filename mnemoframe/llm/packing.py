@@ -160,7 +160,7 @@ def plan_packing(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
             batch["offset"] = [o for _, o in put]
             yield batch.drop(columns="task")
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
     # Dealt by all columns and a row number, so that rows of one or of no doc_id do not meet in one task.
     numbered = pieces.withColumn("deal", F.xxhash64(*pieces.columns, F.monotonically_increasing_id()))
     dealt = numbered.repartition("deal").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "deal").drop("deal")

@@ -162,3 +162,29 @@ def test_truncated_copies_of_crowded_sections(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
     assert sum(got[i] != w for i, w in enumerate(want)) == 0
+
+
+def test_keep_first_tells_rows_apart_by_id_and_text(spark):
+    rng = random.Random(9)
+    a, b = ([f"w{rng.randrange(10**9)}" for _ in range(60)] for _ in range(2))
+    near = " ".join(edited(rng, a, 1))
+    rows = [(1, " ".join(a), "x"), (1, " ".join(b), "x"), (1, " ".join(a), "x"), (2, near, "y"), (3, " ".join(b), "y"), (None, near, "z"), (None, near, "z"), (4, None, "n"), (5, "", "n"), (5, "", "n")]
+    out = simhash.keep_first(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(0, near), (0, near), (1, " ".join(a)), (1, " ".join(b)), (4, "")])
+    assert out[0].__fields__ == ["doc_id", "text", "component_id"]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """5,000 copies that are alike to their original and mostly not to each other: one group, without pairs of them."""
+    rng = random.Random(12)
+    original = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    texts = [" ".join(edited(rng, original, 5)) for _ in range(5000)] + [" ".join(original)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    compared = []
+    plain = simhash.cross_pairs
+    simhash.cross_pairs = lambda *a: compared.append(out := plain(*a)) or out
+    try:
+        groups = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df).collect()}
+        assert set(groups.values()) == {0} and sum(c.count() for c in compared) < 5000
+    finally:
+        simhash.cross_pairs = plain

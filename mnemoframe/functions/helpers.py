@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import unicodedata
+import uuid
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, may leave it
+    unset and gets a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="mnemoframe-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder (``spark.checkpoint.dir``): computed once, lineage cut. Only a
-    session without such a folder, as in tests, gets a local one."""
+    """``df`` as a checkpoint in the shared folder: computed once, lineage cut."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemoframe-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -28,6 +47,13 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(IntegerType())
+def shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many words two texts of words between single blanks share, as multisets. Built-in functions would compare
+    each word with all others, which takes minutes on whole documents."""
+    return pd.Series([sum((Counter(x.split(" ")) & Counter(y.split(" "))).values()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def nfkc_where_needed(col: Column) -> Column:
     """NFKC; ASCII texts, for which it changes nothing, do not leave the JVM's branch."""
     return F.when(col.rlike(r"^\p{ASCII}*$"), col).otherwise(nfkc(col))

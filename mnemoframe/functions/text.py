@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.helpers import shared_words
+
 #: English function words that a content query leaves out.
 STOPWORDS = (
     "a an the i me my mine we our ours you your yours he him his she her hers it its they them their theirs this that "
@@ -149,11 +151,7 @@ def normalize_answer(text: Column) -> Column:
 def token_f1(answer: Column, truth: Column) -> Column:
     """Harmonic mean of precision and recall over normalised words, as multisets; both empty: 1."""
     a, b = (F.filter(F.split(normalize_answer(x), " "), lambda t: t != "") for x in (answer, truth))
-
-    def times(words: Column, t: Column) -> Column:
-        return F.size(F.filter(words, lambda x: x == t))
-
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+    shared = shared_words(F.array_join(a, " "), F.array_join(b, " "))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
 
 

@@ -111,6 +111,11 @@ def skill_risks(logical: DataFrame, structural: DataFrame) -> DataFrame:
     return out.unionByName(risk(wide, "many-scopes", "info"))
 
 
+def unknown_signatures(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` whose ``signature`` is not in ``known``."""
+    return rows.join(known.select("signature").distinct(), "signature", "left_anti")
+
+
 #: Parts of a signature whose least ids are taken on their own.
 SAMPLE_PARTS = 64
 
@@ -122,7 +127,7 @@ def canonical_candidates(logical: DataFrame, known: DataFrame, least: int = 3, s
     signature are taken first.
     """
     signature = F.concat(F.col("action"), F.lit("|"), F.array_join(F.array_sort("resources"), ","))
-    rows = logical.where("action_ref is null").withColumn("signature", signature).join(known.select("signature").distinct(), "signature", "left_anti")
+    rows = unknown_signatures(logical.where("action_ref is null").withColumn("signature", signature), known)
     grouped = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("skill").alias("skills")).where(F.col("n") >= least)
     ids = rows.where("logical_id is not null").select("signature", "logical_id").distinct().withColumn("part", F.pmod(F.xxhash64("logical_id"), F.lit(SAMPLE_PARTS)))
     for keys in (["signature", "part"], ["signature"]):

@@ -109,13 +109,15 @@ def normalize_observations(events: DataFrame) -> DataFrame:
     secret = F.when(stage == "prompt-submit", F.get_json_object("payload", "$.message")).when(tool == "Bash", inp("command"))
     rows = redact(events.where(kind.isNotNull()).withColumn("_secret", secret), "_secret").drop("redactions")
     output = F.coalesce(F.get_json_object("payload", "$.toolOutput"), F.lit(""))
+    # A tool's output may be an object or the text of one.
+    exit_code = F.coalesce(F.get_json_object("payload", "$.toolOutput.exitCode"), F.get_json_object(output, "$.exitCode")).try_cast("int")
     data = F.to_json(
         F.struct(
             F.when(tool.isin("Edit", "Write"), path).alias("filesTouched"),
             F.when(tool.isin("Edit", "Write"), F.lower(tool)).alias("action"),
             F.when(tool == "Read", path).alias("filesRead"),
             F.when(tool == "Bash", F.coalesce("_secret", F.lit(""))).alias("command"),
-            F.when(tool == "Bash", F.coalesce(F.get_json_object("payload", "$.toolOutput.exitCode").cast("int"), F.lit(0))).alias("exitCode"),
+            F.when(tool == "Bash", F.coalesce(exit_code, F.lit(0))).alias("exitCode"),
             F.when(tool == "Bash", F.substring(output, 1, 200)).alias("outputSnippet"),
             F.when(tool.isin("Grep", "Glob"), F.coalesce(inp("pattern", "glob"), F.lit(""))).alias("searchPattern"),
             F.when(stage == "prompt-submit", F.col("_secret")).alias("userIntentRaw"),

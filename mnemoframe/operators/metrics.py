@@ -51,9 +51,15 @@ def mode_changes(ranks: DataFrame, base: str, other: str) -> DataFrame:
     return a.join(b, "query_id").where("a <> b").select("query_id", F.when(F.col("b"), "rescued").otherwise("lost").alias("change"))
 
 
+def lane_sets(cases: DataFrame) -> DataFrame:
+    """``cases`` (expect_lanes, lanes) with the lanes that are right, missing and too many."""
+    return cases.withColumns({"right_lanes": F.array_intersect("expect_lanes", "lanes"), "missing_lanes": F.array_except("expect_lanes", "lanes"), "extra_lanes": F.array_except("lanes", "expect_lanes")})
+
+
 def router_bench(cases: DataFrame) -> DataFrame:
     """Lane hit rate, macro precision and recall, file hit rate of (expect_lanes, lanes, expect_files, files)."""
-    shared = F.size(F.array_intersect("expect_lanes", "lanes"))
+    cases = lane_sets(cases)
+    shared = F.size("right_lanes")
     files = F.when(F.size("expect_files") > 0, (F.size(F.array_intersect("expect_files", "files")) > 0).cast("double"))
     return cases.agg(
         F.count("*").alias("n"),

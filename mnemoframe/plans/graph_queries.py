@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.helpers import saved
 from mnemoframe.operators import flow, govern, graph, ledger
 
 from .base import DELTAS, EVENTS, PAIRS, blocks, deltas, delegation_pairs, events, joined, now, query, table
@@ -130,9 +131,9 @@ def a15_ontology_counts(spark, sf_dir):
     return out.select("module_id", "promote", F.array_join(pairs, ",").alias("patterns"))
 
 
-@query(f"WITH RECURSIVE {PAIRS}, walk AS (SELECT a, b, 1 AS depth FROM pairs UNION SELECT walk.a, pairs.b, depth + 1 FROM walk JOIN pairs ON walk.b = pairs.a WHERE depth < 4) SELECT a, b, min(depth) AS depth FROM walk WHERE a <> b GROUP BY ALL")
+@query(f"WITH RECURSIVE {PAIRS}, walk AS (SELECT a, b, 1 AS depth, [a, b] AS path FROM pairs UNION ALL SELECT walk.a, pairs.b, depth + 1, list_append(path, pairs.b) FROM walk JOIN pairs ON walk.b = pairs.a WHERE depth < 4 AND pairs.b <> walk.a) SELECT a, b, min(depth) AS depth, array_to_string(arg_min(path, (depth, path)), ',') AS path FROM walk GROUP BY ALL")
 def g3_compose_closure(spark, sf_dir):
-    return graph.compose_closure(delegation_pairs(spark, sf_dir), depth=4).select("a", "b", "depth")
+    return graph.compose_closure(delegation_pairs(spark, sf_dir), depth=4).select("a", "b", "depth", joined("path").alias("path"))
 
 
 @query(f"WITH RECURSIVE {PAIRS}, walk AS (SELECT a AS id, a AS node_id, 0 AS depth FROM pairs UNION SELECT id, pairs.b, depth + 1 FROM walk JOIN pairs ON node_id = pairs.a WHERE depth < 3), m AS (SELECT id, node_id, min(depth) AS depth FROM walk GROUP BY ALL) SELECT * FROM m WHERE depth > 0")
@@ -190,11 +191,22 @@ def j3_neighbors(spark, sf_dir):
     return graph.neighbors(nodes, edges, nodes.select(F.col("node_id").alias("id")), direction="both").select("id", "node_id", "slug")
 
 
-@query(f"WITH {KG} SELECT from_id AS id, to_id AS neighbour, relation, count(*) AS n FROM res WHERE relation = 'DELEGATES_TO' AND from_id IN (SELECT node_id FROM nodes) GROUP BY ALL")
+@query(f"""WITH {KG} SELECT 'delegations out' AS question, from_id AS id, to_id AS neighbour, relation, 'out' AS direction, count(*) AS n FROM res WHERE relation = 'DELEGATES_TO' AND from_id IN (SELECT node_id FROM nodes) GROUP BY ALL
+UNION ALL SELECT 'actions in', to_id, from_id, relation, 'in', count(*) FROM res WHERE relation = 'USES_ACTION' AND to_id IN (SELECT node_id FROM nodes) AND to_skill IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'all', from_id, to_id, relation, 'out', count(*) FROM res WHERE from_id IN (SELECT node_id FROM nodes) AND to_skill IS NOT NULL GROUP BY ALL UNION ALL SELECT 'all', to_id, from_id, relation, 'in', count(*) FROM res WHERE to_id IN (SELECT node_id FROM nodes) AND to_skill IS NOT NULL GROUP BY ALL""")
 def j4_incident_edges(spark, sf_dir):
     nodes, edges = _kg(spark, sf_dir)
-    found = graph.incident_edges(edges, nodes.select(F.col("node_id").alias("id")), "DELEGATES_TO", "out", resolved_only=False)
-    return found.groupBy("id", "neighbour", "relation").agg(F.count("*").alias("n"))
+    edges, ids = saved(edges), nodes.select(F.col("node_id").alias("id"))
+    asked = {"delegations out": ("DELEGATES_TO", "out", False), "actions in": ("USES_ACTION", "in", True), "all": (None, "both", True)}
+    parts = [graph.incident_edges(edges, ids, *how).withColumn("question", F.lit(name)) for name, how in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("question", "id", "neighbour", "relation", "direction").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KG} SELECT node_id, slug FROM nodes WHERE CAST(substr(node_id, 2) AS BIGINT) % 3 = 0 OR CAST(substr(node_id, 2) AS BIGINT) % 5 = 0")
+def j4_nodes_of(spark, sf_dir):
+    nodes, _ = _kg(spark, sf_dir)
+    at = F.substring("node_id", 2, 20).cast("long")
+    return graph.nodes_of(nodes, nodes.where(at % 3 == 0).select(F.col("node_id").alias("id")), nodes.where(at % 5 == 0).select("slug")).select("node_id", "slug")
 
 
 @query(f"WITH {KG} SELECT from_skill, from_id, cond AS condition FROM res WHERE relation = 'DELEGATES_TO' AND to_skill = 'skill7'")

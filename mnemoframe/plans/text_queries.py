@@ -159,12 +159,12 @@ def r11_prf_search(spark, sf_dir):
     return _out(retrieval.prf_search(_questions(spark, sf_dir), docs, retrieval.build_index(docs, {"text": 1.0}), None, 10, fusion="rerank"))
 
 
-@query("SELECT conv_id AS session_id, min(CASE WHEN role = 'user' THEN turn END) AS first_turn, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query(f"WITH q AS (SELECT DISTINCT conv_id % 10 AS query_id, conv_id FROM conversations), r AS (SELECT c.conv_id % 10 AS query_id, c.conv_id AS session_id, row_number() OVER (PARTITION BY c.conv_id % 10 ORDER BY length(text) DESC, c.conv_id, turn) AS rank FROM conversations c WHERE role = 'user'), s AS (SELECT query_id, session_id, min(rank) AS best FROM r GROUP BY ALL) SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY best, session_id) AS rank FROM s QUALIFY rank <= 10")
 def w8_turns_to_sessions(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    best = retrieval.turns_to_sessions(c.where("role = 'user'").select(F.lit(0).alias("query_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("rank")), depth=2**31 - 1)
-    counts = c.groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("turns"), F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first_turn"))
-    return counts.join(best.select("session_id"), "session_id", "left").select("session_id", "first_turn", "turns")
+    """User turns ranked by length within ten groups of conversations, to the ten best conversations of each."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") % 10).alias("query_id"), F.col("conv_id").alias("session_id"), "turn", F.length("text").alias("n"))
+    hits = c.withColumn("rank", F.expr("row_number() over (partition by query_id order by n desc, session_id, turn)"))
+    return retrieval.turns_to_sessions(hits.select("query_id", "session_id", "rank"), depth=10).select("query_id", "session_id", "rank")
 
 
 F3 = r"""clean AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents), pad AS (SELECT doc_id, ' ' || t || ' ' AS t FROM clean WHERE t <> ''),
@@ -172,15 +172,11 @@ g AS (SELECT doc_id, unnest(list_transform(generate_series(1, length(t) - 2), la
 h AS (SELECT doc_id, list_reduce(list_transform(string_split(g, ''), lambda c: unicode(c) & 255), lambda h, c: (xor(h, c) * 147) & 255, 197) AS bucket FROM g)"""
 
 
-@query("WITH " + F3 + " SELECT doc_id, bucket, count(*) AS n FROM h GROUP BY ALL")
+@query("WITH " + F3 + ", n AS (SELECT doc_id, bucket, count(*) AS n FROM h GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY doc_id) SELECT doc_id, bucket, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS weight FROM n JOIN s USING (doc_id)")
 def f3_embed_counts(spark, sf_dir):
-    """The embedder's buckets in built-in functions: for 256 of them only the low byte of FNV-1a matters."""
-    clean = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    padded = _docs(spark, sf_dir).select("doc_id", clean.alias("t")).where("t <> ''").select("doc_id", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
-    grams = padded.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.col("t").substr(i, F.lit(3)))).alias("g"))
-    low = F.transform(F.split("g", ""), lambda c: F.ascii(c).bitwiseAND(F.lit(255)))
-    bucket = F.aggregate(low, F.lit(197), lambda h, c: (h.bitwiseXOR(c) * 147).bitwiseAND(F.lit(255)))
-    return grams.groupBy("doc_id", bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    """The buckets of each text's vector that are not zero; for 256 of them only the low byte of the hash matters."""
+    vectors = _docs(spark, sf_dir).select("doc_id", F.posexplode(embedder()("text")).alias("bucket", "weight"))
+    return vectors.where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("weight").cast("double").alias("weight"))
 
 
 @query(f"SELECT item_id, CASE WHEN list_reduce(list_transform(string_split(CAST(item_id AS VARCHAR) || text, ''), lambda c: unicode(c) & 1), lambda a, c: xor(a, c), 1) = 0 THEN 'dev' ELSE 'test' END AS part FROM benchmark")
@@ -199,10 +195,10 @@ def f10_slug(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query(r"WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '')) AS s FROM documents) SELECT doc_id, count(*) AS n, sum(length(s)) AS chars FROM s GROUP BY doc_id")
+@query(r"WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '')) AS s FROM documents) SELECT doc_id, s AS sentence, count(*) AS n FROM s GROUP BY ALL")
 def f12_split_sentences(spark, sf_dir):
     s = _docs(spark, sf_dir).select("doc_id", F.explode(T.split_sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+    return s.groupBy("doc_id", F.col("s").alias("sentence")).agg(F.count("*").alias("n"))
 
 
 DATES = EVENTS + ", d AS (SELECT event_id, strftime(ts, '%Y/%m/%d') AS date, k FROM ev), w AS (SELECT event_id, date, CASE k % 7 WHEN 0 THEN 'two weeks ago' WHEN 1 THEN 'in the past three months' WHEN 2 THEN 'last Saturday' WHEN 3 THEN 'yesterday' WHEN 4 THEN 'last name' WHEN 5 THEN 'last week' ELSE 'this month' END AS q, CAST(date_diff('day', DATE '1970-01-01', CAST(strptime(date, '%Y/%m/%d') AS DATE)) AS INT) AS r FROM d)"
@@ -217,13 +213,13 @@ def f7_temporal_window(spark, sf_dir):
     return rows.withColumn("day", T.epoch_day(F.col("date"))).select("event_id", "day", start.alias("start_day"), end.alias("end_day"))
 
 
-QA = "p AS (SELECT b.item_id, d.doc_id, b.text AS truth, left(d.text, 200) AS answer, d.lang AS type FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id), n AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(answer), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(truth), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM p), f AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))) AS s FROM n)"
+QA = "p AS (SELECT b.item_id, d.doc_id, b.text AS truth, d.text AS answer, d.lang AS type FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id), n AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(answer), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(truth), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM p), f AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))) AS s FROM n)"
 
 
 def _answers(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
     n = b.agg(F.count("*").alias("n"))
-    docs = _docs(spark, sf_dir).crossJoin(F.broadcast(n)).select("doc_id", F.col("lang").alias("type"), F.substring("text", 1, 200).alias("answer"), (F.col("doc_id") % F.col("n")).alias("item_id"))
+    docs = _docs(spark, sf_dir).crossJoin(F.broadcast(n)).select("doc_id", F.col("lang").alias("type"), F.col("text").alias("answer"), (F.col("doc_id") % F.col("n")).alias("item_id"))
     return docs.join(b, "item_id").withColumn("correct", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0))
 
 
@@ -313,9 +309,39 @@ def p6_classify_requests(spark, sf_dir):
     return router.classify_requests(_docs(spark, sf_dir)).select("doc_id", F.array_join("categories", ",").alias("categories"))
 
 
-@query()
+#: Routing rules of this query: words of the generated languages, lanes and files of no meaning, one with made files.
+RULES = [
+    (1, r"(?i)\b(the|that)\b", ["current", "project"], ["notes/now.md"], None, None, "English articles"),
+    (2, r"(?i)\bcard[- ]?\d+|\b\d{4}\b", ["decision"], [], r"\b(\d{1,4})\b", "records/%s-*.md", "numbers"),
+    (3, r"(?i)\b(der|die|das)\b", ["concept"], ["notes/de.md", "notes/schema.md"], None, None, "German articles"),
+    (4, r"(?i)\b(les|des|que)\b", ["decision", "research"], ["notes/fr.md"], None, None, "French words"),
+    (5, r"(?i)\b(el|los|una)\b", ["decision", "concept"], ["notes/es.md", "notes/schema.md"], None, None, "Spanish words"),
+    (6, r"(?i)licen[sc]e", ["evidence"], ["notes/licenses.md"], None, None, "licenses"),
+    (7, r"(?i)\b(password|token|secret)\b", ["governance"], ["notes/secrets.md"], None, None, "secrets"),
+    (8, r"@[a-z]", ["persona"], ["notes/people.md", "notes/now.md"], None, None, "addresses"),
+    (9, r"(?i)\bhttps?\b", ["research", "code"], ["notes/links.md"], None, None, "links"),
+    (10, r"[{}<>]", ["code"], [], None, None, "marks of code"),
+    (11, r"\+\d", ["persona"], ["notes/phones.md"], None, None, "phones"),
+]
+
+
+def _rules_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    array = lambda xs: f"CAST([{', '.join(map(quote, xs))}] AS VARCHAR[])"
+    rows = []
+    for _, pattern, lanes, files, made, template, name in RULES:
+        new = array(files)
+        if made:
+            before, after = template.split("%s")
+            new = f"list_concat({new}, list_transform(regexp_extract_all(text, {quote(made)}, 1), lambda n: {quote(before)} || CASE WHEN length(n) < 3 THEN lpad(n, 3, '0') ELSE n END || {quote(after)}))"
+        rows.append(f"CASE WHEN regexp_matches(text, {quote(pattern)}) THEN {{'lanes': {array(lanes)}, 'files': {new}, 'name': {quote(name)}}} END")
+    joined_once = lambda what: f"coalesce(list_reduce(flatten(list_transform(m, lambda x: x.{what})), lambda a, x: CASE WHEN list_contains(string_split(a, ','), x) THEN a WHEN a = '' THEN x ELSE a || ',' || x END, ''), '')"
+    return f"WITH h AS (SELECT doc_id, list_filter([{', '.join(rows)}], lambda x: x IS NOT NULL) AS m FROM documents) SELECT doc_id, {joined_once('lanes')} AS lanes, {joined_once('files')} AS files, array_to_string(list_transform(m, lambda x: x.name), ',') AS matched FROM h"
+
+
+@query(_rules_sql())
 def p7_resolve_mappings(spark, sf_dir):
-    rules = spark.createDataFrame(router.RULES, router.RULE_SCHEMA)
+    rules = spark.createDataFrame(RULES, router.RULE_SCHEMA)
     out = router.resolve_mappings(_docs(spark, sf_dir).select("doc_id", "text"), rules, key="doc_id")
     return out.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("lanes", "files", "matched")))
 

@@ -109,13 +109,24 @@ def import_new(sessions: DataFrame, manifest: DataFrame) -> DataFrame:
     return hashed.join(reduce_manifest(manifest).select("sha256"), "sha256", "left_anti")
 
 
-def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+#: How a record of a question file starts, if its first member is the id. Inside a string the quotes would be escaped.
+RECORD_START = '{"question_id"'
+
+
+def read_questions(spark: SparkSession, path: str, record_start: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sessions, rejected) of a JSON array of questions, one row for each question and session.
 
-    Rejected: a missing field, an id with other characters than ``[A-Za-z0-9_-]``, arrays of unequal length. One file
-    is one task, as the array cannot be split, so convert it once and keep the Parquet.
+    Rejected: a missing field, an id with other characters than ``[A-Za-z0-9_-]``, arrays of unequal length. An array
+    as such cannot be split, so one file is one task. With ``record_start`` (see RECORD_START) a file is split into
+    parts at the records' starts like lines are, whatever its size.
     """
-    q = spark.read.schema(QUESTION_SCHEMA).option("multiLine", True).json(path).withColumn("question_type", F.coalesce("question_type", F.lit("unknown")))
+    if record_start is None:
+        q = spark.read.schema(QUESTION_SCHEMA).option("multiLine", True).json(path)
+    else:
+        # What follows a record (a comma, the end of the array) is left out by the parser.
+        parts = spark.read.option("lineSep", record_start).text(path).where(F.col("value").startswith(":"))
+        q = parts.select(F.from_json(F.concat(F.lit(record_start), "value"), QUESTION_SCHEMA).alias("q")).select("q.*")
+    q = q.withColumn("question_type", F.coalesce("question_type", F.lit("unknown")))
     n = F.size("haystack_sessions")
     reason = (
         F.when(F.col("question_id").isNull() | F.col("question").isNull() | F.col("haystack_sessions").isNull() | F.col("haystack_session_ids").isNull(), "missing field")
@@ -130,11 +141,11 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows.select("*", F.col("x.session_id").alias("session_id"), F.col("x.date").alias("date"), F.col("x.turns").alias("turns")).drop("x"), marked.where("reject is not null").select("question_id", "reject")
 
 
-def read_skills(spark: SparkSession, path: str, canonical: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid documents, errors): invalid ones are rows (slug, errors)."""
+def read_skills(spark: SparkSession, path: str, canonical: DataFrame | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid documents, errors): invalid ones are rows (slug, errors). ``lines``: one document a line, which splits."""
     from mnemoframe.operators.govern import validate_skills
 
-    docs = spark.read.schema(SKILL_SCHEMA).option("multiLine", True).json(path)
+    docs = spark.read.schema(SKILL_SCHEMA).option("multiLine", not lines).json(path)
     arrays = [f for f in docs.schema.fields if f.dataType.typeName() == "array"]
     docs = docs.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in arrays})
     checked = validate_skills(docs, canonical)

@@ -44,7 +44,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     is a note: id ``note.<path>``, status draft. Spark's readers leave out folders and files named ``_...``.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    raw = files.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value"))
+    return parse_pages(files.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value")))
+
+
+def parse_pages(raw: DataFrame) -> DataFrame:
+    """read_pages for markdown that already is in a table of (path, value)."""
     head = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
     rows = raw.withColumn("has_head", F.col("value").rlike(r"(?s)\A---\r?\n.*?\r?\n---\r?\n")).withColumn("body", F.regexp_replace("value", r"(?s)\A---\r?\n.*?\r?\n---\r?\n", ""))
     rows = rows.withColumn("h", _parse_heads()(head))

@@ -84,29 +84,34 @@ TURN_SCHEMA = "session_id string, turn_ordinal int, part int, n int, prompts int
 
 
 class TurnCloser(StatefulProcessor):
-    """Closes a session's turn at the next prompt, at the session's end or after seven days, in parts of ``size``."""
+    """Closes a session's turn at the next prompt, at the session's end or after seven days, in parts of ``size``.
+
+    As in the batch operator, what comes before a session's first prompt is part of that prompt's turn. Rows of one
+    micro-batch are put in order; a session's rows of a batch are held together for that.
+    """
 
     size = 50
     timeout_ms = 7 * DAY_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turn = handle.getValueState("turn", "ordinal int, part int, n int, prompts int, tools string, until long")
+        self.turn = handle.getValueState("turn", "ordinal int, part int, n int, prompts int, tools string, until long, prompted boolean")
 
     def _emit(self, key: Any, t: list, closed_by: str) -> dict:
         return {"session_id": key[0], "turn_ordinal": t[0], "part": t[1], "n": t[2], "prompts": t[3], "tools": t[4], "closed_by": closed_by}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        t = list(self.turn.get()) if self.turn.exists() else [1, 1, 0, 0, "", 0]
+        t = list(self.turn.get()) if self.turn.exists() else [1, 1, 0, 0, "", 0, False]
         out = []
         everything = pd.concat(list(rows)).sort_values(["ts", "seq"])
         for stage, tool, ts in zip(everything["stage"], everything["tool"], everything["ts"], strict=True):
-            if stage == "prompt-submit" and (t[2] or t[3]):
+            if stage == "prompt-submit" and t[6]:
                 out.append(self._emit(key, t, "prompt"))
-                t = [t[0] + 1, 1, 0, 0, "", 0]
+                t = [t[0] + 1, 1, 0, 0, "", 0, False]
             elif t[2] >= self.size:
                 out.append(self._emit(key, t, "size"))
-                t = [t[0], t[1] + 1, 0, 0, "", 0]
+                t = [t[0], t[1] + 1, 0, 0, "", 0, t[6]]
+            t[6] = t[6] or stage == "prompt-submit"
             t[2] += 1
             t[3] += stage == "prompt-submit"
             counts = dict(x.rsplit(":", 1) for x in t[4].split(",") if x)
@@ -116,14 +121,12 @@ class TurnCloser(StatefulProcessor):
             t[5] = int(ts.timestamp() * 1000) + self.timeout_ms
             if stage == "session-end":
                 out.append(self._emit(key, t, "end"))
-                t = [t[0] + 1, 1, 0, 0, "", 0]
+                t = [t[0] + 1, 1, 0, 0, "", 0, False]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        self.turn.update(tuple(t))
         if t[2]:
-            self.turn.update(tuple(t))
             self.handle.registerTimer(t[5])
-        else:
-            self.turn.update(tuple(t))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TURN_SCHEMA.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -149,7 +152,7 @@ EXPIRY_SCHEMA = "id string, outcome string"
 
 
 class QueueExpirer(StatefulProcessor):
-    """An item leaves by its tombstone, which may come first, or after seven days."""
+    """An item leaves by its tombstone, which may come first, or seven days after its first row."""
 
     timeout_ms = 7 * DAY_MS
 
@@ -158,10 +161,12 @@ class QueueExpirer(StatefulProcessor):
         self.state = handle.getValueState("state", "pending boolean, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending, done = self.state.get() if self.state.exists() else (False, False)
-        out = []
+        known = self.state.exists()
+        pending, done = self.state.get() if known else (False, False)
+        out, first = [], None
         for batch in rows:
-            for tombstone, ts in zip(batch["tombstone"], batch["ts"], strict=True):
+            first = min([batch["ts"].min()] + ([first] if first is not None else []))
+            for tombstone in batch["tombstone"]:
                 if tombstone:
                     if pending and not done:
                         out.append((key[0], "dequeued"))
@@ -170,7 +175,8 @@ class QueueExpirer(StatefulProcessor):
                     pending = True
                     if done:
                         out.append((key[0], "dequeued"))
-                self.handle.registerTimer(int(ts.timestamp() * 1000) + self.timeout_ms)
+        if not known:  # one timer for each item
+            self.handle.registerTimer(int(first.timestamp() * 1000) + self.timeout_ms)
         self.state.update((pending, done))
         yield pd.DataFrame(out, columns=["id", "outcome"])
 

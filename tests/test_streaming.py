@@ -64,9 +64,9 @@ def test_turns_close(spark, tmp_path):
     last = [row(60 * 24 * 9 + 1, "prompt-submit", session="other2")]
     df = stream(spark, tmp_path, [first, second, later, last], "session_id string, seq int, ts timestamp, stage string, tool string")
     out = {(r.session_id, r.turn_ordinal): r for r in run(jobs.close_turns(df), "turns")}
-    assert (out["s", 1].closed_by, out["s", 1].n) == ("prompt", 1)
-    assert (out["s", 2].closed_by, out["s", 2].tools) == ("prompt", "Bash:2")
-    assert (out["s", 3].closed_by, out["s", 3].n) == ("end", 3)
+    # The session's start is part of the first prompt's turn, as in turn_ordinals.
+    assert (out["s", 1].closed_by, out["s", 1].n, out["s", 1].tools) == ("prompt", 4, "Bash:2")
+    assert (out["s", 2].closed_by, out["s", 2].n, out["s", 2].tools) == ("end", 3, "Read:1")
     assert out["left", 1].closed_by == "timeout"
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, join_spread, materialise
 
 WORDS = 8
 BITS_PER_KEY = 16
@@ -58,22 +58,34 @@ def bloom_table(listed: DataFrame, url: str, blocks: int) -> DataFrame:
     return _hashed(listed.select(url), url, blocks).groupBy("block").agg(*(F.bit_or(f"m{j}").alias(f"w{j}") for j in range(WORDS)))
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
-    """Rows of ``urls`` whose URL is in ``listed`` (column ``canonical``): Bloom filter first, then the exact join."""
-    listed = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    size = listed.agg(F.count("*").alias("n"), F.sum(F.length("canonical") + 40).alias("bytes")).first()
+def mark_listed(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
+    """``urls`` with ``listed``: whether their URL is in ``listed`` (column ``canonical``).
+
+    Every row probes the Bloom filter where it is; only possible hits meet the exact list. A list that is too large to
+    broadcast is joined with the written possible hits by a shuffle, all other rows stay where they are.
+    """
+    exact = materialise(listed.select("canonical").where("canonical <> ''").distinct(), "listed")
+    size = exact.agg(F.count("*").alias("n"), F.sum(F.length("canonical") + 40).alias("bytes")).first()
     blocks = max(1, -(-size["n"] * BITS_PER_KEY // (64 * WORDS)))
-    bloom = bloom_table(listed, "canonical", blocks)
+    bloom = bloom_table(exact, "canonical", blocks)
     if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
     hit = F.lit(True)
     for j in range(WORDS):
         hit = hit & (F.col(f"w{j}").bitwiseAND(F.col(f"m{j}")) == F.col(f"m{j}"))
-    possible = _hashed(urls, url, blocks).join(bloom, "block").where(hit).select(*urls.columns)
-    exact = listed.withColumnRenamed("canonical", "listed_url")
+    probed = _hashed(urls, url, blocks).join(bloom, "block", "left").withColumn("possible", F.coalesce(hit, F.lit(False))).select(*urls.columns, "possible")
+    known = exact.select(F.col("canonical").alias("listed_url"))
+    found = F.col("listed_url").isNotNull().alias("listed")
     if (size["bytes"] or 0) <= BROADCAST_BYTES:
-        exact = F.broadcast(exact)
-    return possible.join(exact, F.col(url) == F.col("listed_url"), "left_semi")
+        marked = probed.join(F.broadcast(known), F.when(F.col("possible"), F.col(url)) == F.col("listed_url"), "left")
+        return marked.select(*urls.columns, found)
+    hits = join_spread(materialise(probed.where("possible").drop("possible"), "hits"), known.withColumn(url, F.col("listed_url")), url, "left")
+    return hits.select(*urls.columns, found).unionByName(probed.where("not possible").select(*urls.columns, F.lit(False).alias("listed")))
+
+
+def listed_urls(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
+    """Rows of ``urls`` whose URL is in ``listed``."""
+    return mark_listed(urls, listed, url).where("listed").drop("listed")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -81,15 +93,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_co
 
     The longest fitting rule decides; without one, a canonical URL in ``listed`` is blocked and any other is
     allowed. A null or malformed URL has an empty host and path, fits no rule and is never listed. Repeated rows
-    are judged each. Only pages without a rule reach the filter, only possible hits the join.
+    are judged each; other columns are not read. Only possible hits of the filter are joined, so no page is shuffled
+    while the list can be broadcast.
     """
     host, path, _ = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), canonical_url(F.col(url_col)).alias("canonical"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    judged = parts.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    rest = judged.where(F.col("rule").isNull())
-    hits = listed_urls(rest.where("canonical <> ''").select("canonical").distinct(), listed)
-    marked = rest.join(hits.select(F.col("canonical").alias("hit")), F.col("canonical") == F.col("hit"), "left")
-    out = marked.withColumn("verdict", F.when(F.col("hit").isNotNull(), "block").otherwise("allow"))
-    columns = [id_col, "host", "path", "rule", "verdict"]
-    return judged.where(F.col("rule").isNotNull()).select(columns).unionByName(out.select(columns))
+    # What a rule decides need not be looked up.
+    judged = parts.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.when(rule.isNull() & (F.col("canonical") != ""), F.col("canonical")).alias("canonical"))
+    return mark_listed(judged, listed).select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

@@ -15,10 +15,10 @@ from typing import NamedTuple
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialise, shared_dir
 
 #: Fixed values of the formats: magic numbers of Zstandard frames, skippable frames and dictionary frames.
 ZSTD_MAGIC = 0xFD2FB528
@@ -32,8 +32,11 @@ LEAST_REVISIT = 1000
 DICT_BYTES = 32 << 10
 DICT_SAMPLES = 256
 DICT_SAMPLE_CHARS = 16 << 10
-#: Rows of an archive file, its dictionary frame included.
+#: Rows of an archive file, its dictionary frame included, and bytes of payload in one, about.
 FILE_ROWS = 2000
+FILE_BYTES = 128 << 20
+#: Repeated payloads up to which their list is broadcast.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -157,12 +160,12 @@ def read_archive(content: bytes) -> Iterator[Record]:
         at = end
 
 
-def train_dictionary(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> bytes:
+def train_dictionary(pages: DataFrame, rows: int, html: str = "html", id_col: str = "page_id") -> bytes:
     """A dictionary from a bounded sample: at most DICT_SAMPLES pages by hash order, DICT_SAMPLE_CHARS of each.
 
-    A filter on the id's hash leaves a few times as many rows, so that tasks do not each send that many.
+    A filter on the id's hash leaves a few times as many of the ``rows``, so that tasks do not each send that many.
     """
-    share = min(1.0, 4 * DICT_SAMPLES / max(1, pages.count()))
+    share = min(1.0, 4 * DICT_SAMPLES / max(1, rows))
     some = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).where(F.length(html) > 0)
     sample = some.orderBy(F.xxhash64(id_col), F.xxhash64(html)).limit(DICT_SAMPLES)
     texts = [r[0].encode() for r in sample.select(F.substring(html, 1, DICT_SAMPLE_CHARS)).collect()]
@@ -172,30 +175,45 @@ def train_dictionary(pages: DataFrame, html: str = "html", id_col: str = "page_i
         return b"".join(texts)[:DICT_BYTES].ljust(64, b" ")
 
 
-def record_types(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the pages that revisit another page with the same long payload."""
-    digests = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("payload_digest"))
-    last = digests.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return digests.join(last.drop("n"), "payload_digest").where("page_id < refers_to").distinct()
+def _digest() -> Column:
+    return F.sha1(F.encode("html", "UTF-8"))
+
+
+def repeated_payloads(pages: DataFrame) -> DataFrame:
+    """(payload_digest, last): one row for each payload of at least LEAST_REVISIT bytes that several pages have, with
+    their largest page_id. Only ids and digests are shuffled."""
+    digests = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", _digest().alias("payload_digest"))
+    return digests.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """One record for each row of (page_id, url, html). A null html is an empty payload.
 
-    Of equal payloads of at least LEAST_REVISIT bytes the row with the largest page_id is the response.
+    Of equal payloads of at least LEAST_REVISIT bytes the row with the largest page_id is the response; rows with that
+    same id and payload are responses all, those without an id revisit it, and if none has an id all are responses. A
+    file holds FILE_ROWS records, or fewer where pages are large: about FILE_BYTES of payload by their mean.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    dictionary = train_dictionary(pages)
+    size = pages.agg(F.count("*").alias("rows"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    file_rows = max(2, min(FILE_ROWS, FILE_BYTES * size["rows"] // max(1, size["bytes"] or 0)))
+    dictionary = train_dictionary(pages, size["rows"])
     lead = struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary
-    typed = pages.withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8"))).join(record_types(pages), ["page_id", "payload_digest"], "left")
+    repeated = materialise(repeated_payloads(pages), "repeated")
+    # The list of repeated payloads is small beside the pages, so pages are shuffled only if it is not.
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    long_digest = F.when(F.octet_length("html") >= LEAST_REVISIT, F.col("digest"))
+    keyed = pages.withColumn("digest", _digest()).withColumn("payload_digest", long_digest)
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last"))
+    typed = keyed.join(repeated, "payload_digest", "left").withColumn("refers_to", refers)
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
         rows = 0
         for batch in batches:
             out = []
-            for page_id, url, html, digest, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["payload_digest"], batch["refers_to"], strict=True):
-                if rows % FILE_ROWS == 0:
+            for page_id, url, html, digest, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["refers_to"], strict=True):
+                if rows % file_rows == 0:
                     out.append(lead)
                     rows += 1
                 ids = [None if pd.isna(x) else int(x) for x in (page_id, refers)]
@@ -204,9 +222,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pd.DataFrame({"value": out})
 
     # Ids as strings: pandas would turn longs with nulls into doubles.
-    narrow = typed.select(F.col("page_id").cast("string"), "url", "html", "payload_digest", F.col("refers_to").cast("string"))
+    narrow = typed.select(F.col("page_id").cast("string"), "url", "html", "digest", F.col("refers_to").cast("string"))
     made = narrow.mapInPandas(frames, "value binary").select(F.col("value").cast("string"))
-    made.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    made.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", file_rows).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

@@ -122,3 +122,31 @@ def test_bloom_keeps_every_listed_url_and_few_others(spark):
     passed = sum(r.block in bloom and all(bloom[r.block][f"w{j}"] & r[f"m{j}"] == r[f"m{j}"] for j in range(8)) for r in urls._hashed(probe.where("true"), "canonical", blocks).collect())
     assert 4000 <= passed <= 4000 + 16_000 * 0.02
     assert urls.listed_urls(probe, listed.where("false")).count() == 0
+
+
+def test_revisits_of_pages_without_an_id(spark):
+    """Pages without an id revisit the one with the largest; equal largest ids are responses all; without any id all are."""
+    same, other = "x" * 1000, "y" * 1000
+    rows = [(5, same), (None, same), (3, same), (5, same), (None, other), (None, other), (1, "x" * 999), (2, "x" * 999)]
+    pages = spark.createDataFrame([(i, None, h, "c") for i, h in rows], "page_id long, url string, html string, payload_digest string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect())
+    want = [(0, 1000, "response", 0), (0, 1000, "response", 0), (0, 1000, "revisit", 5), (1, 999, "response", 0), (2, 999, "response", 0), (3, 1000, "revisit", 5), (5, 1000, "response", 0), (5, 1000, "response", 0)]
+    assert got == want
+
+
+def test_large_pages_make_small_archives(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 26) * (20_000 + i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    assert len([f for f in (tmp_path / "a").glob("part*")]) >= 10
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 40
+
+
+def test_a_list_that_is_too_large_to_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.fr/p{i % 50}", "z") for i in range(600)] + [(600 + i, "http://bad.fr/x", "z") for i in range(300)] + [(None, None, "z")], "page_id long, url string, listed string")
+    block = spark.createDataFrame([("bad.fr/x",), ("h3.fr/p3",), ("bad.fr/x",), ("",)], "canonical string")
+    rows = lambda: sorted((r.page_id if r.page_id is not None else -1, r.host, r.path, r.rule or "", r.verdict) for r in urls.judge_urls(pages, block, RULES).collect())
+    small = rows()
+    assert sum(r[4] == "block" for r in small) == 300 + len({i for i in range(600) if i % 7 == 3 and i % 50 == 3})
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    assert rows() == small and len(small) == 901

@@ -48,7 +48,8 @@ def build_index(docs: DataFrame, fields: dict[str, float], group: Column | None
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a side that was counted and is small; leave a larger one to a shuffle join."""
+    """Broadcast a side that was counted and is small; leave a larger one to a shuffle join. ``df`` is counted, so it
+    should be saved or cheap."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -69,7 +70,7 @@ def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool =
     wanted = q.select("grp", "term").distinct()
     if prefix:
         known = index.postings.join(_small(q.select(F.substring("term", 1, 1).alias("head")).distinct()), F.substring("token", 1, 1) == F.col("head"), "left_semi")
-        wanted = wanted.join(prefix_terms(wanted, known), "term")
+        wanted = saved(wanted.join(prefix_terms(wanted, known), "term"))
     else:
         wanted = wanted.withColumn("token", F.col("term"))
     found = index.postings.join(_small(wanted), ["grp", "token"])
@@ -92,62 +93,79 @@ def top_k(scores: DataFrame, k: int, order: list[Column], by: tuple[str, ...] =
 def search(queries: DataFrame, index: Index, k: int = 20, keep: Callable[[DataFrame], DataFrame] | None = None, loose_only: bool = False) -> DataFrame:
     """Tiered search of (query_id, question): all plain words, else content terms, else any word.
 
-    The first tier that returns rows answers; ``keep`` filters documents before the limit.
+    The first tier that returns rows answers, so a tier is only run for the queries that no tier before answered;
+    ``keep`` filters documents before the limit.
     """
-    asked = saved(queries.select(*[c for c in ("grp",) if c in queries.columns], "query_id", T.plain_terms(F.col("question")).alias("plain"), T.content_terms(F.col("question")).alias("content")))
-    tiers = []
-    if not loose_only:
-        every = bm25(asked, index, "plain")
-        sizes = asked.select("query_id", F.size(F.array_distinct("plain")).alias("wanted"))
-        tiers.append(every.join(sizes, "query_id").where("matched = wanted").drop("wanted").withColumn("tier", F.lit(1)))
-        tiers.append(bm25(asked, index, "content", prefix=True).withColumn("tier", F.lit(2)))
-    tiers.append(bm25(asked, index, "plain", prefix=True).withColumn("tier", F.lit(3)))
-    rows = tiers[0]
-    for more in tiers[1:]:
-        rows = rows.unionByName(more)
-    if keep:
-        rows = keep(rows)
-    first = Window.partitionBy("query_id")
-    rows = rows.withColumn("best", F.min("tier").over(first)).where("tier = best").drop("best", "matched")
-    return top_k(rows, k, [F.col("score"), F.col("doc_id")])
-
-
-def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int, same_group: bool = False) -> DataFrame:
+    left = saved(queries.select(*[c for c in ("grp",) if c in queries.columns], "query_id", T.plain_terms(F.col("question")).alias("plain"), T.content_terms(F.col("question")).alias("content")))
+    out = None
+    for tier in (3,) if loose_only else (1, 2, 3):
+        rows = bm25(left, index, "content" if tier == 2 else "plain", prefix=tier > 1)
+        if tier == 1:
+            sizes = left.select("query_id", F.size(F.array_distinct("plain")).alias("wanted"))
+            rows = rows.join(sizes, "query_id").where("matched = wanted").drop("wanted")
+        rows = rows.withColumn("tier", F.lit(tier))
+        if keep:
+            rows = keep(rows)
+        found = saved(top_k(rows.drop("matched"), k, [F.col("score"), F.col("doc_id")]))
+        out = found if out is None else out.unionByName(found)
+        if tier < 3:
+            left = saved(left.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+            if left.isEmpty():
+                break
+    return out
+
+
+#: Vectors that a task holds as one matrix, about, and queries that meet it at once.
+CHUNK = 8192
+BLOCK = 512
+
+
+def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine above 0, best first, ids break ties. Vectors of equal length only.
 
-    Queries are a stated set: they are collected in blocks of 2,000 and each block goes over all vectors in
-    Arrow batches with one matrix product, keeping k rows of each batch.
+    Queries are a stated set. Vectors are dealt into chunks, and blocks of queries go to every chunk, where they meet
+    in one matrix product; each chunk keeps k rows of a query.
     """
-    asked = [(r["query_id"], r["vec"]) for r in queries.select("query_id", "vec").where("vec is not null").orderBy("query_id").toLocalIterator()]
+    stored = vectors.select("doc_id", "vec").where("vec is not null and size(vec) > 0").withColumn("dims", F.size("vec"))
+    asked = queries.select("query_id", "vec").where("vec is not null and size(vec) > 0").withColumn("dims", F.size("vec"))
+    stored = saved(stored)
+    chunks, blocks = max(1, -(-stored.count() // CHUNK)), max(1, -(-asked.count() // BLOCK))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks))
+    groups = asked.groupBy("dims", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vec")).alias("asked"))
+    sent = groups.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "block", "asked")
+    held = stored.select("dims", chunk.alias("chunk"), "doc_id", "vec")
+    dealt = held.unionByName(sent, allowMissingColumns=True).repartition(chunks, "dims", "chunk").sortWithinPartitions("dims", "chunk", F.col("block").asc_nulls_first())
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
-    for at in range(0, max(1, len(asked)), 2000):
-        block = asked[at : at + 2000]
-
-        def ranked(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            by_size: dict[int, list[int]] = {}
-            for i, (_, v) in enumerate(block):
-                by_size.setdefault(len(v), []).append(i)
-            for batch in batches:
-                size = batch["vec"].map(len)
-                for dims, which in by_size.items():
-                    part = batch[size == dims]
-                    if not len(part):
-                        continue
-                    m = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                    q = np.array([block[i][1] for i in which], dtype=np.float64)
-                    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
-                    cos = np.divide(q @ m.T, norms, out=np.zeros_like(norms), where=norms > 0)
-                    ids = np.array(part["doc_id"].tolist())
-                    for row, i in enumerate(which):
-                        best = np.lexsort((ids, -cos[row]))[:k]
-                        best = best[cos[row][best] > 0]
-                        if len(best):
-                            yield pd.DataFrame({"query_id": [block[i][0]] * len(best), "doc_id": ids[best].tolist(), "score": cos[row][best]})
-
-        part = vectors.select("doc_id", "vec").where("vec is not null").mapInPandas(ranked, schema)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k, [F.desc("score"), F.col("doc_id")])
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, rows, matrix, length = None, [], [], None, None
+        for batch in batches:
+            for dims, chunk, doc_id, vec, queries in zip(batch["dims"], batch["chunk"], batch["doc_id"], batch["vec"], batch["asked"], strict=True):
+                if (dims, chunk) != now:
+                    now, ids, rows, matrix = (dims, chunk), [], [], None
+                if queries is None:
+                    ids.append(doc_id)
+                    rows.append(vec)
+                    continue
+                if not rows:
+                    continue
+                if matrix is None:
+                    matrix = np.stack(rows).astype(np.float64)
+                    length, names = np.linalg.norm(matrix, axis=1), np.array(ids)
+                q = np.array([r["vec"] for r in queries], dtype=np.float64)
+                norms = np.linalg.norm(q, axis=1)[:, None] * length[None, :]
+                cos = np.divide(q @ matrix.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                out = []
+                for r, scores in zip(queries, cos, strict=True):
+                    # All that tie with the k-th stay until they are ordered by id.
+                    least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+                    some = np.flatnonzero((scores >= least) & (scores > 0))
+                    best = some[np.lexsort((names[some], -scores[some]))[:k]]
+                    out.append(pd.DataFrame({"query_id": [r["query_id"]] * len(best), "doc_id": names[best].tolist(), "score": scores[best]}))
+                yield pd.concat(out, ignore_index=True)
+
+    found = dealt.select("dims", "chunk", "doc_id", "vec", "asked").mapInPandas(ranked, schema)
+    return top_k(found, k, [F.desc("score"), F.col("doc_id")])
 
 
 def fuse_rrf(text: DataFrame, vector: DataFrame, k: int | None = None) -> DataFrame:

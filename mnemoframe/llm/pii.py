@@ -1,13 +1,15 @@
 """Personal data: base patterns plus a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-The net learns from spans that the base patterns label in a bounded sample. At run time overlapping windows
-around every digit and at sign (each kind has one) are decoded in batches; a character takes its tag from the
-window in which it is most central, and the merged tags give the added spans.
+The net learns from a bounded sample of windows of the documents: spans that the base patterns label, values written in
+other ways (FORMS) at random places, and numbers that are no personal data. At run time the emissions of overlapping
+windows around digits, at signs and spelled-out addresses are averaged, and each whole stretch is decoded at once by the
+CRF, so its tags agree with each other wherever windows meet.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Span, span_digest, span_text
+from .common import Span, materialise, span_digest, span_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that only the net found have the kind with this suffix.
@@ -28,7 +30,9 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 64
 STRIDE = 32
 MARGIN = 24
-HIDDEN = 12
+HIDDEN = 16
+#: Windows of one document in the sample, at most.
+DOC_WINDOWS = 6
 #: Windows used for training, at most; documents looked at for them, at most about (by hash of doc_id).
 TRAIN_WINDOWS = 1200
 TRAIN_DOCS = 20_000
@@ -42,7 +46,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: What a text needs for a base span, and for one that the net may add.
 TRIGGER = re.compile(r"[0-9@]")
+SPELLED = r"(?i:[\[( ]at[\]) ][^\n]{1,40}?[\[( ]dot[\]) ])"
+ANY_TRIGGER = re.compile(rf"[0-9@]|{SPELLED}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -83,18 +90,18 @@ def base_spans(text: str) -> list[Span]:
     return spans + [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
 
 
-_CLASSES = "0 a A @ . - _ + % ( ) , : / = ' \" | # $ & * !".split()
-CLASSES = len(_CLASSES) + 6
+_CLASSES = "0 abcdefghijklmnopqrstuvwxyz @ . - _ + % ( ) [ ] , : / = ' \" | # $ & * !".replace("abcdefghijklmnopqrstuvwxyz", " ".join("abcdefghijklmnopqrstuvwxyz")).split()
+CLASSES = len(_CLASSES) + 5
 _table: list[np.ndarray] = []
 
 
 def char_classes(text: str) -> np.ndarray:
-    """Class of each character: digits, lower and upper letters, blanks, line ends, single marks, the rest; 0 pads."""
+    """Class of each character: digits as one, letters without case, marks, blanks, line ends, the rest; 0 pads."""
     if not _table:
         table = np.full(129, CLASSES - 1, dtype=np.int8)
         for i in range(128):
             c = chr(i)
-            key = "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c
+            key = "0" if c.isdigit() else c.lower()
             table[i] = 1 + _CLASSES.index(key) if key in _CLASSES else CLASSES - 4 if c == " " else CLASSES - 3 if c.isspace() else CLASSES - 2
         _table.append(table)
     return _table[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 128)]
@@ -143,18 +150,27 @@ class Net:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["o"] + self.p["b"], (both, kf, kb)
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tag sequences (N, T) by Viterbi."""
-        e, _ = self.emissions(x)
-        score, back = self.p["s"] + e[0], []
-        for t in range(1, len(e)):
-            paths = score[:, :, None] + self.p["t"]
-            back.append(paths.argmax(axis=1).astype(np.int8))
-            score = np.take_along_axis(paths, back[-1][:, None, :].astype(np.int64), axis=1)[:, 0] + e[t]
-        tags = [score.argmax(axis=1)]
-        for step in reversed(back):
-            tags.append(step[np.arange(len(x)), tags[-1]].astype(np.int64))
-        return np.stack(tags[::-1], axis=1)
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each sequence of emissions (T, tags), by Viterbi; sequences of any length go together."""
+        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
+        for at in range(0, len(order), BATCH):
+            part = [i for i in order[at : at + BATCH] if len(scores[i])]
+            if not part:
+                continue
+            sizes = np.array([len(scores[i]) for i in part])
+            best, back = self.p["s"] + np.stack([scores[i][0] for i in part]), []
+            for t in range(1, sizes[0]):
+                n = int(np.searchsorted(-sizes, -t, side="left"))  # those longer than t, which come first
+                paths = best[:n, :, None] + self.p["t"]
+                back.append(paths.argmax(axis=1).astype(np.int8))
+                best[:n] = np.take_along_axis(paths, back[-1][:, None, :].astype(np.int64), axis=1)[:, 0] + np.stack([scores[i][t] for i in part[:n]])
+            for row, i in enumerate(part):
+                tags = [int(best[row].argmax())]
+                for step in reversed(back[: sizes[row] - 1]):
+                    tags.append(int(step[row, tags[-1]]))
+                out[i] = np.array(tags[::-1])
+        return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood per character and its gradient: CRF forward-backward, then through time."""
@@ -216,120 +232,199 @@ def train(windows: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: int
             tag = TAGS.index(f"B-{kind}")
             y[n, s:e] = tag + 1
             y[n, s] = tag
-    net, step = Net.new(rng), 0
+    net, step, steps = Net.new(rng), 0, epochs * -(-len(x) // 32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(x))
-        for at in range(0, len(x), 64):
-            rows = order[at : at + 64]
+        for at in range(0, len(x), 32):
+            rows = order[at : at + 32]
             _, grad = net.gradient(x[rows], y[rows])
             step += 1
             for name, g in grad.items():
                 g = np.clip(g, -1, 1).astype(np.float32)
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.99 * v[name] + 0.01 * g * g
-                rate = 0.02 * min(1.0, 20 / max(1, step - 150)) if step > 170 else 0.02
+                rate = 0.02 * min(1.0, 2.5 * (1 - step / steps) + 0.02)  # falls over the last two fifths
                 net.p[name] = (net.p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
-def training_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[str, list[Span]]]:
-    """Windows round each labelled span, at a random place in the window, and round other digits."""
-    spans = sorted((s, e, k) for s, e, k in base_spans(text) if e - s <= WINDOW - 8)
-    spans = [a for i, a in enumerate(spans) if all(b[1] <= a[0] or a[1] <= b[0] for b in spans[:i] + spans[i + 1 :])]
-    centres = [(s, e) for s, e, _ in spans]
-    others = [m.start() for m in re.finditer(r"[0-9]{3,}", text) if not any(s <= m.start() < e for s, e in centres)]
-    centres += [(o, o + 1) for o in others[:2]]
-    for s, e in centres[:6]:
+def _digits(rng: np.random.Generator, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _word(rng: np.random.Generator, low: int = 3, high: int = 9) -> str:
+    return "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, rng.integers(low, high)))
+
+
+def card_number(rng: np.random.Generator) -> str:
+    """16 digits whose last makes them pass the check."""
+    head = "4" + _digits(rng, 14)
+    return next(head + str(d) for d in range(10) if luhn(head + str(d)))
+
+
+def written_otherwise(kind: str, rng: np.random.Generator) -> str:
+    """A value of a kind, written in a way that the base patterns do not know."""
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    if kind == "email":
+        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "))
+        name = _word(rng) + pick("", dot + _word(rng), _digits(rng, 2))
+        return name + at + _word(rng) + pick("", dot + _word(rng)) + dot + pick("com", "org", "net", "de", "fr", "es")
+    if kind == "ip":
+        return pick(" . ", "[.]", " dot ", "(.)").join(str(x) for x in rng.integers(1, 256, 4))
+    if kind == "card":
+        n, mark = card_number(rng), pick(".", "/", " - ", "_")
+        return mark.join(n[i : i + 4] for i in range(0, 16, 4))
+    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{pick('49', '33', '34')} {a} {b}{c}", f"0{a}/{b} {c}", f"({a}){b}-{c}")
+
+
+def written_plainly(kind: str, rng: np.random.Generator) -> str:
+    """A value of a kind as the base patterns know it."""
+    n = lambda k: _digits(rng, k)
+    if kind == "email":
+        return f"{_word(rng)}{['', '.' + _word(rng), n(2)][int(rng.integers(3))]}@{_word(rng)}{['', n(1) + '.' + _word(rng)][int(rng.integers(2))]}.{['com', 'org', 'net', 'de'][int(rng.integers(4))]}"
+    if kind == "ip":
+        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == "card":
+        number = card_number(rng)
+        return ["", "", " ", "-"][int(rng.integers(4))].join(number[i : i + 4] for i in range(0, 16, 4))
+    return f"+{n(int(rng.integers(1, 3)))} {[f'({n(3)}) {n(3)}-{n(4)}', f'{n(3)} {n(7)}', f'{n(2)} {n(4)} {n(4)}'][int(rng.integers(3))]}"
+
+
+def harmless(rng: np.random.Generator) -> str:
+    """Numbers that are no personal data."""
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    n = lambda k: _digits(rng, k)
+    return pick(
+        f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.20{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"v{n(1)}.{n(2)}.{n(1)}", f"{n(3)},{n(3)}.{n(2)}", f"${n(4)}.{n(2)}", f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}",
+        f"pp. {n(3)}-{n(3)}", f"{n(pick(5, 6, 7, 8, 9, 11, 12, 20, 22))}", f"{n(2)} x {n(3)} x {n(2)}", f"id {n(6)}-{n(6)}-{n(6)}", f"{n(4)} {n(4)}", f"{n(1)}.{n(1)}.{n(1)}", f"{_word(rng)} at {_word(rng)} a dot {_word(rng)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(4)}-{n(4)}-{n(4)}",
+    )
+
+
+def training_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[str, list[Span], bool]]:
+    """(window, spans, whether the value is the document's own). Up to DOC_WINDOWS windows of a document: round labelled spans, each at a random place in its window, round other
+    numbers, and round a generated value (or a harmless number) that is put at a random place."""
+    spans, last = [], 0
+    for x in sorted((s, e, k) for s, e, k in base_spans(text) if e - s <= WINDOW - 8):
+        if x[0] >= last:  # overlapping spans teach nothing clear
+            spans.append(x)
+            last = x[1]
+    starts = [s for s, _, _ in spans]
+    others = [m.span() for m in re.finditer(r"[0-9]{3,}", text) if not ((i := bisect_right(starts, m.start())) and spans[i - 1][1] > m.start())]
+    centres = [(s, e) for s, e, _ in spans] + [others[i] for i in rng.permutation(len(others))[:2]]
+    for i in rng.permutation(len(centres))[: DOC_WINDOWS - 3]:
+        s, e = centres[i]
         at = max(0, s - int(rng.integers(0, max(1, WINDOW - (e - s)))))
-        inside = [(max(a - at, 0), b - at, k) for a, b, k in spans if at <= a and b <= at + WINDOW]
-        cut = [1 for a, b, _ in spans if (a < at < b) or (a < at + WINDOW < b)]
-        if not cut:
-            yield text[at : at + WINDOW], inside
+        near = spans[max(0, bisect_right(starts, at) - 1) : bisect_right(starts, at + WINDOW)]
+        if not any((a < at < b) or (a < at + WINDOW < b) for a, b, _ in near):
+            yield text[at : at + WINDOW], [(a - at, b - at, k) for a, b, k in near if at <= a and b <= at + WINDOW], True
+    for _ in range(3):
+        at = int(rng.integers(0, max(1, len(text))))
+        at += 1 if not (space := re.compile(r"\s").search(text, at)) else space.start() - at
+        kind = [*KINDS, None][int(rng.integers(5))]
+        value = harmless(rng) if not kind else written_plainly(kind, rng) if rng.random() < 0.5 else written_otherwise(kind, rng)
+        before, after = text[max(0, at - WINDOW) : at], text[at : at + WINDOW]
+        if base_spans(f"{before} {after}"):
+            continue
+        room = max(1, WINDOW - len(value) - 2)
+        head = f"{before} "[-int(rng.integers(1, room + 1)) :]
+        window = f"{head}{value} {after.lstrip()}"[:WINDOW]
+        if len(head) + len(value) <= WINDOW:
+            yield window, [(len(head), len(head) + len(value), kind)] if kind else [], False
 
 
 def sample_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS, most_docs: int = TRAIN_DOCS) -> list[tuple[str, list[Span]]]:
-    """A bounded sample of labelled windows: documents by hash of the id, windows by hash of their text."""
+    """A bounded sample of labelled windows: documents by hash of the id, windows by hash of their text, up to half of
+    them round the documents' own values and numbers."""
     share = min(1.0, most_docs / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").where(F.col("text").rlike("[0-9@]"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").where("text is not null")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 rng = np.random.default_rng(len(text))
-                rows += [(w, [{"s": s, "e": e, "kind": k} for s, e, k in spans]) for w, spans in training_windows(text, rng)]
+                rows += [(w, [{"s": s, "e": e, "kind": k} for s, e, k in spans], own) for w, spans, own in training_windows(text, rng)]
             if rows:
-                yield pd.DataFrame(rows, columns=["window", "spans"])
+                yield pd.DataFrame(rows, columns=["window", "spans", "own"])
 
-    made = some.mapInPandas(cut, "window string, spans array<struct<s:int,e:int,kind:string>>")
-    return [(r["window"], [tuple(x) for x in r["spans"]]) for r in made.orderBy(F.xxhash64("window"), "window").limit(limit).collect()]
+    made = materialise(some.mapInPandas(cut, "window string, spans array<struct<s:int,e:int,kind:string>>, own boolean"), "windows")
+    order = [F.xxhash64("window"), "window"]
+    own = made.where("own").orderBy(F.size("spans") == 0, *order).limit(limit // 2).collect()
+    other = made.where("not own").orderBy(*order).limit(limit - len(own)).collect()
+    return [(r["window"], [tuple(x) for x in r["spans"]]) for r in own + other]
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within MARGIN of a digit or at sign."""
+    """Stretches within MARGIN of a digit, an at sign or a spelled-out address."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
+    for m in ANY_TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
 def plausible(kind: str, text: str) -> bool:
-    """What an added span has to satisfy whatever the net says."""
+    """What an added span has to have whatever the net says: numbers that can be of the kind, for an address a word on
+    both sides of what stands for the at sign and one after the last dot."""
     digits = digits_of(text)
     if kind == "email":
-        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", text) is not None
+        return re.fullmatch(r"(?is).*\w\W*(?:@|\bat\b)\W*\w.*(?:\.|\bdot\b)\W*[a-z]{2,}", text) is not None
     if kind == "ip":
-        return re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text) is not None and all(int(p) <= 255 for p in text.split("."))
+        return len(parts := re.findall(r"[0-9]+", text)) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if re.search(r"[A-Za-z]", text):
+        return False
     if kind == "card":
-        return 14 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 -]+", text) is not None
-    return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", text) is not None and re.search(r"[ ().-]", text) is not None
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15 and len(digits) < len(text)
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether a span neither starts nor ends inside a word or number."""
+    inside = lambda a, b: a.isalnum() and b.isalnum()
+    return not (start > 0 and inside(text[start - 1], text[start])) and not (end < len(text) and inside(text[end - 1], text[end]))
 
 
 def decoded_spans(net: Net, texts: list[str]) -> list[list[Span]]:
-    """The net's spans in each text, from overlapping windows."""
-    places = []
-    for n, text in enumerate(texts):
-        for a, b in regions(text):
-            for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE):
-                places.append((n, a, b, s))
-    found: list[list[Span]] = [[] for _ in texts]
-    classes: dict[int, np.ndarray] = {}
-    merged: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-    centre = -np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
-    for at in range(0, len(places), BATCH):
-        part = places[at : at + BATCH]
-        x = np.zeros((len(part), WINDOW), dtype=np.int64)
-        for i, (n, _, _, s) in enumerate(part):
-            if n not in classes:
-                classes = {n: char_classes(texts[n])}
-            piece = classes[n][s : s + WINDOW]
-            x[i, : len(piece)] = piece
-        for (n, a, b, s), tags in zip(part, net.decode(x), strict=True):
-            best, tag = merged.setdefault((n, a, b), (np.full(b - a, -np.inf), np.zeros(b - a, dtype=np.int64)))
-            size = min(WINDOW, b - s)
-            where = np.flatnonzero(centre[:size] > best[s - a : s - a + size])
-            best[s - a + where], tag[s - a + where] = centre[where], tags[where]
-    for (n, a, _), (_, tag) in ((k, v) for k, v in merged.items()):
-        start, kind = None, 0
-        for i, t in enumerate([*tag.tolist(), 0]):
-            which = (t + 1) // 2
-            if start is not None and (which != kind or t % 2):
-                s, e = a + start, a + i
-                while s < e and texts[n][s] in " \n":
-                    s += 1
-                while e > s and texts[n][e - 1] in " \n.,":
-                    e -= 1
-                if e > s and plausible(KINDS[kind - 1], texts[n][s:e]):
-                    found[n].append((s, e, ADDED[kind - 1]))
-                start = None
-            if which and start is None:
-                start, kind = i, which
+    """The net's spans in each text: the emissions of overlapping windows are averaged, then each stretch is decoded."""
+    found: list[list[Span]] = []
+    for text in texts:
+        found.append([])
+        stretches = regions(text)
+        if not stretches:
+            continue
+        codes = np.concatenate([char_classes(text).astype(np.int64), np.zeros(WINDOW, np.int64)])
+        places = [(i, s) for i, (a, b) in enumerate(stretches) for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
+        scores = [np.zeros((b - a, len(TAGS)), np.float32) for a, b in stretches]
+        times = [np.zeros((b - a, 1), np.float32) for a, b in stretches]
+        for at in range(0, len(places), BATCH):
+            part = places[at : at + BATCH]
+            emissions, _ = net.emissions(np.stack([codes[s : s + WINDOW] for _, s in part]))
+            for n, (i, s) in enumerate(part):
+                a, b = stretches[i]
+                size = min(WINDOW, b - s)
+                scores[i][s - a : s - a + size] += emissions[:size, n]
+                times[i][s - a : s - a + size] += 1
+        for (a, _), tags in zip(stretches, net.decode([x / np.maximum(t, 1) for x, t in zip(scores, times, strict=True)]), strict=True):
+            start, kind = None, 0
+            for i, t in enumerate([*tags.tolist(), 0]):
+                which = (t + 1) // 2
+                if start is not None and (which != kind or t % 2):
+                    s, e = a + start, a + i
+                    while s < e and text[s] in " \n":
+                        s += 1
+                    while e > s and text[e - 1] in " \n.,":
+                        e -= 1
+                    if e > s and _whole(text, s, e) and plausible(KINDS[kind - 1], text[s:e]):
+                        found[-1].append((s, e, ADDED[kind - 1]))
+                    start = None
+                if which and start is None:
+                    start, kind = i, which
     return found
 
 
@@ -339,9 +434,15 @@ def scan_texts(net: Net | None, texts: list[str]) -> list[tuple[list[Span], list
     out = []
     for b, more in zip(base, decoded_spans(net, texts) if net else [[]] * len(texts), strict=True):
         kept: list[Span] = []
+        last = at = reach = 0
+        order = sorted(b)
         for x in sorted(more):
-            if all(x[1] <= s or e <= x[0] for s, e, _ in [*b, *kept]):
+            while at < len(order) and order[at][0] < x[1]:  # base spans that start before x ends
+                reach = max(reach, order[at][1])
+                at += 1
+            if x[0] >= max(last, reach):
                 kept.append(x)
+                last = x[1]
         out.append((b, kept))
     return out
 
@@ -391,6 +492,6 @@ def mask_documents(docs: DataFrame) -> DataFrame:
         found = scan_texts(net, [t or "" for t in texts])
         return pd.Series([mask(t, [*b, *m]) for t, (b, m) in zip(texts, found, strict=True)], dtype=object)
 
-    text = F.when(F.col("text").rlike("[0-9@]"), masked("text")).otherwise(F.col("text"))
+    text = F.when(F.col("text").rlike(ANY_TRIGGER.pattern), masked("text")).otherwise(F.col("text"))
     out = docs.withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -15,11 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 Q = 8
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
 #: Characters of benchmark text in one index; a larger benchmark is searched in several passes.
 BLOCK_CHARS = 2_000_000
+#: Characters of an item up to which it is looked for as a whole; longer ones are looked for by pieces of this length,
+#: as the cost of an alignment grows with the square of the length.
+ITEM_CHARS = 4000
+#: Cells of a row of the alignments that are made together.
+CELLS = 200_000
 #: Characters of text looked at together.
 CHUNK_CHARS = 1_500_000
 #: q-grams in more item positions than this are left out of the count where an item has enough others.
@@ -63,10 +70,12 @@ def q_gram_hashes(codes: np.ndarray) -> np.ndarray:
 class Index:
     """q-grams of the items to (item, position), with each item's edit budget and bound."""
 
-    def __init__(self, items: Sequence[tuple[int, str]]):
-        codes = [(key, c.strip()) for key, text in items if len(c := _Codes(text)) >= Q]
+    def __init__(self, items: Sequence[tuple[object, str]]):
+        pieces = [(key, c.codes[at : at + ITEM_CHARS]) for key, text in items if len(c := _Codes(text)) >= Q for at in range(0, len(c), ITEM_CHARS)]
+        # A blank end or a very short last piece of a long item says nothing.
+        codes = [(key, x) for key, x in pieces if len(x) >= Q]
         self.ids = [key for key, _ in codes]
-        self.codes = [c.codes for _, c in codes]
+        self.codes = [x for _, x in codes]
         self.edits = np.array([int(EDIT_RATE * len(c)) for c in self.codes], dtype=np.int64)
         hashes = [q_gram_hashes(c) for c in self.codes]
         flat = np.concatenate([np.empty(0, np.uint64), *hashes])
@@ -175,8 +184,15 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int, int, int
     codes, owners = np.concatenate(parts), np.array(owners)
     item, band = index.candidates(codes)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for s in range(0, len(item), 256):
-        some, bands = item[s : s + 256], band[s : s + 256]
+    order = np.argsort(index.edits[item], kind="stable")
+    item, band = item[order], band[order]
+    at = 0
+    while at < len(item):
+        # The budget that is 256 places on bounds the width of all before it.
+        widest = 4 * (int(index.edits[item[min(at + 255, len(item) - 1)]]) + 1)
+        many = max(1, min(256, CELLS // widest))
+        some, bands = item[at : at + many], band[at : at + many]
+        at += many
         step = index.edits[some] + 1
         low = bands * step - step
         best, start, end = align([index.codes[i] for i in some], codes, low, int(4 * step.max()))
@@ -195,13 +211,22 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int, int, int
     return sorted(rows)
 
 
-def benchmark_blocks(benchmark: DataFrame, text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """(item_id, text) of the benchmark in blocks of about BLOCK_CHARS characters, at least one block."""
+def distinct_items(benchmark: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts, members): the distinct texts (key, text, item_id, copies) and which items have each (key, item_id), so
+    that a text that many items repeat is collected and looked for once."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col("item_id").cast("long"), F.col(text_col).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = items.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "items")
+    repeated = texts.where("copies > 1").select("text", "key")
+    return texts, materialise(items.join(repeated, "text").select("key", "item_id"), "members")
+
+
+def benchmark_blocks(texts: DataFrame) -> Iterator[list[tuple[tuple[int, int | None, int], str]]]:
+    """((key, item_id, copies), text) of distinct texts in blocks of about BLOCK_CHARS characters, at least one block."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     for block in range(blocks):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()]
+        yield [((r["key"], r["item_id"], r["copies"]), r["text"]) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("text").collect()]
 
 
 def chunks(texts: Sequence[str]) -> Iterator[tuple[int, Sequence[str]]]:
@@ -217,29 +242,37 @@ def chunks(texts: Sequence[str]) -> Iterator[tuple[int, Sequence[str]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, item_chars): every benchmark item found in every whole text.
 
-    Case, punctuation and runs of blanks do not count. start and end are code points of the original text.
-    Null and empty texts hold nothing; items of fewer than Q letters and blanks are never found; repeated rows are searched
-    each; a null item_id stays null. The benchmark is collected in blocks of about BLOCK_CHARS characters and
-    each block is one pass over the texts without a shuffle.
+    Case, punctuation and runs of blanks do not count. start and end are code points of the original text. An item of
+    over ITEM_CHARS characters is looked for by its pieces, each with its own row (item_chars is the piece's length).
+    Null and empty texts hold nothing; items of fewer than Q letters and blanks are never found; repeated documents and
+    items are found each; a null item_id stays null. The distinct items are collected in blocks of about BLOCK_CHARS
+    characters and each block is one pass over the texts without a shuffle.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    schema = "doc_id long, item_id long, start long, end long, edits int, item_chars int"
-    out = None
-    for rows in benchmark_blocks(benchmark, text_col):
+    schema = "doc_id long, key long, item_id long, copies long, start long, end long, edits int, item_chars int"
+    items, members = distinct_items(benchmark, text_col)
+    out, repeated = None, False
+    for rows in benchmark_blocks(items):
+        repeated = repeated or any(copies > 1 for (_, _, copies), _ in rows)
 
         def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
             index = Index(rows)
             for batch in batches:
                 ids, texts = batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
-                made = [(ids[first + d], index.ids[k], s, e, c, len(index.codes[k])) for first, some in chunks(texts) for d, k, s, e, c in find_in(index, some)]
-                yield pd.DataFrame(made, columns=["doc_id", "item_id", "start", "end", "edits", "item_chars"]).astype({"item_id": "Int64", "doc_id": "Int64"})
+                made = [(ids[first + d], *index.ids[k], s, e, c, len(index.codes[k])) for first, some in chunks(texts) for d, k, s, e, c in find_in(index, some)]
+                yield pd.DataFrame(made, columns=["doc_id", "key", "item_id", "copies", "start", "end", "edits", "item_chars"]).astype({"item_id": "Int64", "doc_id": "Int64"})
 
         part = texts.mapInPandas(search, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    columns = ["doc_id", "item_id", "start", "end", "edits", "item_chars"]
+    if not repeated:
+        return out.select(columns)
+    found = materialise(out, "found")
+    several = found.where("copies > 1").drop("item_id").join(members, "key")
+    return found.where("copies = 1").select(columns).unionByName(several.select(columns))
 
 
-def holds_item(rows: list[tuple[int, str]]):
+def holds_item(rows: list[tuple[object, str]]):
     """A column function: whether a text holds one of the items. A worker builds the index once per task."""
     ready: list[Index] = []
 
@@ -257,6 +290,7 @@ def holds_item(rows: list[tuple[int, str]]):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; nothing is shuffled."""
-    for rows in benchmark_blocks(benchmark):
+    items, _ = distinct_items(benchmark)
+    for rows in benchmark_blocks(items):
         docs = docs.where(~holds_item(rows)("text"))
     return docs

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 FEATURES = 256
+#: Kernel width, about one over the number of standardised statistics, and penalty.
 GAMMA = 0.04
 RIDGE = 1.0
 SEED = 7
 #: Labelled rows used for fitting, at most about (chosen by hash of doc_id).
 TRAIN_ROWS = 200_000
+#: One in so many teaching documents fits the calibration only.
+CALIBRATION = 5
 #: Score bins that the calibration sees.
 BINS = 2000
 THRESHOLD = 0.3
@@ -128,11 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in batch["text"]], "y": batch["y"]})
+            yield batch[["y", "calibrates"]].assign(x=[statistics(t) for t in batch["text"]])[["x", "y", "calibrates"]]
 
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
-    train = materialise(labelled.mapInPandas(count, "x array<double>, y double"), "train")
-    sums = train.agg(F.count("*").alias("n"), *(F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(_STATISTICS)), *(F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(_STATISTICS))).first()
+    # A share of the documents fits the calibration, the others the ridge: scores of rows that the ridge saw are too sure.
+    kept_back = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION)) == 0
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y", kept_back.alias("calibrates"))
+    train = materialise(labelled.mapInPandas(count, "x array<double>, y double, calibrates boolean"), "train")
+    sums = train.agg(F.count("*").alias("n"), F.count_if("calibrates").alias("back"), *(F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(_STATISTICS)), *(F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(_STATISTICS))).first()
     if not sums["n"]:
         return None
     rng = np.random.default_rng(SEED)
@@ -158,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": group["i"][:1], "row": [np.sum(np.stack(group["row"].to_numpy()), axis=0)]})
 
-    parts = train.mapInPandas(equations, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
+    # Too few labels to have both kinds of rows: all do both.
+    ridge, calibration = (train, train) if sums["back"] in (0, sums["n"]) else (train.where("not calibrates"), train.where("calibrates"))
+    parts = ridge.mapInPandas(equations, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
     system = np.array([r["row"] for r in sorted(parts.collect(), key=lambda r: r["i"])])
     penalty = RIDGE * np.eye(size)
     penalty[-1, -1] = 1e-6
@@ -170,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
                 raw = model.raw(np.stack(batch["x"].to_numpy()))
                 yield pd.DataFrame({"bin": np.clip(raw * BINS / 2 + BINS / 4, 0, BINS - 1).astype(int), "raw": raw, "y": batch["y"]})
 
-    bins = train.mapInPandas(scored, "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()
+    bins = calibration.mapInPandas(scored, "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()
     bins.sort(key=lambda r: r["raw"])
     model.edges = np.array([r["raw"] for r in bins])
     model.values = isotonic(np.array([r["y"] for r in bins]), np.array([r["n"] for r in bins], float))

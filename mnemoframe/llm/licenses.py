@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
-#: Cells of the plain alignment that gaps without unique words get; larger gaps stay open.
+#: Cells of a plain alignment; a larger gap without unique words is halved first, in linear space.
 GAP_CELLS = 40_000
 
 #: Public license notices.
@@ -111,6 +111,23 @@ def _plain(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` and each beginning of ``b``, in one row."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row
+
+
+def _halved(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Where a longest common subsequence can be cut: the middle of ``a`` and its place in ``b``."""
+    half = len(a) // 2
+    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+    return half, max(range(len(b) + 1), key=lambda j: left[j] + right[j])
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Aligned (position in a, position in b), increasing in both."""
     out: list[tuple[int, int]] = []
@@ -129,8 +146,15 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         where = {w: j for j, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = increasing([(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in where])
         if not anchors:
+            if in_a.keys().isdisjoint(in_b):
+                continue
             if (a1 - a0) * (b1 - b0) <= GAP_CELLS:
                 out += [(a0 + i, b0 + j) for i, j in _plain(a[a0:a1], b[b0:b1])]
+            elif a1 - a0 > 1:
+                i, j = _halved(a[a0:a1], b[b0:b1])
+                todo += [(a0, a0 + i, b0, b0 + j), (a0 + i, a1, b0 + j, b1)]
+            else:
+                out.append((a0, b0 + b[b0:b1].index(a[a0])))
             continue
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
         out += anchors
@@ -171,8 +195,7 @@ def scan_text(text: str, templates: Templates, coverage: float = COVERAGE) -> li
                 if len(pairs) < least:
                     continue
                 s, e = a + pairs[0][0], a + pairs[-1][0] + 1
-                if e - s <= 2 * len(template) + 4:
-                    found.add((len(pairs), name, s, e))
+                found.add((len(pairs), name, s, e))
                 todo += [x for x in ((a, s), (e, b)) if x != (a, b)]
     kept: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []

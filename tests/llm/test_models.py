@@ -1,12 +1,15 @@
 """Licenses, decontamination, quality, personal data and nearest neighbours against plain versions or held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoframe.llm import ann, leaks, licenses, pii, quality
 
@@ -294,3 +297,93 @@ def test_ties_repeated_rows_and_lengths(spark):
     got = {q: [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 60, 80)}
     assert got[0] == [(10, 1.0), (20, 1.0), (30, 1.0)] and got[20] == [(0, 1.0), (10, 1.0), (30, 1.0)]
     assert got[60] == [(70, 1.0)] and got[80] == []
+
+
+def test_repeated_and_long_items(spark):
+    """A text that many items repeat is found for each; a very long item by its pieces."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    passage, long = (" ".join(word() for _ in range(n)) for n in (30, 30_000))
+    bench = spark.createDataFrame([(i, passage) for i in range(50)] + [(None, passage), (99, long), (100, " ".join(word() for _ in range(30)))], "item_id long, text string")
+    docs = docs_of(spark, [f"before {passage} after", "before " + long[: leaks.ITEM_CHARS + 500] + " after", " ".join(word() for _ in range(200))])
+    rows = leaks.find_leaks(docs, bench).collect()
+    assert sorted((r.item_id if r.item_id is not None else -1) for r in rows if r.doc_id == 0) == [-1, *range(50)]
+    assert [(r.item_id, r.item_chars, r.edits) for r in rows if r.doc_id == 1] == [(99, leaks.ITEM_CHARS, 0)] and not [r for r in rows if r.doc_id == 2]
+    assert [r.doc_id for r in leaks.drop_leaks(docs, bench).collect()] == [2]
+
+
+def test_viterbi_against_all_tag_sequences():
+    rng = np.random.default_rng(1)
+    small = pii.Net({"t": rng.normal(size=(3, 3)), "s": rng.normal(size=3)})
+    scores = [rng.normal(size=(n, 3)) for n in (1, 5, 0, 4, 5)]
+    for score, tags in zip(scores, small.decode(scores), strict=True):
+        paths = list(itertools.product(range(3), repeat=len(score)))
+        total = lambda p, e=score: (small.p["s"][p[0]] if p else 0) + sum(e[i, t] for i, t in enumerate(p)) + sum(small.p["t"][a, b] for a, b in zip(p, p[1:], strict=False))
+        assert tuple(tags.tolist()) == max(paths, key=total)
+
+
+def test_net_finds_values_written_otherwise(net):
+    """Forms that no base pattern knows, in contexts that the net has not seen; numbers of other kinds are left alone."""
+    rng = np.random.default_rng(77)
+    words = "the house of that were under with many people who came late and saw nothing".split()
+    prose = lambda: " ".join(rng.permutation(words)[:8])
+    found, false = dict.fromkeys(pii.KINDS, 0), 0
+    for i in range(160):
+        kind = pii.KINDS[i % 4]
+        value = pii.written_otherwise(kind, rng)
+        text = f"{prose()} {value} {prose()}"
+        assert not pii.base_spans(text)
+        spans = [text[s:e] for s, e, _ in pii.scan_texts(net, [text])[0][1]]
+        found[kind] += value in spans
+        false += sum(x not in value and value not in x for x in spans)
+        false += len(pii.scan_texts(net, [f"{prose()} {pii.harmless(rng)} {prose()}"])[0][1])
+    assert min(found.values()) >= 20 and false <= 8, (found, false)
+
+
+def test_many_spans_in_one_text_are_not_compared_with_each_other(net):
+    start = time.time()
+    text = " ".join(f"a{i}@mail.org" for i in range(20_000))
+    (base, _), = pii.scan_texts(net, [text])
+    assert len(base) == 20_000 and list(pii.training_windows(text, np.random.default_rng(0))) and time.time() - start < 60
+
+
+def test_summed_equations_against_a_direct_solution(spark):
+    """The ridge from equations that partitions sum is that of all rows at once."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.fit(docs.repartition(7), labels)
+    teach = labels.where("quality is not null").join(docs, "doc_id").where(~quality.held_out(F.col("doc_id")))
+    rows = teach.select("text", "quality", (F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(quality.CALIBRATION)) == 0).alias("back")).collect()
+    x = np.array([quality.statistics(r.text) for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-9)
+    fit = np.array([not r.back for r in rows])
+    z, y = model.features(x[fit]), np.array([float(r.quality) for r in rows])[fit]
+    penalty = quality.RIDGE * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-6
+    direct = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty)]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.features(x) @ model.beta, model.features(x) @ direct, atol=1e-6)
+    assert np.all(np.diff(model.values) >= 0) and 0 < fit.sum() < len(rows)
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_patience_alignment_against_a_plain_one():
+    """The alignment is one, never longer than the longest, and equal to it where edits are few."""
+    rng = random.Random(7)
+    template = licenses.words_of(licenses.TEMPLATES["MIT-text"])[0]
+    for n in range(60):
+        text = list(template)
+        for _ in range(n % 12):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = [rng.choice(["x", "the", "of"])] * rng.randint(0, 2)
+        pairs = licenses.patience(text, template)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False)) and all(text[i] == template[j] for i, j in pairs)
+        assert longest_common(text, template) * 0.98 <= len(pairs) <= longest_common(text, template)
+    a, b = ([rng.choice("pqrs") for _ in range(400)] for _ in range(2))  # no unique word at all
+    assert len(licenses.patience(a, b)) == longest_common(a, b)

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from mnemoframe.llm import packing, secrets
 
@@ -127,3 +130,43 @@ def test_open_bins_are_bounded_and_best_fit():
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOC)).count() == 0
     assert packing.plan_packing(spark.createDataFrame([], T._parse_datatype_string(packing.PIECES))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ('db_pwd = SHARED\nother = 1\nSHARED = "Zk38fj29dkPQ"\n', ["Zk38fj29dkPQ"]),  # defined below its use
+        ('put("auth_token", "Zk38fj29dkPQ")', ["Zk38fj29dkPQ"]),
+        ("private_key: |\n  MIIabc983kdj\n  Zk38fj29dkPQ\nnext: 1", ["MIIabc983kdj", "Zk38fj29dkPQ"]),
+        ('pass = """Zk38\nfj29dkPQ"""', ["Zk38\nfj29dkPQ"]),
+        ('credentials := ["Zk38fj29dkPQ", "Yk38fj29dkPQ"]', ["Zk38fj29dkPQ", "Yk38fj29dkPQ"]),
+        ('aws_pwd = "Zk38"\naws_pwd += "fj29dkPQ"', ["Zk38", "fj29dkPQ"]),
+        ('aws_pwd = "Zk38" +\n  "fj29dkPQ"', ["Zk38", "fj29dkPQ"]),
+        ('a = b\nb = a\npasswd_z = a + "Zk38fj29dkPQ"', ["Zk38fj29dkPQ"]),  # names that refer to each other
+        ('k = "new"\nuse(k)\nk = "Zk38fj29dkPQ"\npwd = k\nk = "old"', ["Zk38fj29dkPQ"]),  # the last definition before
+        ('pwd = "don\'t know this one"', []),
+    ],
+)
+def test_syntaxes_and_constants(text, values):
+    assert sorted(text[s:e] for s, e, _ in secrets.scan_text(text)[1]) == sorted(values)
+
+
+def test_constants_of_many_pieces_and_many_statements():
+    text = 'k = "q9Z"\n' + "".join(f'k = k + "a{i}B"\n' for i in range(40)) + "my_passphrase = k\n"
+    assert len(secrets.scan_text(text)[1]) == 41
+    start = time.time()
+    for line in ('x{0} = "Zk{0}fj29dkPQ"\npwd{0} = x{0}\n', 'password="Zk{0}fj29dkPQ"; a{0} = "x"\n', 'k = k + "a{0}"\npwd = k\n'):
+        text = "k = ''\n" + "".join(line.format(i) for i in range(12_000))
+        base, more = secrets.scan_text(text)
+        assert len(base) + len(more) == 12_000
+    assert time.time() - start < 30  # a quadratic pass takes minutes
+
+
+def test_long_white_space_and_rows_of_one_id(spark):
+    """The word encoder cannot take a million blanks; rows without an id are packed like all others."""
+    encode, full = packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("\n" * 1_000_000, "a" + " " * 1_000_000 + "b", "\t" * 3000 + "x y", "a b" + "\n" * 1999 + "c d"):
+        assert encode(text) == np.asarray(full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    rows = [(None, "\n" * 1_000_000, "x")] + [(7, f"word {i % 3}", "x") for i in range(300)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, offset string")).collect()
+    assert sum(r.length for r in out if r.doc_id is None) == len(full.encode("\n" * 1_000_000).ids) + 1 and sum(r.piece == 0 for r in out) == 301

@@ -66,11 +66,6 @@ TEMPLATES: dict[str, str] = {
 }
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-#: Every template has a word that begins so; texts without one hold no license.
-TRIGGER = re.compile(r"(?i:licen[sc]|copyright|permission|redistribut|\bCC\b)")
-TRIGGER_WORD = re.compile(r"licen[sc]|copyright|permission|redistribut|cc$")
-
-
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(WORD.finditer(text))
     return [m[0].lower() for m in found], [m.span() for m in found]
@@ -163,28 +158,45 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Templates:
-    def __init__(self, texts: dict[str, str]):
+    """Templates as words, each with key words: so many of its longest that a text without any of them lacks more of the
+    template than ``coverage`` allows. Only what stands round a key word has to be aligned, and nothing is lost."""
+
+    def __init__(self, texts: dict[str, str], coverage: float = COVERAGE):
+        self.coverage = coverage
         self.words = {k: words_of(t)[0] for k, t in texts.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
-        for k, words in self.words.items():
-            if not any(TRIGGER_WORD.match(w) for w in words):
-                raise ValueError(f"template {k} has no trigger word")
+        self.keys = {k: self._keys(counts, coverage * counts.total()) for k, counts in self.counts.items()}
+        self.any_key = sorted(set().union(*self.keys.values()))
 
+    @staticmethod
+    def _keys(counts: Counter[str], least: float) -> frozenset[str]:
+        left, keys = counts.total(), []
+        for word in sorted(counts, key=lambda w: (-len(w), w)):
+            if left < least:
+                break
+            keys.append(word)
+            left -= counts[word]
+        return frozenset(keys)
 
-def _windows(words: list[str], reach: int) -> list[tuple[int, int]]:
-    """Stretches of words around trigger words, a template's length to both sides."""
-    return [(max(0, i - reach), min(len(words), i + reach + 1)) for i, w in enumerate(words) if TRIGGER_WORD.match(w)]
 
+def _windows(words: list[str], reach: int, keys: frozenset[str]) -> list[tuple[int, int]]:
+    """Stretches of words around key words, a template's length to both sides."""
+    return [(max(0, i - reach), min(len(words), i + reach + 1)) for i, w in enumerate(words) if w in keys]
 
-def scan_text(text: str, templates: Templates, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+
+def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of non-overlapping finds; more aligned words win, then the smaller name."""
-    if not TRIGGER.search(text):
+    low = text.lower()
+    if not any(k in low for k in templates.any_key):
         return []
     words, spans = words_of(text)
+    present = set(words)
     found: set[tuple[int, str, int, int]] = set()
     for name, template in templates.words.items():
-        least, counts = coverage * len(template), templates.counts[name]
-        for lo, hi in dict.fromkeys(_windows(words, len(template))):
+        if present.isdisjoint(templates.keys[name]):
+            continue
+        least, counts = templates.coverage * len(template), templates.counts[name]
+        for lo, hi in dict.fromkeys(_windows(words, len(template), templates.keys[name])):
             todo = [(lo, hi)]
             while todo:  # what stands left and right of a find may hold another copy
                 a, b = todo.pop()
@@ -215,9 +227,9 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     texts = TEMPLATES if templates is None else templates
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = Templates(texts)
+        ready = Templates(texts, coverage)
         for batch in batches:
-            rows = [(key, *hit) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in scan_text(text or "", ready, coverage)]
+            rows = [(key, *hit) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in scan_text(text or "", ready)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64"})
 

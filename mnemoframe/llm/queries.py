@@ -94,6 +94,14 @@ SELECT u.page_id, u.host, u.path, f.rule,
 FROM urls u LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l ON u.canonical = l.canonical
 """
 
+OP5_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1),
+j AS (SELECT d.*, CASE WHEN d.page_id IS NULL OR d.page_id < last THEN last END AS refers_to FROM d LEFT JOIN m ON m.payload_digest = d.payload_digest AND payload_bytes >= 1000)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,4 +121,4 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_urls": op10_urls,
 }
-ORACLES = {"op10_urls": OP10_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op10_urls": OP10_SQL}

@@ -387,3 +387,36 @@ def test_patience_alignment_against_a_plain_one():
         assert longest_common(text, template) * 0.98 <= len(pairs) <= longest_common(text, template)
     a, b = ([rng.choice("pqrs") for _ in range(400)] for _ in range(2))  # no unique word at all
     assert len(licenses.patience(a, b)) == longest_common(a, b)
+
+
+def test_no_window_is_lost_to_a_changed_word():
+    """Any fifth of a template's words may be the changed ones: the rest is still found, where a plain alignment of the
+    whole text finds it."""
+    rng = random.Random(13)
+    ready = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.words_of(text)[0]
+        for _ in range(15):
+            changed = list(words)
+            for i in rng.sample(range(len(words)), int(0.2 * len(words) + 1e-9)):
+                changed[i] = f"zz{i}"
+            found = licenses.scan_text("aa bb " + " ".join(changed) + " cc dd", ready)
+            best = max(len(licenses.patience(changed, w)) / len(w) for w in ready.words.values())
+            assert len(licenses.patience(changed, words)) < 0.8 * len(words) or (found and found[0][1] >= 0.8), (name, changed, found, best)
+    assert [x[0] for x in licenses.scan_text("Released under the MIT terms", ready)] == ["MIT"]
+
+
+def test_licenses_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "x Released under the MIT License. y", "a", 0)] * 2 + [(None, "Released under the MIT License.", "b", 1), (2, None, "c", 2), (3, "", "c", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string, start int")
+    out = sorted((r.doc_id or 0, r.license, r.start) for r in licenses.find_licenses(df).collect())
+    assert out == [(0, "MIT", 0), (1, "MIT", 2), (1, "MIT", 2)]
+
+
+def test_quality_with_clashing_columns_and_repeated_rows(spark):
+    data = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    odd = docs.unionByName(docs.limit(3)).withColumns({"score": F.lit("s"), "y": F.lit(1), "quality": F.lit(7), "held_out": F.lit(0)})
+    out = quality.score_documents(odd, labels.withColumn("text", F.lit("no input")))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == docs.count() + 3
+    assert quality.keep_good(odd, labels).columns == odd.columns

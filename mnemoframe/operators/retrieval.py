@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,6 +115,40 @@ def search(queries: DataFrame, index: Index, k: int = 20, keep: Callable[[DataFr
     return out
 
 
+#: Fields and weights of pages, claims and skills.
+PAGE_FIELDS = {"type": 1.0, "status": 1.0, "tags": 1.0, "body": 1.0, "body_user": 2.0}
+CLAIM_FIELDS = {"type": 1.0, "text": 1.0, "detector": 1.0, "status": 1.0}
+SKILL_FIELDS = {"scheduling": 3.0, "structural": 1.5, "logical": 1.0}
+
+
+def search_pages(queries: DataFrame, pages: DataFrame, k: int = 20, types: Sequence[str] | None = None, statuses: Sequence[str] | None = None, windows: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """(query_id, doc_id, score, tier, rank) over pages (page_id, the columns of PAGE_FIELDS, epoch_day).
+
+    Type and status filter before the limit. With ``windows`` (query_id, start_day, end_day) max(3k, 30) pages are
+    fetched, those inside their query's window move ahead, and k stay. ``index`` may be given where it is kept.
+    """
+    index = index or build_index(pages, PAGE_FIELDS, doc_id="page_id")
+    allowed = pages if types is None else pages.where(F.col("type").isin(list(types)))
+    allowed = allowed if statuses is None else allowed.where(F.col("status").isin(list(statuses)))
+    ids = None if types is None and statuses is None else saved(allowed.select(F.col("page_id").alias("doc_id")))
+    keep = None if ids is None else lambda rows: rows.join(ids, "doc_id", "left_semi")
+    if windows is None:
+        return search(queries, index, k, keep)
+    hits = search(queries, index, max(3 * k, 30), keep)
+    moved = promote_in_window(hits, pages.select(F.col("page_id").alias("doc_id"), "epoch_day"), windows)
+    return moved.where(F.col("rank") <= k)
+
+
+def search_claims(queries: DataFrame, claims: DataFrame, k: int = 20) -> DataFrame:
+    """As search_pages, over claims (claim_id and the columns of CLAIM_FIELDS)."""
+    return search(queries, build_index(claims, CLAIM_FIELDS, doc_id="claim_id"), k)
+
+
+def search_skills(queries: DataFrame, skills: DataFrame, k: int = 20) -> DataFrame:
+    """As search_pages, over skills (slug and the columns of SKILL_FIELDS), by any word at once."""
+    return search(queries, build_index(skills, SKILL_FIELDS, doc_id="slug"), k, loose_only=True)
+
+
 #: Vectors that a task holds as one matrix, about, and queries that meet it at once.
 CHUNK = 8192
 BLOCK = 512
@@ -154,7 +188,8 @@ def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     length, names = np.linalg.norm(matrix, axis=1), np.array(ids)
                 q = np.array([r["vec"] for r in queries], dtype=np.float64)
                 norms = np.linalg.norm(q, axis=1)[:, None] * length[None, :]
-                cos = np.divide(q @ matrix.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                # Twelve decimals, so that equal vectors tie wherever they stand in a matrix.
+                cos = np.round(np.divide(q @ matrix.T, norms, out=np.zeros_like(norms), where=norms > 0), 12)
                 out = []
                 for r, scores in zip(queries, cos, strict=True):
                     # All that tie with the k-th stay until they are ordered by id.

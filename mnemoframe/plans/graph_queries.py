@@ -91,6 +91,14 @@ def t2_pending_questions(spark, sf_dir):
     return flow.pending_questions(q, flow.question_lifecycle(q, _asked(spark, sf_dir), _then())).select("problem_id", "block_id", "place")
 
 
+@query(f"WITH {EVENTS}, q AS (SELECT user_id * 10 + k % 10 AS gap_id, max(event_id) AS question_id FROM ev WHERE event_type = 'view' GROUP BY 1) SELECT event_id AS found_id, question_id, question_id IS NOT NULL AS has_question FROM ev LEFT JOIN q ON gap_id = user_id * 10 + k % 10 WHERE event_type = 'error'")
+def t2_current_gaps(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("gap_id", F.col("user_id") * 10 + F.col("k") % 10)
+    questions = e.where("event_type = 'view'").select("gap_id", F.col("event_id").alias("block_id"), F.col("event_id").alias("seq"))
+    found = e.where("event_type = 'error'").select("gap_id", F.col("event_id").alias("found_id"))
+    return flow.current_gaps(found, questions).select("found_id", "question_id", "has_question")
+
+
 @query(f"WITH {QUESTIONS}, p AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY voi DESC, created_at, block_id) AS place FROM life WHERE lifecycle = 'pending' AND block_id NOT IN (SELECT question_id FROM asked) AND gap_id NOT IN (SELECT gap_id FROM asked GROUP BY gap_id HAVING max(asked_at) > TIMESTAMP '2024-02-10' - INTERVAL 1440 MINUTE)) SELECT problem_id, block_id FROM p WHERE place = 1")
 def j12_next_question(spark, sf_dir):
     q, asked = _questions(spark, sf_dir), _asked(spark, sf_dir)
@@ -254,7 +262,7 @@ def u2_canonical_vocab(spark, sf_dir):
     return govern.canonical_vocab(items, more)
 
 
-@query()
+@query(f"WITH {VOI} SELECT problem_id, 'Gap' AS type, detector_id || ':' || subject_id AS block_id, round(greatest(0, least(1, voi)), 6) AS voi, CAST(NULL AS VARCHAR) AS lifecycle FROM voi")
 def g10_project_flow(spark, sf_dir):
     b = blocks(spark, sf_dir).withColumns({"gap_id": F.lit(None).cast("string"), "bundle_id": F.lit(None).cast("string")})
     return flow.project_flow(b, _asked(spark, sf_dir), now()).select("problem_id", "type", "block_id", F.round("voi", 6).alias("voi"), "lifecycle")

@@ -144,21 +144,6 @@ def f18_prf_terms(spark, sf_dir):
     return retrieval.prf_terms(seen).select(F.col("query_id").alias("item_id"), F.array_join("terms", ",").alias("terms"))
 
 
-@query()
-def r10_search_hybrid(spark, sf_dir):
-    embed = embedder()
-    docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    vectors = docs.select("doc_id", embed("text").alias("vec"))
-    asked = questions.withColumn("vec", embed("question"))
-    return _out(retrieval.search_hybrid(asked, retrieval.build_index(docs, {"text": 1.0}), vectors, 10))
-
-
-@query()
-def r11_prf_search(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return _out(retrieval.prf_search(_questions(spark, sf_dir), docs, retrieval.build_index(docs, {"text": 1.0}), None, 10, fusion="rerank"))
-
-
 @query(f"WITH q AS (SELECT DISTINCT conv_id % 10 AS query_id, conv_id FROM conversations), r AS (SELECT c.conv_id % 10 AS query_id, c.conv_id AS session_id, row_number() OVER (PARTITION BY c.conv_id % 10 ORDER BY length(text) DESC, c.conv_id, turn) AS rank FROM conversations c WHERE role = 'user'), s AS (SELECT query_id, session_id, min(rank) AS best FROM r GROUP BY ALL) SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY best, session_id) AS rank FROM s QUALIFY rank <= 10")
 def w8_turns_to_sessions(spark, sf_dir):
     """User turns ranked by length within ten groups of conversations, to the ten best conversations of each."""
@@ -346,12 +331,17 @@ def p7_resolve_mappings(spark, sf_dir):
     return out.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("lanes", "files", "matched")))
 
 
-@query()
+@query(r"SELECT doc_id, sha256(CAST(to_json([lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g'))]) AS VARCHAR)) AS hash FROM documents")
 def f1_content_hash(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.content_hash(F.col("lang"), nfkc_where_needed(F.col("text"))).alias("hash"))
 
 
-@query()
+GROUND = rf"""q AS (SELECT item_id, list(term) AS terms FROM terms GROUP BY item_id), w AS (SELECT a.item_id, a.doc_id, a.rank, d.text, terms, list_filter(regexp_split_to_array(d.text, '\s+'), lambda x: x <> '') AS words FROM a JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE rank <= 5),
+f AS (SELECT *, coalesce(list_position(list_transform(words, lambda x: list_has_any({_tokens('x')}, terms)), true), 0) AS place FROM w),
+s AS (SELECT item_id, doc_id, rank, CASE WHEN place > 0 THEN CASE WHEN place > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(words[place:place + 11], lambda x: CASE WHEN list_has_any({_tokens('x')}, terms) THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN len(words) >= place + 12 THEN ' ...' ELSE '' END ELSE left(text, 120) END AS snippet, array_to_string(regexp_extract_all(text, '<!--\s*claim:(cl-[A-Za-z0-9_-]+)\s*-->', 1), ',') AS claim_ids FROM f)"""
+
+
+@query(f"WITH {LISTS}, {GROUND} SELECT item_id, doc_id, rank, snippet, claim_ids, CAST(sum(ceil(length(snippet) / 4)) OVER (PARTITION BY item_id) AS BIGINT) AS bundle_tokens FROM s")
 def j10_ground_bundle(spark, sf_dir):
     hits, _ = _lists(spark, sf_dir)
     pages = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("body"))

@@ -196,8 +196,10 @@ def rank_by_vector(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
                     some = np.flatnonzero((scores >= least) & (scores > 0))
                     best = some[np.lexsort((names[some], -scores[some]))[:k]]
-                    out.append(pd.DataFrame({"query_id": [r["query_id"]] * len(best), "doc_id": names[best].tolist(), "score": scores[best]}))
-                yield pd.concat(out, ignore_index=True)
+                    if len(best):
+                        out.append(pd.DataFrame({"query_id": pd.Series([r["query_id"]] * len(best), dtype=object), "doc_id": pd.Series(names[best].tolist(), dtype=object), "score": scores[best]}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
 
     found = dealt.select("dims", "chunk", "doc_id", "vec", "asked").mapInPandas(ranked, schema)
     return top_k(found, k, [F.desc("score"), F.col("doc_id")])

@@ -1,10 +1,13 @@
 """Operators on small literal inputs."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from mnemoframe.functions import text as T
 from mnemoframe.operators import consolidate, flow, govern, graph, ledger, metrics, retrieval, router, sessions
 
 NOW = datetime(2026, 4, 28)
@@ -271,3 +274,56 @@ def test_decay(spark):
     recalls = spark.createDataFrame([("p4", 1, now - timedelta(days=5))], "page_id string, recalls long, last_recall timestamp")
     out = {r.page_id: r.tier for r in govern.page_decay(df, recalls, at(now)).collect()}
     assert out == {"p1": "stale-draft", "p2": "fresh", "p3": "decay-candidate", "p4": "aging", "p5": "aging", "p6": "unknown"}
+
+
+def test_page_search_filters_and_windows(spark):
+    pages = [(f"p{i}", "concept" if i % 2 else "note", "active" if i < 8 else "draft", "alpha", "beta words", "beta" if i == 5 else None, i) for i in range(10)]
+    pages = spark.createDataFrame(pages, "page_id string, type string, status string, tags string, body string, body_user string, epoch_day int")
+    queries = spark.createDataFrame([("q", "beta words"), ("r", "nothing of this")], "query_id string, question string")
+    hits = retrieval.search_pages(queries, pages, 3, ["concept"], ["active"]).collect()
+    assert [r.doc_id for r in sorted(hits, key=lambda r: r["rank"])] == ["p5", "p1", "p3"] and {r.query_id for r in hits} == {"q"}
+    windows = spark.createDataFrame([("q", 3, 3)], "query_id string, start_day int, end_day int")
+    moved = retrieval.search_pages(queries, pages, 2, ["concept"], ["active"], windows).collect()
+    assert [r.doc_id for r in sorted(moved, key=lambda r: r["rank"])] == ["p3", "p5"]
+
+
+def test_vector_ranking_against_a_plain_one(spark, monkeypatch):
+    """Several chunks and blocks, ties by id, vectors of two lengths, zero and null ones."""
+    monkeypatch.setattr(retrieval, "CHUNK", 50)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rng = random.Random(3)
+    vectors = {i: [float(rng.randint(-2, 2)) for _ in range(4 if i % 5 else 3)] for i in range(300)}
+    df = spark.createDataFrame([*vectors.items(), (999, None)], "doc_id long, vec array<double>")
+    asked = df.where("doc_id % 10 = 1 or doc_id = 5").withColumnRenamed("doc_id", "query_id")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = {}
+    for q in [i for i in vectors if i % 10 == 1 or i == 5]:
+        scored = [(-round(sum(a * b for a, b in zip(vectors[q], v, strict=True)) / (norm(vectors[q]) * norm(v)), 12), i) for i, v in vectors.items() if len(v) == len(vectors[q]) and norm(v) and norm(vectors[q])]
+        want[q] = [i for s, i in sorted(scored) if s < 0][:5]
+    got = {}
+    for r in sorted(retrieval.rank_by_vector(asked, df, 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: ids for q, ids in want.items() if ids}
+
+
+def test_token_f1_counts_repeated_words(spark):
+    df = spark.createDataFrame([("a a b", "a b b"), ("", ""), (None, "x"), ("A, b!", "b a")], "answer string, truth string")
+    assert [round(r[0], 6) for r in df.select(T.token_f1(F.col("answer"), F.col("truth"))).collect()] == [round(2 / 3, 6), 1.0, 0.0, 1.0]
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        base = [f"word{rng.randrange(60)}" for _ in range(rng.choice([5, 40, 120]))]
+        texts.append(base)
+        for edits in (1, 4):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"word{rng.randrange(60)}"
+            texts.append(copy)
+    counts = [Counter(t) for t in texts]
+    norm = lambda c: sum(n * n for n in c.values()) ** 0.5
+    want = {(i, j) for i, a in enumerate(counts) for j, b in enumerate(counts) if i < j and sum(n * b[w] for w, n in a.items()) / (norm(a) * norm(b)) >= 0.9 - 1e-9}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "")], "id long, text string")
+    assert {(r.a, r.b) for r in consolidate.similar_pairs(df).collect()} == want and len(want) > 20

@@ -111,3 +111,20 @@ def test_pages(spark, tmp_path):
     assert "[concept.b](/concepts/b.md)" in a.body and "[[gone]]" in a.body
     pages.export_bundle(relative, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "root")).first().n == 2
+
+
+def test_questions_in_parts(spark, tmp_path):
+    """One array without line ends is split at its records' starts; quotes inside strings are no starts."""
+    odd = 'says {"question_id": "no"} and }, {'
+    rows = [{"question_id": f"q{i}", "question": odd, "haystack_session_ids": ["a"], "haystack_sessions": [[{"role": "user", "content": odd * (i % 3)}]], "answer_session_ids": []} for i in range(50)]
+    (tmp_path / "q.json").write_text(json.dumps(rows))
+    whole, _ = logs.read_questions(spark, str(tmp_path / "q.json"))
+    parts, rejected = logs.read_questions(spark, str(tmp_path / "q.json"), logs.RECORD_START)
+    key = lambda df: sorted((r.question_id, r.question, r.turns[0].content) for r in df.collect())
+    assert key(parts) == key(whole) and len(key(whole)) == 50 and rejected.count() == 0
+
+
+def test_skills_as_lines(spark, tmp_path):
+    (tmp_path / "s.json").write_text("\n".join(json.dumps(x) for x in (skill(), skill(slug="c"), skill(slug="b", ssl_version="0.2"))))
+    good, errors = logs.read_skills(spark, str(tmp_path / "s.json"), lines=True)
+    assert sorted(r.slug for r in good.collect()) == ["a", "c"] and [r.slug for r in errors.collect()] == ["b"]

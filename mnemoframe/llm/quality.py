@@ -22,8 +22,10 @@ RIDGE = 1.0
 SEED = 7
 #: Labelled rows used for fitting, at most about (chosen by hash of doc_id).
 TRAIN_ROWS = 200_000
-#: One in so many teaching documents fits the calibration only.
+#: One in so many teaching documents fits the calibration only, if there are enough of them.
 CALIBRATION = 5
+#: Calibrating rows below which the rows that teach the ridge calibrate too.
+CALIBRATION_LEAST = 500
 #: Score bins that the calibration sees.
 BINS = 2000
 THRESHOLD = 0.3
@@ -163,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": group["i"][:1], "row": [np.sum(np.stack(group["row"].to_numpy()), axis=0)]})
 
-    # Too few labels to have both kinds of rows: all do both.
-    ridge, calibration = (train, train) if sums["back"] in (0, sums["n"]) else (train.where("not calibrates"), train.where("calibrates"))
+    # A calibration by few rows says little: below CALIBRATION_LEAST all rows do both.
+    ridge, calibration = (train, train) if sums["back"] < CALIBRATION_LEAST else (train.where("not calibrates"), train.where("calibrates"))
     parts = ridge.mapInPandas(equations, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
     system = np.array([r["row"] for r in sorted(parts.collect(), key=lambda r: r["i"])])
     penalty = RIDGE * np.eye(size)

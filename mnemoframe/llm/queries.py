@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, leaks, licenses, packing, pii, quality, secrets, simhash, urls, warc
+from . import ann, leaks, licenses, packing, pii, quality, runs, secrets, simhash, token_files, urls, warc
 from .common import table
 
 
@@ -66,6 +66,14 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, listed, URL_RULES)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), plant=True, with_text=False)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -120,5 +128,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
     "op10_urls": op10_urls,
+    "op12_runs": op12_runs,
+    "op13_token_files": op13_token_files,
 }
 ORACLES = {"op5_warc": OP5_SQL, "op10_urls": OP10_SQL}

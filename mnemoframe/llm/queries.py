@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, leaks, licenses, packing, pii, quality, runs, secrets, simhash, token_files, urls, warc
+from . import ann, leaks, licenses, packing, pii, quality, repair, runs, secrets, simhash, token_files, urls, warc
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, listed, URL_RULES)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(table(spark, sf_dir, "documents"), plant=True, with_text=False)
 
@@ -128,6 +132,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
     "op10_urls": op10_urls,
+    "op11_repair": op11_repair,
     "op12_runs": op12_runs,
     "op13_token_files": op13_token_files,
 }

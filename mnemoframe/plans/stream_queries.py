@@ -17,11 +17,31 @@ from .source_queries import HOOKS, _payloads
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _stream(rows: DataFrame) -> DataFrame:
-    """``rows`` as a stream of the files that Spark writes them to; one batch."""
-    path = scratch(rows.sparkSession, "stream")
-    rows.write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+#: Micro-batches of a stream, and how late a row may come: less than the shortest watermark's delay.
+BATCHES = 8
+LATE_SECONDS = 3300
+
+
+def _stream(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """``rows`` as a stream of several micro-batches that are not in the order of ``ts``.
+
+    Every row comes up to LATE_SECONDS after its time, by a hash of the row, so neighbours in time come in other orders
+    and in other batches. Files are written one arrival span after the other and read in that order.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
+    seconds = F.unix_seconds(ts)
+    arrival = seconds + F.pmod(F.xxhash64(*rows.columns), F.lit(LATE_SECONDS))
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+    span = ((last - first + LATE_SECONDS) // BATCHES + 1) if first is not None else 1
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    for i in range(BATCHES):
+        here = rows.where(F.floor((arrival - F.lit(first)) / span) == i) if first is not None else rows
+        here.repartition(parts).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
+
+
+#: How far the streams' watermark of an hour has come when they are drained.
+SEALED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM ev)"
 
 
 @contextmanager
@@ -35,16 +55,16 @@ def _stateful(spark):
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
-def _drained(df: DataFrame, mode: str = "append") -> DataFrame:
+def _drained(df: DataFrame) -> DataFrame:
     """What a stream gives once its source is used up. A batch that runs again replaces its own folder."""
     spark, path, made = df.sparkSession, scratch(df.sparkSession, "drained"), []
 
     def write(batch: DataFrame, number: int) -> None:
-        target = f"{path}/batch={0 if mode == 'complete' else number}"
+        target = f"{path}/batch={number}"
         batch.write.mode("overwrite").parquet(target)
         made.append(target)
 
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -63,26 +83,28 @@ def st1_ingest(spark, sf_dir):
     return read.select("event_id", "stage", "session_id", F.get_json_object("payload", "$.message").alias("message"), F.concat_ws("-", "yyyy", "mm", "dd").alias("day"))
 
 
-@query(f"WITH {EVENTS} SELECT DISTINCT user_id, event_type, k % 10 AS k FROM ev")
+@query(f"WITH {EVENTS} SELECT DISTINCT user_id, event_type, k % 10 AS k, epoch(ts)::BIGINT // 604800 AS week FROM ev")
 def st2_dedup(spark, sf_dir):
-    """One batch, so equal content is dropped however far apart."""
-    e = events(spark, sf_dir).select("ts", "user_id", "event_type", (F.col("k") % 10).alias("k"))
-    hashed = e.withColumn("hash", F.sha2(F.concat_ws("|", "user_id", "event_type", "k"), 256))
-    return _drained(jobs.dedup(_stream(hashed))).select("user_id", "event_type", "k")
+    """Content comes again within a week, when it is dropped, and four weeks later, when it is new."""
+    week = F.floor(F.unix_seconds("ts") / (7 * 86400))
+    e = events(spark, sf_dir).select("ts", "user_id", "event_type", (F.col("k") % 10).alias("k"), week.alias("week"))
+    hashed = e.withColumn("hash", F.sha2(F.concat_ws("|", "user_id", "event_type", "k", F.col("week") % 4), 256))
+    return _drained(jobs.dedup(_stream(hashed))).select("user_id", "event_type", "k", "week")
 
 
 STREAM_TURNS = (
-    EVENTS
-    + """, n AS (SELECT *, greatest(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 1) AS turn FROM ev), p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, turn ORDER BY ts, event_id) - 1) // 50 + 1 AS part FROM n),
+    EVENTS.replace("FROM events)", "FROM events), sealed AS (SELECT * FROM ev WHERE ts <= " + SEALED + ")")
+    + """, n AS (SELECT *, greatest(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 1) AS turn FROM sealed), p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, turn ORDER BY ts, event_id) - 1) // 50 + 1 AS part FROM n),
 c AS (SELECT user_id, turn, part, event_type, count(*) AS c FROM p GROUP BY ALL), g AS (SELECT user_id, turn, part, sum(c) AS n, sum(c) FILTER (event_type = 'view') AS prompts, coalesce(string_agg(event_type || ':' || c, ',' ORDER BY event_type) FILTER (event_type <> 'view'), '') AS tools FROM c GROUP BY ALL),
-l AS (SELECT user_id, max(turn) AS last_turn FROM p GROUP BY user_id), lp AS (SELECT user_id, turn, max(part) AS last_part FROM p GROUP BY ALL), t AS (SELECT user_id, max(ts) AS last_ts FROM ev GROUP BY user_id)"""
+l AS (SELECT user_id, max(turn) AS last_turn FROM p GROUP BY user_id), lp AS (SELECT user_id, turn, max(part) AS last_part FROM p GROUP BY ALL), t AS (SELECT user_id, max(ts) AS last_ts FROM sealed GROUP BY user_id)"""
 )
 
 
 @query(f"""WITH {STREAM_TURNS} SELECT 's' || user_id AS session_id, turn AS turn_ordinal, part, n, coalesce(prompts, 0) AS prompts, tools, CASE WHEN part < last_part THEN 'size' WHEN turn < last_turn THEN 'prompt' ELSE 'timeout' END AS closed_by
-FROM g JOIN l USING (user_id) JOIN lp USING (user_id, turn) JOIN t USING (user_id) WHERE part < last_part OR turn < last_turn OR last_ts + INTERVAL 7 DAY < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+FROM g JOIN l USING (user_id) JOIN lp USING (user_id, turn) JOIN t USING (user_id) WHERE part < last_part OR turn < last_turn OR last_ts + INTERVAL 7 DAY <= {SEALED}""")
 def st3_close_turns(spark, sf_dir):
-    """Turns that a later prompt, their size or seven days without a row close; the ordinals are those of w4."""
+    """Turns that a later prompt, their size or seven days without a row close, as far as the watermark has come; the
+    ordinals are those of w4, whatever order the rows come in."""
     view = F.col("event_type") == "view"
     e = events(spark, sf_dir).select(F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.when(view, "prompt-submit").otherwise("tool-post").alias("stage"), F.when(~view, F.col("event_type")).alias("tool"))
     with _stateful(spark):
@@ -91,37 +113,44 @@ def st3_close_turns(spark, sf_dir):
     return out.select("session_id", *longs, "tools", "closed_by")
 
 
-@query(f"WITH {USAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage GROUP BY 1")
+@query(f"WITH {USAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage GROUP BY 1, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM ev)")
 def st4_usage_daily(spark, sf_dir):
-    out = _drained(jobs.usage_daily(_stream(_usage(spark, sf_dir).select("ts", "tool"))), "complete")
+    """Days that are over by the watermark, which is a day behind."""
+    out = _drained(jobs.usage_daily(_stream(_usage(spark, sf_dir).select("ts", "tool"))))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query(f"WITH {USAGE} SELECT strftime(date_trunc('day', ts) + to_days(CAST(d AS INT)), '%Y-%m-%d') AS until, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage, range(1, 8) r(d) GROUP BY 1")
+@query(f"WITH {USAGE} SELECT strftime(date_trunc('day', ts) + to_days(CAST(d AS INT)), '%Y-%m-%d') AS until, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage, range(1, 8) r(d) GROUP BY 1, date_trunc('day', ts) + to_days(CAST(d AS INT)) HAVING date_trunc('day', ts) + to_days(CAST(d AS INT)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev)")
 def st4_usage_rolling(spark, sf_dir):
-    out = _drained(jobs.usage_rolling(_stream(_usage(spark, sf_dir).select("ts", "tool"))), "complete")
+    """Windows that are over by the watermark, which is a day behind."""
+    out = _drained(jobs.usage_rolling(_stream(_usage(spark, sf_dir).select("ts", "tool"))))
     return out.withColumn("until", F.date_format("until", "yyyy-MM-dd"))
 
 
 @query(f"WITH {LOG} SELECT id, seq, state FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, seq DESC) = 1")
 def st5_keep_latest(spark, sf_dir):
     log, path = _log(spark, sf_dir), scratch(spark, "latest")
-    q = jobs.keep_latest(_stream(log), path, scratch(spark, "progress"), "id", "version")
+    q = jobs.keep_latest(_stream(log.withColumn("ts", F.timestamp_seconds(F.col("seq") * 600)).select("id", "version", "seq", "state", "ts")).drop("ts"), path, scratch(spark, "progress"), "id", "version")
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(log.schema).parquet(path).select("id", "seq", "state")
+    return jobs.read_latest(spark, path, log.schema).select("id", "seq", "state")
 
 
-@query(f"WITH {QUEUE}, i AS (SELECT id, bool_or(NOT tombstone) AS pending, bool_or(tombstone) AS done, min(ts) AS first_ts FROM queue GROUP BY id) SELECT 'i' || id AS id, CASE WHEN done THEN 'dequeued' ELSE 'expired' END AS outcome FROM i WHERE pending AND (done OR first_ts + INTERVAL 7 DAY < (SELECT max(ts) FROM queue) - INTERVAL 1 HOUR)")
+@query(f"""WITH RECURSIVE {QUEUE}, rows AS (SELECT * FROM queue WHERE ts <= {SEALED}), lives(id, first_ts) AS (
+  SELECT id, min(ts) FROM rows GROUP BY id
+  UNION ALL SELECT l.id, min(r.ts) FROM lives l JOIN rows r ON r.id = l.id AND r.ts > l.first_ts + INTERVAL 7 DAY GROUP BY l.id, l.first_ts
+), i AS (SELECT l.id, first_ts, bool_or(NOT tombstone) AS pending, bool_or(tombstone) AS done FROM lives l JOIN rows r ON r.id = l.id AND r.ts BETWEEN first_ts AND first_ts + INTERVAL 7 DAY GROUP BY ALL)
+SELECT 'i' || id AS id, CASE WHEN done THEN 'dequeued' ELSE 'expired' END AS outcome FROM i WHERE pending AND (done OR first_ts + INTERVAL 7 DAY <= {SEALED})""")
 def st6_expire_queue(spark, sf_dir):
+    """An item's life is seven days from its first row; what comes later is a new item."""
     log = _queue(spark, sf_dir).select(F.concat(F.lit("i"), "id").alias("id"), "tombstone", "ts")
     with _stateful(spark):
         return _drained(jobs.expire_queue(_stream(log)))
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM s) SELECT 's' || user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS n FROM n GROUP BY user_id, nr")
+@query(f"WITH {EVENTS}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM s) SELECT 's' || user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS n FROM n GROUP BY user_id, nr HAVING max(ts) + INTERVAL 6 HOUR <= {SEALED}")
 def st7_sessions(spark, sf_dir):
     e = events(spark, sf_dir).select(F.concat(F.lit("s"), "user_id").alias("session_id"), "ts")
-    out = _drained(jobs.sessions(_stream(e), gap="6 hours"), "complete")
+    out = _drained(jobs.sessions(_stream(e), gap="6 hours"))
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "ended_at")})

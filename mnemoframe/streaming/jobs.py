@@ -6,21 +6,23 @@ The stateful jobs use transformWithStateInPandas, which needs the RocksDB state
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from mnemoframe.functions.helpers import saved
 from mnemoframe.operators.ledger import reduce_latest, redact, valid_events
 from mnemoframe.sources.logs import map_hook_events, with_hash
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 86_400_000
+DAY_US = 86_400_000_000
 
 
 def ingest(raw: DataFrame, at: Column) -> DataFrame:
@@ -59,141 +61,234 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return rows.agg(F.count("*").alias("n")).select("session_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
 
 
+MANIFEST = "batch long, bucket int, folder string"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The last published batch and the folder of each bucket in it; (-1, {}) before the first. At most ``buckets`` rows."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch finds no table
+            raise
+        return -1, {}
+    last = rows.agg(F.max("batch")).first()[0]
+    found = rows.where(F.col("batch") == last).collect() if last is not None else []
+    return (last if last is not None else -1), {r["bucket"]: r["folder"] for r in found if r["bucket"] is not None}
+
+
+def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The reduced table as the last manifest names it: always that of a whole batch."""
+    _, folders = _published(spark, path)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/bucket={bucket}" for bucket, folder in sorted(folders.items())])
+
+
+def merge_latest(batch: DataFrame, batch_id: int, path: str, key: str, version: str, buckets: int = 32) -> None:
+    """Reduce a batch together with the buckets that it touches, and publish the table that has them in place.
+
+    New buckets go to a folder of their own, nothing is overwritten. Then one file, the manifest, names the folder of
+    every bucket; it appears as a whole or not at all. Until then readers see the table of the batch before, and a
+    batch that runs again after a failure starts from that table too; one that was published already does nothing.
+    """
+    spark = batch.sparkSession
+    last, folders = _published(spark, path)
+    if last >= batch_id:
+        return
+    fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+    if old := [f"{folders[b]}/bucket={b}" for b in touched if b in folders]:
+        kept = spark.read.schema(batch.schema).parquet(*old)
+        fresh = fresh.unionByName(kept.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    folder = f"{path}/data/{batch_id:020}-{uuid.uuid4().hex}"
+    reduce_latest(fresh, [key, "bucket"], version).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    now = folders | dict.fromkeys(touched, folder)
+    rows = [(batch_id, b, f) for b, f in sorted(now.items())] or [(batch_id, None, None)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
 def keep_latest(log: DataFrame, path: str, checkpoint: str, key: str, version: str, buckets: int = 32):
-    """Keep the reduced table under ``path`` current: a batch is reduced together with the buckets that it touches, and
-    only those are written again, so an older revision that comes late never wins. A batch that runs again gives the
-    same rows, as reducing is idempotent."""
+    """Keep the reduced table under ``path`` current; ``read_latest`` reads it. An older revision that comes late never
+    wins, as every batch is reduced together with what it touches."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
-        try:
-            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched)))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch finds no table
-                raise
-        # Computed in full before the buckets that it reads are replaced.
-        out = saved(reduce_latest(fresh, [key, "bucket"], version))
-        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        merge_latest(batch, batch_id, path, key, version, buckets)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-TURN_SCHEMA = "session_id string, turn_ordinal int, part int, n int, prompts int, tools string, closed_by string"
+def drop_replaced(spark: SparkSession, path: str) -> int:
+    """Delete the data folders that the last manifest does not name; how many went. Not while a batch or a reader runs."""
+    _, folders = _published(spark, path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = {f.rsplit("/", 1)[-1] for f in folders.values()}
+    gone = [s.getPath() for s in files.listStatus(root) if s.getPath().getName() not in named]
+    for old in gone:
+        files.delete(old, True)
+    return len(gone)
 
 
-class TurnCloser(StatefulProcessor):
-    """Closes a session's turn at the next prompt, at the session's end or after seven days, in parts of ``size``.
+class InOrder(StatefulProcessor):
+    """Rows of a key by event time, whatever micro-batches they came in.
 
-    As in the batch operator, what comes before a session's first prompt is part of that prompt's turn. Rows of one
-    micro-batch are put in order; a session's rows of a batch are held together for that.
+    Rows wait in state until the watermark passes them, when none before them can come any more; a timer at the earliest
+    one wakes the key. ``step`` then gets them in the order of (us, seq) and gives its output, its new state and the time
+    at which it wants to be woken without rows. So results depend on event times and the final watermark, not on batches.
+    State holds what came within the watermark's delay, and the key's own state.
     """
 
-    size = 50
-    timeout_ms = 7 * DAY_MS
+    row_schema: str
+    state_schema: str
+    out_schema: str
+
+    def step(self, key: Any, state: list | None, rows: list[tuple], until: int) -> tuple[list, list | None, int | None]:
+        """(output, new state, wake-up time) for rows in order; all rows up to ``until`` are known. Times in microseconds."""
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turn = handle.getValueState("turn", "ordinal int, part int, n int, prompts int, tools string, until long, prompted boolean")
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out_schema.split(", ")])
 
-    def _emit(self, key: Any, t: list, closed_by: str) -> dict:
-        return {"session_id": key[0], "turn_ordinal": t[0], "part": t[1], "n": t[2], "prompts": t[3], "tools": t[4], "closed_by": closed_by}
+    def _wake(self, us: int, after: int = -1) -> None:
+        """One timer, at the earliest time asked for; those up to ``after`` are going off now."""
+        at, timers = -(-us // 1000), [t for t in self.handle.listTimers() if t > after]
+        if not timers or at < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        t = list(self.turn.get()) if self.turn.exists() else [1, 1, 0, 0, "", 0, False]
-        out = []
-        everything = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for stage, tool, ts in zip(everything["stage"], everything["tool"], everything["ts"], strict=True):
-            if stage == "prompt-submit" and t[6]:
-                out.append(self._emit(key, t, "prompt"))
-                t = [t[0] + 1, 1, 0, 0, "", 0, False]
-            elif t[2] >= self.size:
-                out.append(self._emit(key, t, "size"))
-                t = [t[0], t[1] + 1, 0, 0, "", 0, t[6]]
-            t[6] = t[6] or stage == "prompt-submit"
-            t[2] += 1
-            t[3] += stage == "prompt-submit"
-            counts = dict(x.rsplit(":", 1) for x in t[4].split(",") if x)
-            if isinstance(tool, str) and tool:
-                counts[tool] = str(int(counts.get(tool, 0)) + 1)
-            t[4] = ",".join(f"{k}:{v}" for k, v in sorted(counts.items()))
-            t[5] = int(ts.timestamp() * 1000) + self.timeout_ms
-            if stage == "session-end":
-                out.append(self._emit(key, t, "end"))
-                t = [t[0] + 1, 1, 0, 0, "", 0, False]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.turn.update(tuple(t))
-        if t[2]:
-            self.handle.registerTimer(t[5])
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TURN_SCHEMA.split(", ")])
+        names = [c.split()[0] for c in self.row_schema.split(", ")]
+        fresh = [tuple(None if x is None or x != x else x for x in r) for batch in rows for r in batch[names].astype(object).itertuples(index=False)]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.turn.exists():
-            t = list(self.turn.get())
-            self.turn.clear()
-            if t[2]:
-                yield pd.DataFrame([self._emit(key, t, "timeout")])
-                return
-        yield pd.DataFrame(columns=[c.split()[0] for c in TURN_SCHEMA.split(", ")])
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        known = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = sorted((r for r in known if r[0] <= until), key=lambda r: r[:2]), [r for r in known if r[0] > until]
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        out, state, wake = self.step(key, list(self.state.get()) if self.state.exists() else None, ready, until)
+        self.state.update(tuple(state)) if state else self.state.clear()
+        times = [r[0] for r in rest] + ([wake] if wake is not None else [])
+        if times:
+            self._wake(max(min(times), until + 1), until // 1000)
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def close_turns(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Sealed turns of (session_id, seq, ts, stage, tool) events; abandoned ones close by event time after 7 days."""
-    grouped = events.select("session_id", "seq", "ts", "stage", "tool").withWatermark("ts", delay).groupBy("session_id")
-    return grouped.transformWithStateInPandas(statefulProcessor=TurnCloser(), outputStructType=TURN_SCHEMA, outputMode="Append", timeMode="EventTime")
+TURN_SCHEMA = "session_id string, turn_ordinal int, part int, n int, prompts int, tools string, closed_by string"
 
 
-EXPIRY_SCHEMA = "id string, outcome string"
+class TurnCloser(InOrder):
+    """Closes a session's turn at the next prompt, at the session's end or after seven days, in parts of ``size``.
 
+    As in the batch operator, what comes before a session's first prompt is part of that prompt's turn, and prompts alone
+    count turns: what follows seven silent days without a prompt is another part of the same turn. A session is forgotten
+    after a year; its turns would count from 1 again.
+    """
 
-class QueueExpirer(StatefulProcessor):
-    """An item leaves by its tombstone, which may come first, or seven days after its first row."""
+    size = 50
+    silent_us = 7 * DAY_US
+    forget_us = 365 * DAY_US
+    row_schema = "us long, seq long, stage string, tool string"
+    state_schema = "ordinal int, part int, n int, prompts int, tools string, last long, prompted boolean"
+    out_schema = TURN_SCHEMA
+
+    def step(self, key, state, rows, until):
+        ordinal, part, n, prompts, tools, last, prompted = state or [1, 1, 0, 0, "", 0, False]
+        counts = Counter({k: int(v) for k, v in (x.rsplit(":", 1) for x in tools.split(",") if x)})
+        out = []
 
-    timeout_ms = 7 * DAY_MS
+        def spelled() -> str:
+            return ",".join(f"{k}:{v}" for k, v in sorted(counts.items()))
+
+        def close(why: str) -> None:
+            nonlocal n, prompts
+            if n:
+                out.append((key[0], ordinal, part, n, prompts, spelled(), why))
+            n = prompts = 0
+            counts.clear()
+
+        for us, _, stage, tool in rows:
+            if n and us > last + self.silent_us:
+                close("timeout")
+                part += 1
+            if stage == "prompt-submit" and prompted:
+                close("prompt")
+                ordinal, part, prompted = ordinal + 1, 1, False
+            elif n >= self.size:
+                close("size")
+                part += 1
+            prompted = prompted or stage == "prompt-submit"
+            n, prompts, last = n + 1, prompts + (stage == "prompt-submit"), us
+            if tool:
+                counts[tool] += 1
+            if stage == "session-end":
+                close("end")
+                ordinal, part, prompted = ordinal + 1, 1, False
+        if n and last + self.silent_us <= until:
+            close("timeout")
+            part += 1
+        if last + self.forget_us <= until:
+            return out, None, None
+        return out, [ordinal, part, n, prompts, spelled(), last, prompted], last + (self.silent_us if n else self.forget_us)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "pending boolean, done boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        pending, done = self.state.get() if known else (False, False)
-        out, first = [], None
-        for batch in rows:
-            first = min([batch["ts"].min()] + ([first] if first is not None else []))
-            for tombstone in batch["tombstone"]:
-                if tombstone:
-                    if pending and not done:
-                        out.append((key[0], "dequeued"))
-                    done = True
-                elif not pending:
-                    pending = True
-                    if done:
-                        out.append((key[0], "dequeued"))
-        if not known:  # one timer for each item
-            self.handle.registerTimer(int(first.timestamp() * 1000) + self.timeout_ms)
-        self.state.update((pending, done))
-        yield pd.DataFrame(out, columns=["id", "outcome"])
+def close_turns(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Sealed turns of (session_id, seq, ts, stage, tool) events, which may come in any order within ``delay``; abandoned
+    ones close by event time after 7 days."""
+    rows = events.select("session_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"), "stage", "tool")
+    return rows.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(statefulProcessor=TurnCloser(), outputStructType=TURN_SCHEMA, outputMode="Append", timeMode="EventTime")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+
+EXPIRY_SCHEMA = "id string, outcome string"
+
+
+class QueueExpirer(InOrder):
+    """An item leaves by its tombstone, which may come first, or seven days after its first row. Rows after that are an
+    item of their own."""
+
+    life_us = 7 * DAY_US
+    row_schema = "us long, seq long, tombstone boolean"
+    state_schema = "first long, pending boolean, done boolean"
+    out_schema = EXPIRY_SCHEMA
+
+    def step(self, key, state, rows, until):
+        first, pending, done = state or [None, False, False]
         out = []
-        if self.state.exists():
-            pending, done = self.state.get()
+
+        def expire() -> None:
+            nonlocal first, pending, done
             if pending and not done:
                 out.append((key[0], "expired"))
-            self.state.clear()
-        yield pd.DataFrame(out, columns=["id", "outcome"])
+            first, pending, done = None, False, False
 
-    def close(self) -> None:
-        pass
+        for us, _, tombstone in rows:
+            if first is not None and us > first + self.life_us:
+                expire()
+            first = us if first is None else first
+            left = pending and done
+            pending, done = pending or not tombstone, done or bool(tombstone)
+            if pending and done and not left:
+                out.append((key[0], "dequeued"))
+        if first is not None and first + self.life_us <= until:
+            expire()
+        return (out, None, None) if first is None else (out, [first, pending, done], first + self.life_us)
 
 
 def expire_queue(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """What became of each item of (id, tombstone, ts)."""
-    grouped = log.select("id", "tombstone", "ts").withWatermark("ts", delay).groupBy("id")
-    return grouped.transformWithStateInPandas(statefulProcessor=QueueExpirer(), outputStructType=EXPIRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+    """What became of each item of (id, tombstone, ts), whose rows may come in any order within ``delay``."""
+    rows = log.select("id", "tombstone", "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("long").alias("seq"))
+    return rows.withWatermark("ts", delay).groupBy("id").transformWithStateInPandas(statefulProcessor=QueueExpirer(), outputStructType=EXPIRY_SCHEMA, outputMode="Append", timeMode="EventTime")

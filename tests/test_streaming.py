@@ -1,7 +1,9 @@
+import contextlib
 import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from mnemoframe.streaming import jobs
@@ -81,5 +83,59 @@ def test_latest_is_kept_whatever_comes_late(spark, tmp_path):
     df = stream(spark, tmp_path, rows, "id string, version timestamp, seq long, state string")
     q = jobs.keep_latest(df, str(tmp_path / "table"), str(tmp_path / "ck"), "id", "version")
     q.awaitTermination(180)
-    out = spark.read.parquet(str(tmp_path / "table"))
+    out = jobs.read_latest(spark, str(tmp_path / "table"), df.schema)
     assert sorted((r.id, r.state) for r in out.collect()) == [("k", "new"), ("m", "some")]
+    assert jobs.drop_replaced(spark, str(tmp_path / "table")) >= 1
+    assert sorted((r.id, r.state) for r in jobs.read_latest(spark, str(tmp_path / "table"), df.schema).collect()) == [("k", "new"), ("m", "some")]
+
+
+def test_a_batch_that_fails_half_way_leaves_the_table_before_it(spark, tmp_path):
+    marker, table, schema = tmp_path / "mended", str(tmp_path / "table"), "id long, version long, seq long, state string"
+
+    @F.udf("string")
+    def fragile(state):
+        import os
+
+        if state == "broken" and not os.path.exists(marker):
+            raise RuntimeError("lost")
+        return state
+
+    batches = [[(i, 1, 1, "first") for i in range(50)], [(i, 2, 2, "broken" if i == 40 else "second") for i in range(0, 50, 2)], [(i, 1, 3, "late") for i in range(50)]]
+    df = stream(spark, tmp_path, batches, schema).withColumn("state", fragile("state"))
+
+    def drain():
+        q = jobs.keep_latest(df, table, str(tmp_path / "ck"), "id", "version")
+        with contextlib.suppress(StreamingQueryException):
+            q.awaitTermination(180)
+        return q.exception(), {r.id: r.state for r in jobs.read_latest(spark, table, df.schema).collect()}
+
+    failed, rows = drain()
+    assert failed is not None and rows == dict.fromkeys(range(50), "first")
+    marker.touch()
+    failed, rows = drain()
+    expected = {i: "late" if i % 2 else "broken" if i == 40 else "second" for i in range(50)}
+    assert failed is None and rows == expected
+    # A batch that was published does nothing when it runs again.
+    before = jobs._published(spark, table)
+    jobs.merge_latest(spark.createDataFrame([(1, 9, 9, "again")], schema), 1, table, "id", "version")
+    assert jobs._published(spark, table) == before
+
+
+def test_turns_do_not_depend_on_batches(spark, tmp_path):
+    def row(minute, stage, tool=None, session="s"):
+        return (session, minute, T0 + timedelta(minutes=minute), stage, tool)
+
+    rows = [row(0, "prompt-submit"), row(10, "tool-post", "Read"), row(20, "prompt-submit"), row(30, "tool-post", "Bash"), row(40, "prompt-submit")]
+    rows += [row(60 * 24 * 8, "tool-post", "Late"), row(60 * 24 * 8 + 1, "prompt-submit"), row(60 * 24 * 30, "prompt-submit", session="clock")]
+    # The second row comes last but one, within the hour; one that comes after the watermark is left out.
+    batches = [[rows[0], rows[2]], [rows[4], rows[3], row(55, "tool-post", "Edit")], [rows[1]], [rows[5]], [rows[6]], [row(5, "tool-post", "TooLate"), rows[7]]]
+    df = stream(spark, tmp_path, batches, "session_id string, seq int, ts timestamp, stage string, tool string")
+    out = [(r.turn_ordinal, r.part, r.n, r.prompts, r.tools, r.closed_by) for r in run(jobs.close_turns(df), "late_turns") if r.session_id == "s"]
+    assert sorted(out) == [(1, 1, 2, 1, "Read:1", "prompt"), (2, 1, 2, 1, "Bash:1", "prompt"), (3, 1, 2, 1, "Edit:1", "timeout"), (3, 2, 1, 0, "Late:1", "prompt"), (4, 1, 1, 1, "", "timeout")]
+
+
+def test_queue_lives_do_not_depend_on_batches(spark, tmp_path):
+    day = timedelta(days=1)
+    batches = [[("a", True, T0 + timedelta(minutes=30)), ("b", False, T0)], [("a", False, T0)], [("b", True, T0 + 8 * day), ("b", False, T0 + 8 * day)], [("z", False, T0 + 40 * day)]]
+    df = stream(spark, tmp_path, batches, "id string, tombstone boolean, ts timestamp")
+    assert sorted((r.id, r.outcome) for r in run(jobs.expire_queue(df), "lives")) == [("a", "dequeued"), ("b", "dequeued"), ("b", "expired")]

@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Characters of a q-gram; items for which the lemma needs shorter ones (of 13 to 15 characters) have SHORT_Q.
 Q = 8
+SHORT_Q = 6
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
 #: Characters of benchmark text in one index; a larger benchmark is searched in several passes.
 BLOCK_CHARS = 2_000_000
-#: Characters of an item up to which it is looked for as a whole; longer ones are looked for by pieces of this length,
-#: as the cost of an alignment grows with the square of the length.
-ITEM_CHARS = 4000
 #: Cells of a row of the alignments that are made together.
 CELLS = 200_000
 #: Characters of text looked at together.
@@ -56,60 +55,69 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return folded[at], at
 
 
-def q_gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q = 8 characters from each position, by doubling."""
-    if len(codes) < Q:
+def q_gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the ``q`` characters from each position, put together from those of powers of two."""
+    if len(codes) < q:
         return np.empty(0, dtype=np.uint64)
     h, power, width = codes.astype(np.uint64) + np.uint64(1), _BASE, 1
-    while width < Q:
+    out, done = np.zeros(len(codes), dtype=np.uint64), 0
+    while True:
+        if q & width:
+            n = len(codes) - done - width + 1
+            out, done = out[:n] * np.uint64(power) + h[done : done + n], done + width
+        if done == q:
+            return out
         h = h[:-width] * np.uint64(power) + h[width:]
         power, width = power * power % (1 << 64), width * 2
-    return h
 
 
-class Index:
-    """q-grams of the items to (item, position), with each item's edit budget and bound."""
+def gram_size(chars: int) -> int:
+    """The q-gram size for an item: with Q or, where its budget makes that useless, with SHORT_Q, at least one q-gram has
+    to be left whatever the edits: n - q + 1 - q * edits >= 1."""
+    edits = int(EDIT_RATE * chars)
+    q = Q if chars >= Q * (edits + 1) else SHORT_Q
+    if chars < q * (edits + 1):
+        raise ValueError(f"no q-gram size for {chars} characters and {edits} edits")
+    return q
 
-    def __init__(self, items: Sequence[tuple[object, str]]):
-        pieces = [(key, c.codes[at : at + ITEM_CHARS]) for key, text in items if len(c := _Codes(text)) >= Q for at in range(0, len(c), ITEM_CHARS)]
-        # A blank end or a very short last piece of a long item says nothing.
-        codes = [(key, x) for key, x in pieces if len(x) >= Q]
-        self.ids = [key for key, _ in codes]
-        self.codes = [x for _, x in codes]
-        self.edits = np.array([int(EDIT_RATE * len(c)) for c in self.codes], dtype=np.int64)
-        hashes = [q_gram_hashes(c) for c in self.codes]
-        flat = np.concatenate([np.empty(0, np.uint64), *hashes])
-        _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+
+class _Grams:
+    """The q-grams of one size of some items: hash to (item, position), with each item's bound."""
+
+    def __init__(self, q: int, items: np.ndarray, codes: list[np.ndarray], edits: np.ndarray):
+        self.q = q
+        hashes = [q_gram_hashes(codes[i], q) for i in items]
+        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         often = counts[inverse]
         self.bound = np.zeros(len(codes), dtype=np.int64)
         rows, at = [], 0
-        for i, h in enumerate(hashes):
+        for i, h in zip(items.tolist(), hashes, strict=True):
             here = often[at : at + len(h)]
             at += len(h)
-            needed = min(len(h), int(Q * self.edits[i] + max(8, len(h) // 5)))
+            needed = min(len(h), int(q * edits[i] + max(8, len(h) // 5)))
             limit = max(COMMON, int(np.partition(here, needed - 1)[needed - 1]))
             kept = np.flatnonzero(here <= limit)
-            self.bound[i] = max(1, len(kept) - Q * self.edits[i])
+            self.bound[i] = len(kept) - q * edits[i]
             rows.append(np.column_stack([h[kept], np.full(len(kept), i, np.uint64), kept.astype(np.uint64)]))
-        table = np.concatenate([np.empty((0, 3), np.uint64), *rows])
+        table = np.concatenate(rows)
         table = table[np.argsort(table[:, 0], kind="stable")]
         self.hash, self.first, self.count = np.unique(table[:, 0], return_index=True, return_counts=True)
         self.item, self.pos = table[:, 1].astype(np.int64), table[:, 2].astype(np.int64)
         self.seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.seen[(self.hash >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, codes: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, band) of the bands that reach their item's bound."""
-        h = q_gram_hashes(codes)
+        h = q_gram_hashes(codes, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         slot = np.searchsorted(self.hash, h[at])
         slot[slot == len(self.hash)] = 0
-        found = self.hash[slot] == h[at] if len(self.hash) else np.zeros(len(at), bool)
+        found = self.hash[slot] == h[at]
         at, slot = at[found], slot[found]
         counts = self.count[slot]
         which = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else np.empty(0, np.int64)
         item = self.item[which]
-        band = (np.repeat(at, counts) - self.pos[which]) // (self.edits[item] + 1)
+        band = (np.repeat(at, counts) - self.pos[which]) // (edits[item] + 1)
         # Bands are numbered from a little below 0; both bands of a diagonal get its count.
         span = len(codes) + 4096
         keys, n = np.unique(np.concatenate([item * span + band + 2048, item * span + band + 2047]), return_counts=True)
@@ -118,6 +126,24 @@ class Index:
         return item[good], keys[good] % span - 2048
 
 
+class Index:
+    """The items with their edit budgets, and their q-grams by size."""
+
+    def __init__(self, items: Sequence[tuple[object, str]]):
+        # A blank end says nothing.
+        codes = [(key, c.strip().codes) for key, text in items if len(c := _Codes(text)) >= Q]
+        self.ids = [key for key, _ in codes]
+        self.codes = [x for _, x in codes]
+        self.edits = np.array([int(EDIT_RATE * len(c)) for c in self.codes], dtype=np.int64)
+        sizes = np.array([gram_size(len(c)) for c in self.codes], dtype=np.int64)
+        self.grams = [_Grams(q, some, self.codes, self.edits) for q in (Q, SHORT_Q) if len(some := np.flatnonzero(sizes == q))]
+
+    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) of the bands that reach their item's bound."""
+        found = [g.candidates(codes, self.edits) for g in self.grams]
+        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True))
+
+
 class _Codes:
     """Normalised text without blanks at its ends."""
 
@@ -136,11 +162,12 @@ class _Codes:
 _STEP = np.int64(1) << np.int64(32)
 
 
-def align(items: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def align(items: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int, budgets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least edits of each item within its band, with where that match starts and ends in ``text``.
 
     Cells are edits * 2^32 + start; a row holds one item character for every candidate. ``low`` is a band's first
-    diagonal, ``width`` the number of diagonals.
+    diagonal, ``width`` the number of diagonals. It ends early, with edits over the budget, once no candidate can keep to
+    its own.
     """
     m, offsets = len(items), np.arange(width, dtype=np.int64)
     sizes = np.array([len(x) for x in items])
@@ -152,8 +179,10 @@ def align(items: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int
     inside = (column >= 0) & (column <= len(text))
     cells = np.where(inside, np.clip(column, 0, len(text)), far)
     ramp = offsets * _STEP
-    best, start, end = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    best, start, end = budgets + 1, np.zeros(m, np.int64), np.zeros(m, np.int64)
     for row in range(1, sizes.max() + 1):
+        if row % 64 == 0 and (cells.min(axis=1) // _STEP > budgets)[sizes >= row].all():
+            break
         column = column + 1
         inside = (column >= 1) & (column <= len(text))
         char = text[np.clip(column - 1, 0, len(text) - 1)]
@@ -195,7 +224,7 @@ def find_in(index: Index, texts: Sequence[str]) -> list[tuple[int, int, int, int
         at += many
         step = index.edits[some] + 1
         low = bands * step - step
-        best, start, end = align([index.codes[i] for i in some], codes, low, int(4 * step.max()))
+        best, start, end = align([index.codes[i] for i in some], codes, low, int(4 * step.max()), index.edits[some])
         for i, cost, a, b in zip(some, best, start, end, strict=True):
             if cost <= index.edits[i] and b > a:
                 text = int(np.searchsorted(owners, a, side="right") - 1)
@@ -242,8 +271,8 @@ def chunks(texts: Sequence[str]) -> Iterator[tuple[int, Sequence[str]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, item_chars): every benchmark item found in every whole text.
 
-    Case, punctuation and runs of blanks do not count. start and end are code points of the original text. An item of
-    over ITEM_CHARS characters is looked for by its pieces, each with its own row (item_chars is the piece's length).
+    Case, punctuation and runs of blanks do not count. start and end are code points of the original text. Items of any
+    length are found as a whole within their whole budget; a comparison costs the square of an item's length.
     Null and empty texts hold nothing; items of fewer than Q letters and blanks are never found; repeated documents and
     items are found each; a null item_id stays null. The distinct items are collected in blocks of about BLOCK_CHARS
     characters and each block is one pass over the texts without a shuffle.

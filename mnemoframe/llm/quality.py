@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 FEATURES = 256
-#: Kernel width, about one over the number of standardised statistics, and penalty.
+#: Kernel width: standardised statistics of two texts differ by about twice their number in the sum of squares, so the
+#: kernel is about 0.2 for unrelated texts. Penalty: that of one row, so it fades as rows come in.
 GAMMA = 0.04
 RIDGE = 1.0
 SEED = 7
 #: Labelled rows used for fitting, at most about (chosen by hash of doc_id).
 TRAIN_ROWS = 200_000
-#: One in so many teaching documents fits the calibration only, if there are enough of them.
-CALIBRATION = 5
-#: Calibrating rows below which the rows that teach the ridge calibrate too.
-CALIBRATION_LEAST = 500
+#: Parts of the teaching documents; each is scored for the calibration by a ridge of the others.
+FOLDS = 5
 #: Score bins that the calibration sees.
 BINS = 2000
 THRESHOLD = 0.3
@@ -125,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
     Several labels of one document count as their mean. The chosen labels are at most about ``rows`` (by hash of
     doc_id), so they are broadcast and only labelled texts are looked at. What reaches the driver has a fixed
-    size: means, the sums of the normal equations (added up on the executors first) and BINS calibration bins.
+    size: means, the sums of the normal equations by fold (added up on the executors first) and BINS calibration bins.
+    The calibration is isotonic over scores from the ridge of the other folds, whatever the number of labels. It has as
+    many steps as the labels support; scores between two bins are interpolated.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y")).where(~held_out(F.col("doc_id")))
     share = min(1.0, rows / max(1, known.count()))
@@ -133,13 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["y", "calibrates"]].assign(x=[statistics(t) for t in batch["text"]])[["x", "y", "calibrates"]]
+            yield batch[["y", "fold"]].assign(x=[statistics(t) for t in batch["text"]])[["x", "y", "fold"]]
 
-    # A share of the documents fits the calibration, the others the ridge: scores of rows that the ridge saw are too sure.
-    kept_back = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION)) == 0
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y", kept_back.alias("calibrates"))
-    train = materialise(labelled.mapInPandas(count, "x array<double>, y double, calibrates boolean"), "train")
-    sums = train.agg(F.count("*").alias("n"), F.count_if("calibrates").alias("back"), *(F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(_STATISTICS)), *(F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(_STATISTICS))).first()
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y", fold)
+    train = materialise(labelled.mapInPandas(count, "x array<double>, y double, fold int"), "train")
+    sums = train.agg(F.count("*").alias("n"), *(F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(_STATISTICS)), *(F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(_STATISTICS))).first()
     if not sums["n"]:
         return None
     rng = np.random.default_rng(SEED)
@@ -155,31 +155,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     size = FEATURES + 1
 
     def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((FOLDS, size, size + 1))
         for batch in batches:
             if len(batch):
-                z = model.features(np.stack(batch["x"].to_numpy()))
-                total += z.T @ np.column_stack([z, batch["y"].to_numpy(float)])
-        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+                z = np.column_stack([model.features(np.stack(batch["x"].to_numpy())), batch["y"].to_numpy(float)])
+                for fold in range(FOLDS):
+                    own = z[batch["fold"].to_numpy() == fold]
+                    total[fold] += own[:, :-1].T @ own
+        for fold in range(FOLDS):
+            yield pd.DataFrame({"fold": fold, "i": np.arange(size), "row": list(total[fold])})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": group["i"][:1], "row": [np.sum(np.stack(group["row"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"fold": group["fold"][:1], "i": group["i"][:1], "row": [np.sum(np.stack(group["row"].to_numpy()), axis=0)]})
 
-    # A calibration by few rows says little: below CALIBRATION_LEAST all rows do both.
-    ridge, calibration = (train, train) if sums["back"] < CALIBRATION_LEAST else (train.where("not calibrates"), train.where("calibrates"))
-    parts = ridge.mapInPandas(equations, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
-    system = np.array([r["row"] for r in sorted(parts.collect(), key=lambda r: r["i"])])
+    shape = "fold int, i int, row array<double>"
+    parts = np.zeros((FOLDS, size, size + 1))
+    for r in train.mapInPandas(equations, shape).groupBy("fold", "i").applyInPandas(add, shape).collect():
+        parts[r["fold"], r["i"]] = r["row"]
     penalty = RIDGE * np.eye(size)
     penalty[-1, -1] = 1e-6
-    model.beta = np.linalg.solve(system[:, :-1] + penalty, system[:, -1])
+
+    def solved(system: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(system[:, :-1] + penalty, system[:, -1])
+
+    # Scores of rows that a ridge has seen are too sure, so each fold is scored by the sums without its own.
+    model.beta = solved(parts.sum(axis=0))
+    betas = np.stack([solved(parts.sum(axis=0) - own) for own in parts])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                raw = model.raw(np.stack(batch["x"].to_numpy()))
+                raw = np.einsum("ij,ij->i", model.features(np.stack(batch["x"].to_numpy())), betas[batch["fold"].to_numpy()])
                 yield pd.DataFrame({"bin": np.clip(raw * BINS / 2 + BINS / 4, 0, BINS - 1).astype(int), "raw": raw, "y": batch["y"]})
 
-    bins = calibration.mapInPandas(scored, "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()
+    bins = train.mapInPandas(scored, "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()
     bins.sort(key=lambda r: r["raw"])
     model.edges = np.array([r["raw"] for r in bins])
     model.values = isotonic(np.array([r["y"] for r in bins]), np.array([r["n"] for r in bins], float))

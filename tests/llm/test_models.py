@@ -299,17 +299,55 @@ def test_ties_repeated_rows_and_lengths(spark):
     assert got[60] == [(70, 1.0)] and got[80] == []
 
 
+def some_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
 def test_repeated_and_long_items(spark):
-    """A text that many items repeat is found for each; a very long item by its pieces."""
+    """A text that many items repeat is found for each; a very long item is found whole or not at all."""
     rng = random.Random(2)
-    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
-    passage, long = (" ".join(word() for _ in range(n)) for n in (30, 30_000))
-    bench = spark.createDataFrame([(i, passage) for i in range(50)] + [(None, passage), (99, long), (100, " ".join(word() for _ in range(30)))], "item_id long, text string")
-    docs = docs_of(spark, [f"before {passage} after", "before " + long[: leaks.ITEM_CHARS + 500] + " after", " ".join(word() for _ in range(200))])
+    passage, long = some_words(rng, 30), some_words(rng, 1500)
+    changed = list(long)
+    for at in rng.sample(range(0, len(long), 20), 300):
+        changed[at] = rng.choice([" z ", "", "q"])
+    bench = spark.createDataFrame([(i, passage) for i in range(50)] + [(None, passage), (99, long), (100, some_words(rng, 30))], "item_id long, text string")
+    docs = docs_of(spark, [f"before {passage} after", f"before {long[:5000]} after", some_words(rng, 200), f"before {long} after", f"before {''.join(changed)} after"])
+    assert len(long) > 8000
     rows = leaks.find_leaks(docs, bench).collect()
     assert sorted((r.item_id if r.item_id is not None else -1) for r in rows if r.doc_id == 0) == [-1, *range(50)]
-    assert [(r.item_id, r.item_chars, r.edits) for r in rows if r.doc_id == 1] == [(99, leaks.ITEM_CHARS, 0)] and not [r for r in rows if r.doc_id == 2]
-    assert [r.doc_id for r in leaks.drop_leaks(docs, bench).collect()] == [2]
+    own = len(leaks._Codes(long))
+    assert [(r.item_id, r.item_chars, r.edits) for r in rows if r.doc_id == 3] == [(99, own, 0)]
+    (near,) = [r for r in rows if r.doc_id == 4]
+    assert near.item_id == 99 and 100 < near.edits <= int(leaks.EDIT_RATE * own)
+    assert sorted(r.doc_id for r in leaks.drop_leaks(docs, bench).collect()) == [1, 2]
+
+
+def test_every_one_edit_change_of_short_items():
+    """Items of 8 to 40 characters with each of their letters changed, dropped or doubled, against full alignment."""
+    rng = random.Random(4)
+    for chars in range(8, 41):
+        item = some_words(rng, 20)[:chars].strip().ljust(chars, "x")
+        index = leaks.Index([(0, item)])
+        texts = [f"say {item[:i]}{new}{item[i + 1 :]} ok now" for i in range(chars) for new in ("0", "", item[i] * 2)]
+        found = {t for t, *_ in leaks.find_in(index, texts)}
+        own = leaks._Codes(item).strip().codes.tolist()
+        for n, text in enumerate(texts):
+            assert (n in found) == (plain_distance(own, leaks.normalise(text)[0].tolist()) <= int(leaks.EDIT_RATE * chars)), (chars, text)
+    assert leaks.find_in(leaks.Index([(0, "hello world ok")]), ["say hello w0rld ok now"])
+
+
+def test_every_length_has_a_q_gram_size():
+    assert {n for n in range(leaks.Q, 200_000) if leaks.gram_size(n) == leaks.SHORT_Q} == {13, 14, 15}
+
+
+def test_q_grams_of_any_size():
+    codes = np.random.default_rng(0).integers(0, 3, 500).astype(np.uint32)
+    for q in (1, 3, 6, 8):
+        h, seen = leaks.q_gram_hashes(codes, q).tolist(), {}
+        assert len(h) == 500 - q + 1
+        for i, x in enumerate(h):
+            assert seen.setdefault(tuple(codes[i : i + q]), x) == x
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_viterbi_against_all_tag_sequences():
@@ -347,23 +385,35 @@ def test_many_spans_in_one_text_are_not_compared_with_each_other(net):
     assert len(base) == 20_000 and list(pii.training_windows(text, np.random.default_rng(0))) and time.time() - start < 60
 
 
-def test_summed_equations_against_a_direct_solution(spark, monkeypatch):
-    """The ridge from equations that partitions sum is that of all rows at once; calibrating rows have no part in it."""
-    monkeypatch.setattr(quality, "CALIBRATION_LEAST", 10)
+@pytest.mark.parametrize("share", [1.0, 0.2])
+def test_summed_equations_against_a_direct_solution(spark, share):
+    """The ridge from equations that partitions sum is that of all rows at once; the calibration is isotonic over scores of
+    ridges that have not seen the row. The same for few labels as for more."""
     data = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < int(100 * share))
     model = quality.fit(docs.repartition(7), labels)
     teach = labels.where("quality is not null").join(docs, "doc_id").where(~quality.held_out(F.col("doc_id")))
-    rows = teach.select("text", "quality", (F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(quality.CALIBRATION)) == 0).alias("back")).collect()
-    x = np.array([quality.statistics(r.text) for r in rows])
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(quality.FOLDS)).alias("fold")
+    rows = teach.select("text", "quality", fold).collect()
+    x, y, folds = np.array([quality.statistics(r.text) for r in rows]), np.array([float(r.quality) for r in rows]), np.array([r.fold for r in rows])
     assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-9)
-    fit = np.array([not r.back for r in rows])
-    z, y = model.features(x[fit]), np.array([float(r.quality) for r in rows])[fit]
-    penalty = quality.RIDGE * np.eye(z.shape[1])
-    penalty[-1, -1] = 1e-6
-    direct = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty)]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
-    assert np.allclose(model.features(x) @ model.beta, model.features(x) @ direct, atol=1e-6)
-    assert np.all(np.diff(model.values) >= 0) and 0 < fit.sum() < len(rows)
+
+    def direct(fit):
+        z = model.features(x[fit])
+        penalty = quality.RIDGE * np.eye(z.shape[1])
+        penalty[-1, -1] = 1e-6
+        return np.linalg.lstsq(np.vstack([z, np.sqrt(penalty)]), np.concatenate([y[fit], np.zeros(z.shape[1])]), rcond=None)[0]
+
+    z = model.features(x)
+    assert np.allclose(z @ model.beta, z @ direct(folds >= 0), atol=1e-6)
+    raw = np.zeros(len(x))
+    for k in range(quality.FOLDS):
+        raw[folds == k] = z[folds == k] @ direct(folds != k)
+    bins = np.clip(raw * quality.BINS / 2 + quality.BINS / 4, 0, quality.BINS - 1).astype(int)
+    means = sorted((raw[bins == b].mean(), y[bins == b].mean(), (bins == b).sum()) for b in set(bins))
+    assert np.allclose(model.edges, [m[0] for m in means], atol=1e-6)
+    assert np.allclose(model.values, quality.isotonic(np.array([m[1] for m in means]), np.array([m[2] for m in means], float)), atol=1e-6)
 
 
 def longest_common(a, b):

@@ -1,7 +1,9 @@
 """Personal data: base patterns plus a character-level bidirectional LSTM with CRF transitions, in numpy.
 
 The net learns from a bounded sample of windows of the documents: spans that the base patterns label, values written in
-other ways (FORMS) at random places, and numbers that are no personal data. At run time the emissions of overlapping
+other ways, and numbers that are no personal data. Some forms speak for themselves (a spelled-out address, an area code
+in brackets); plain groups of digits are taken as a telephone number only where a word such as "call" stands shortly
+before them, as nothing else tells them from years, parts or scores. At run time the emissions of overlapping
 windows around digits, at signs and spelled-out addresses are averaged, and each whole stretch is decoded at once by the
 CRF, so its tags agree with each other wherever windows meet.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,13 +32,13 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 64
 STRIDE = 32
 MARGIN = 24
-HIDDEN = 16
+HIDDEN = 20
 #: Windows of one document in the sample, at most.
 DOC_WINDOWS = 6
 #: Windows used for training, at most; documents looked at for them, at most about (by hash of doc_id).
-TRAIN_WINDOWS = 1200
+TRAIN_WINDOWS = 1600
 TRAIN_DOCS = 20_000
-EPOCHS = 14
+EPOCHS = 22
 SEED = 11
 #: Windows decoded at once.
 BATCH = 2048
@@ -48,7 +50,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: What a text needs for a base span, and for one that the net may add.
 TRIGGER = re.compile(r"[0-9@]")
-SPELLED = r"(?i:[\[( ]at[\]) ][^\n]{1,40}?[\[( ]dot[\]) ])"
+SPELLED = r"(?i:[\[( ]at[\]) ][^\n]{1,40}?[\[( ]dot[\]) ]|[\[(] ?at ?[\])])"
 ANY_TRIGGER = re.compile(rf"[0-9@]|{SPELLED}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -90,18 +92,18 @@ def base_spans(text: str) -> list[Span]:
     return spans + [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
 
 
-_CLASSES = "0 abcdefghijklmnopqrstuvwxyz @ . - _ + % ( ) [ ] , : / = ' \" | # $ & * !".replace("abcdefghijklmnopqrstuvwxyz", " ".join("abcdefghijklmnopqrstuvwxyz")).split()
+_CLASSES = "0 1 2 abcdefghijklmnopqrstuvwxyz @ . - _ + % ( ) [ ] , : / = ' \" | # $ & * !".replace("abcdefghijklmnopqrstuvwxyz", " ".join("abcdefghijklmnopqrstuvwxyz")).split()
 CLASSES = len(_CLASSES) + 5
 _table: list[np.ndarray] = []
 
 
 def char_classes(text: str) -> np.ndarray:
-    """Class of each character: digits as one, letters without case, marks, blanks, line ends, the rest; 0 pads."""
+    """Class of each character: 0, 1 and other digits, letters without case, marks, blanks, line ends, the rest; 0 pads."""
     if not _table:
         table = np.full(129, CLASSES - 1, dtype=np.int8)
         for i in range(128):
             c = chr(i)
-            key = "0" if c.isdigit() else c.lower()
+            key = "2" if c in "3456789" else c.lower()
             table[i] = 1 + _CLASSES.index(key) if key in _CLASSES else CLASSES - 4 if c == " " else CLASSES - 3 if c.isspace() else CLASSES - 2
         _table.append(table)
     return _table[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 128)]
@@ -120,35 +122,30 @@ class Net:
     @classmethod
     def new(cls, rng: np.random.Generator) -> Net:
         k, h = len(TAGS), HIDDEN
-        p = {f"x{d}": rng.normal(0, 0.3, (CLASSES, 4 * h)) for d in "fb"} | {f"h{d}": rng.normal(0, 0.3, (h, 4 * h)) for d in "fb"}
-        for d in "fb":
-            p[f"x{d}"][:, h : 2 * h] += 1.0  # forget gates start open
+        p = {"x": rng.normal(0, 0.3, (2, CLASSES, 4 * h)), "h": rng.normal(0, 0.3, (2, h, 4 * h))}
+        p["x"][:, :, h : 2 * h] += 1.0  # forget gates start open
         p |= {"o": rng.normal(0, 0.3, (2 * h, k)), "b": np.zeros(k), "t": np.zeros((k, k)), "s": np.zeros(k)}
         return cls({name: v.astype(np.float32) for name, v in p.items()})
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states (T, N, H) of one direction, with what the backward pass needs."""
-        steps, n, h = x.shape[1], len(x), HIDDEN
-        wx, wh = self.p[f"x{d}"], self.p[f"h{d}"]
-        order = range(steps) if d == "f" else range(steps - 1, -1, -1)
-        hs, state, cell, kept = np.zeros((steps, n, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
-        for t in order:
-            z = wx[x[:, t]] + state @ wh
-            gates = _sigmoid(z[:, : 3 * h])
-            new, before = np.tanh(z[:, 3 * h :]), cell
-            cell = gates[:, h : 2 * h] * cell + gates[:, :h] * new
+    def emissions(self, x: np.ndarray, keep: bool = False):
+        """Tag scores (T, N, tags) of windows (N, T). Both directions go side by side, the second from the end."""
+        (n, steps), h = x.shape, HIDDEN
+        wx, wh = self.p["x"], self.p["h"]
+        both = np.stack([x, x[:, ::-1]])
+        inputs = np.stack([wx[d][both[d].T] for d in range(2)], axis=1)  # (T, 2, N, 4H)
+        hs, state, cell, kept = np.zeros((steps, 2, n, h), wx.dtype), np.zeros((2, n, h), wx.dtype), np.zeros((2, n, h), wx.dtype), []
+        for t in range(steps):
+            z = inputs[t] + state @ wh
+            gates = _sigmoid(z[..., : 3 * h])
+            new, before = np.tanh(z[..., 3 * h :]), cell
+            cell = gates[..., h : 2 * h] * cell + gates[..., :h] * new
             tanh = np.tanh(cell)
             if keep:
-                kept.append((t, state, before, gates, new, tanh))
-            state = gates[:, 2 * h :] * tanh
+                kept.append((state, before, gates, new, tanh))
+            state = gates[..., 2 * h :] * tanh
             hs[t] = state
-        return hs, kept
-
-    def emissions(self, x: np.ndarray, keep: bool = False):
-        f, kf = self._run(x, "f", keep)
-        b, kb = self._run(x, "b", keep)
-        both = np.concatenate([f, b], axis=2)
-        return both @ self.p["o"] + self.p["b"], (both, kf, kb)
+        joined = np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2)
+        return joined @ self.p["o"] + self.p["b"], (joined, both, kept)
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of each sequence of emissions (T, tags), by Viterbi; sequences of any length go together."""
@@ -174,7 +171,7 @@ class Net:
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood per character and its gradient: CRF forward-backward, then through time."""
-        e, (both, kf, kb) = self.emissions(x, keep=True)
+        e, (joined, both, kept) = self.emissions(x, keep=True)
         steps, n, k = e.shape
         trans = self.p["t"]
 
@@ -190,35 +187,36 @@ class Net:
             beta[t] = lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
         z = lse(alpha[-1], 1)
         de = np.exp(alpha + beta - z[:, None])
-        pairs = np.zeros_like(trans)
-        for t in range(steps - 1):
-            pairs += np.exp(alpha[t][:, :, None] + trans + (e[t + 1] + beta[t + 1])[:, None, :] - z[:, None, None]).sum(axis=0)
+        pairs = np.exp(alpha[:-1, :, :, None] + trans + (e + beta)[1:, :, None, :] - z[None, :, None, None]).sum(axis=(0, 1))
         gold = self.p["s"][y[:, 0]] + sum(e[t][np.arange(n), y[:, t]] for t in range(steps)) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
         loss = float((z - gold).mean() / steps)
         np.subtract.at(pairs, (y[:, :-1], y[:, 1:]), 1)
         de[np.arange(steps)[:, None], np.arange(n)[None, :], y.T] -= 1
         de /= n
-        grad = {"t": pairs / n, "s": de[0].sum(axis=0), "o": np.einsum("tnh,tnk->hk", both, de), "b": de.sum(axis=(0, 1))}
-        dboth = de @ self.p["o"].T
-        onehot = np.eye(CLASSES, dtype=np.float32)
-        h = HIDDEN
-        for d, kept, dh in (("f", kf, dboth[:, :, :h]), ("b", kb, dboth[:, :, h:])):
-            wh = self.p[f"h{d}"]
-            gx, gh = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(wh)
-            dstate, dcell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            for t, state, before, gates, new, tanh in reversed(kept):
-                i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
-                up = dh[t] + dstate
-                dcell = dcell + up * o * (1 - tanh * tanh)
-                dz = np.concatenate([dcell * new * i * (1 - i), dcell * before * f * (1 - f), up * tanh * o * (1 - o), dcell * i * (1 - new * new)], axis=1)
-                gx += onehot[x[:, t]].T @ dz
-                gh += state.T @ dz
-                dstate, dcell = dz @ wh.T, dcell * f
-            grad |= {f"x{d}": gx, f"h{d}": gh}
+        grad = {"t": pairs / n, "s": de[0].sum(axis=0), "o": np.einsum("tnh,tnk->hk", joined, de), "b": de.sum(axis=(0, 1))}
+        h, wh = HIDDEN, self.p["h"]
+        back = de @ self.p["o"].T
+        dh = np.stack([back[..., :h], back[::-1, :, h:]], axis=1)  # (T, 2, N, H), each in its own direction's order
+        dzs = np.zeros((steps, 2, n, 4 * h), e.dtype)
+        dstate, dcell = np.zeros((2, n, h), e.dtype), np.zeros((2, n, h), e.dtype)
+        turned = wh.transpose(0, 2, 1)
+        for t in range(steps - 1, -1, -1):
+            state, before, gates, new, tanh = kept[t]
+            i, f, o = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :]
+            up = dh[t] + dstate
+            dcell = dcell + up * o * (1 - tanh * tanh)
+            dz = np.concatenate([dcell * new * i * (1 - i), dcell * before * f * (1 - f), up * tanh * o * (1 - o), dcell * i * (1 - new * new)], axis=2)
+            dzs[t] = dz
+            dstate, dcell = dz @ turned, dcell * f
+        onehot = np.eye(CLASSES, dtype=e.dtype)
+        states = np.stack([k[0] for k in kept])
+        flat = [dzs[:, d].reshape(-1, 4 * h) for d in range(2)]
+        grad["x"] = np.stack([onehot[both[d].T.reshape(-1)].T @ flat[d] for d in range(2)])
+        grad["h"] = np.stack([states[:, d].reshape(-1, h).T @ flat[d] for d in range(2)])
         return loss, grad
 
 
-def train(windows: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: int = SEED) -> Net | None:
+def train(windows: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: int = SEED, batch: int = 64) -> Net | None:
     """A net from (window text, spans in it), by Adam. Digits' values and cases do not matter, only their classes."""
     if not windows:
         return None
@@ -232,13 +230,13 @@ def train(windows: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: int
             tag = TAGS.index(f"B-{kind}")
             y[n, s:e] = tag + 1
             y[n, s] = tag
-    net, step, steps = Net.new(rng), 0, epochs * -(-len(x) // 32)
+    net, step, steps = Net.new(rng), 0, epochs * -(-len(x) // batch)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(x))
-        for at in range(0, len(x), 32):
-            rows = order[at : at + 32]
+        for at in range(0, len(x), batch):
+            rows = order[at : at + batch]
             _, grad = net.gradient(x[rows], y[rows])
             step += 1
             for name, g in grad.items():
@@ -254,8 +252,14 @@ def _digits(rng: np.random.Generator, n: int) -> str:
     return "".join(map(str, rng.integers(0, 10, n)))
 
 
-def _word(rng: np.random.Generator, low: int = 3, high: int = 9) -> str:
-    return "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, rng.integers(low, high)))
+def _word(rng: np.random.Generator, words: Sequence[str] = ()) -> str:
+    """A name: one of ``words``, some syllables, or any letters, so that no look of a word counts."""
+    roll = rng.random()
+    if words and roll < 0.4:
+        return words[int(rng.integers(len(words)))]
+    if roll < 0.75:
+        return "".join("bcdfghjklmnprstvwz"[rng.integers(18)] + "aeiou"[rng.integers(5)] + ("", "", "n", "r", "s")[rng.integers(5)] for _ in range(rng.integers(1, 4)))
+    return "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, rng.integers(2, 9)))
 
 
 def card_number(rng: np.random.Generator) -> str:
@@ -264,27 +268,46 @@ def card_number(rng: np.random.Generator) -> str:
     return next(head + str(d) for d in range(10) if luhn(head + str(d)))
 
 
-def written_otherwise(kind: str, rng: np.random.Generator) -> str:
-    """A value of a kind, written in a way that the base patterns do not know."""
+#: Phrases before a telephone number, and endings of addresses, in generated windows.
+CALLS = ("call", "call me at", "tel", "tel.", "phone", "phone:", "telephone", "fax", "Fax:", "mobile", "cell", "ring", "text me at", "Telefon", "Tel.:", "Handy", "anrufen unter", "téléphone", "appelez le", "teléfono", "llame al", "contact")
+ENDINGS = ("com", "org", "net", "de", "fr", "es", "io", "edu", "info", "co.uk")
+
+
+def written_otherwise(kind: str, rng: np.random.Generator, words: Sequence[str] = ()) -> str:
+    """A value of a kind, written in a way that the base patterns do not know and that speaks for itself."""
+    while base_spans(value := _otherwise(kind, rng, words)):
+        pass  # a telephone number may pass for a card number
+    return value
+
+
+def _otherwise(kind: str, rng: np.random.Generator, words: Sequence[str]) -> str:
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     if kind == "email":
-        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "))
-        name = _word(rng) + pick("", dot + _word(rng), _digits(rng, 2))
-        return name + at + _word(rng) + pick("", dot + _word(rng)) + dot + pick("com", "org", "net", "de", "fr", "es")
+        at, dot = pick((" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" [at] ", "."), ("(at)", "."), (" (at) ", "."), ("[at]", "."))
+        name = _word(rng, words) + pick("", "", "", dot + _word(rng, words), _digits(rng, 2), "_" + _word(rng, words), "." + _word(rng, words))
+        return name + at + _word(rng, words) + pick("", "", pick(dot, ".", "-") + _word(rng, words)) + dot + pick(*ENDINGS)
     if kind == "ip":
         return pick(" . ", "[.]", " dot ", "(.)").join(str(x) for x in rng.integers(1, 256, 4))
     if kind == "card":
         n, mark = card_number(rng), pick(".", "/", " - ", "_")
         return mark.join(n[i : i + 4] for i in range(0, 16, 4))
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{pick('49', '33', '34')} {a} {b}{c}", f"0{a}/{b} {c}", f"({a}){b}-{c}")
+    code = pick("49", "33", "34", "44")
+    return pick(f"({a}) {b}-{c}", f"({a}){b}-{c}", f"({a}) {b} {c}", f"({a}) {b}.{c}", f"({a}) {b}{c}", f"00{code} {a} {b}{c}", f"0{a}/{b} {c}", f"0{a}-{b}{c}", f"0{a}/{b}{c}", f"1-{a}-{b}-{c}", f"1-8{pick('00', '88', '77')}-{b}-{c}")
+
+
+def plain_groups(rng: np.random.Generator) -> str:
+    """Groups of digits that may be a telephone number or anything else."""
+    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    mark = (" ", ".", "-")[int(rng.integers(3))]
+    return mark.join((a, b, c)) if rng.random() < 0.8 else mark.join(_digits(rng, 4) for _ in range(3))
 
 
-def written_plainly(kind: str, rng: np.random.Generator) -> str:
+def written_plainly(kind: str, rng: np.random.Generator, words: Sequence[str] = ()) -> str:
     """A value of a kind as the base patterns know it."""
     n = lambda k: _digits(rng, k)
     if kind == "email":
-        return f"{_word(rng)}{['', '.' + _word(rng), n(2)][int(rng.integers(3))]}@{_word(rng)}{['', n(1) + '.' + _word(rng)][int(rng.integers(2))]}.{['com', 'org', 'net', 'de'][int(rng.integers(4))]}"
+        return f"{_word(rng, words)}{['', '.' + _word(rng, words), n(2)][int(rng.integers(3))]}@{_word(rng, words)}{['', n(1) + '.' + _word(rng, words)][int(rng.integers(2))]}.{['com', 'org', 'net', 'de'][int(rng.integers(4))]}"
     if kind == "ip":
         return ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "card":
@@ -293,19 +316,32 @@ def written_plainly(kind: str, rng: np.random.Generator) -> str:
     return f"+{n(int(rng.integers(1, 3)))} {[f'({n(3)}) {n(3)}-{n(4)}', f'{n(3)} {n(7)}', f'{n(2)} {n(4)} {n(4)}'][int(rng.integers(3))]}"
 
 
-def harmless(rng: np.random.Generator) -> str:
+def harmless(rng: np.random.Generator, words: Sequence[str] = ()) -> str:
     """Numbers that are no personal data."""
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     n = lambda k: _digits(rng, k)
     return pick(
         f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.20{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"v{n(1)}.{n(2)}.{n(1)}", f"{n(3)},{n(3)}.{n(2)}", f"${n(4)}.{n(2)}", f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}",
-        f"pp. {n(3)}-{n(3)}", f"{n(pick(5, 6, 7, 8, 9, 11, 12, 20, 22))}", f"{n(2)} x {n(3)} x {n(2)}", f"id {n(6)}-{n(6)}-{n(6)}", f"{n(4)} {n(4)}", f"{n(1)}.{n(1)}.{n(1)}", f"{_word(rng)} at {_word(rng)} a dot {_word(rng)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(4)}-{n(4)}-{n(4)}",
+        f"pp. {n(3)}-{n(3)}", f"{n(pick(5, 6, 7, 8, 9, 11, 12, 20, 22))}", f"{n(2)} x {n(3)} x {n(2)}", f"id {n(6)}-{n(6)}-{n(6)}", f"{n(4)} {n(4)}", f"{n(1)}.{n(1)}.{n(1)}", f"{_word(rng, words)} at {_word(rng, words)} a dot {_word(rng, words)}", f"{_word(rng, words)} (at) {_word(rng, words)}", f"{n(3)} {n(3)}", f"{n(2)} {n(2)} {n(2)} {n(2)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(4)}-{n(4)}-{n(4)}",
     )
 
 
+def generated(rng: np.random.Generator, words: Sequence[str] = ()) -> tuple[str, str, str | None]:
+    """(words before, value, kind or None)."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    roll = rng.random()
+    if roll < 0.12:
+        return f"{pick(CALLS)}{pick((' ', ': ', ' is ', ' '))}", plain_groups(rng), "phone"
+    if roll < 0.30:
+        return "", harmless(rng, words), None
+    kind = pick(("email", "email", "ip", "card", "phone", "phone"))
+    before = "" if rng.random() < 0.7 else f"{pick(CALLS)} " if kind == "phone" else f"{pick(('mail', 'write to', 'please reach', 'from', 'host', 'paid by', 'e-mail:'))} "
+    return before, (written_plainly if rng.random() < 0.35 else written_otherwise)(kind, rng, words), kind
+
+
 def training_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[str, list[Span], bool]]:
-    """(window, spans, whether the value is the document's own). Up to DOC_WINDOWS windows of a document: round labelled spans, each at a random place in its window, round other
-    numbers, and round a generated value (or a harmless number) that is put at a random place."""
+    """(window, spans, whether the value is the document's own). Up to DOC_WINDOWS windows of a document: round labelled
+    spans, each at a random place in its window, round other numbers, and round generated values or harmless numbers."""
     spans, last = [], 0
     for x in sorted((s, e, k) for s, e, k in base_spans(text) if e - s <= WINDOW - 8):
         if x[0] >= last:  # overlapping spans teach nothing clear
@@ -323,20 +359,22 @@ def training_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[str,
     for _ in range(3):
         at = int(rng.integers(0, max(1, len(text))))
         at += 1 if not (space := re.compile(r"\s").search(text, at)) else space.start() - at
-        kind = [*KINDS, None][int(rng.integers(5))]
-        value = harmless(rng) if not kind else written_plainly(kind, rng) if rng.random() < 0.5 else written_otherwise(kind, rng)
         before, after = text[max(0, at - WINDOW) : at], text[at : at + WINDOW]
+        lead, value, kind = generated(rng, re.findall(r"\b[a-z]{2,10}\b", f"{before} {after}".lower()))
+        opened, closed = (("", ""), ("", ""), ("", ""), ("", ","), ("", "."), ("(", ")"), ("<", ">"))[int(rng.integers(7))]
         if base_spans(f"{before} {after}"):
             continue
-        room = max(1, WINDOW - len(value) - 2)
-        head = f"{before} "[-int(rng.integers(1, room + 1)) :]
-        window = f"{head}{value} {after.lstrip()}"[:WINDOW]
+        room = max(1, WINDOW - len(lead) - len(value) - 4)
+        # Some stand at the start or the end of a text, or are all of it.
+        alone = rng.random(2) < 0.15
+        head = ("" if alone[0] else f"{before} "[-int(rng.integers(1, room + 1)) :]) + lead + opened
+        window = f"{head}{value}{closed}{'' if alone[1] else ' ' + after.lstrip()}"[:WINDOW]
         if len(head) + len(value) <= WINDOW:
             yield window, [(len(head), len(head) + len(value), kind)] if kind else [], False
 
 
 def sample_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS, most_docs: int = TRAIN_DOCS) -> list[tuple[str, list[Span]]]:
-    """A bounded sample of labelled windows: documents by hash of the id, windows by hash of their text, up to half of
+    """A bounded sample of labelled windows: documents by hash of the id, windows by hash of their text, up to a third of
     them round the documents' own values and numbers."""
     share = min(1.0, most_docs / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").where("text is not null")
@@ -352,7 +390,7 @@ def sample_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS, most_docs: int =
 
     made = materialise(some.mapInPandas(cut, "window string, spans array<struct<s:int,e:int,kind:string>>, own boolean"), "windows")
     order = [F.xxhash64("window"), "window"]
-    own = made.where("own").orderBy(F.size("spans") == 0, *order).limit(limit // 2).collect()
+    own = made.where("own").orderBy(F.size("spans") == 0, *order).limit(limit // 3).collect()
     other = made.where("not own").orderBy(*order).limit(limit - len(own)).collect()
     return [(r["window"], [tuple(x) for x in r["spans"]]) for r in own + other]
 
@@ -380,10 +418,33 @@ def plausible(kind: str, text: str) -> bool:
     if re.search(r"[A-Za-z]", text):
         return False
     if kind == "card":
-        return 14 <= len(digits) <= 19 and luhn(digits)
+        return 14 <= len(digits) <= 19 and luhn(digits) and len(set(re.findall(r"[^0-9]+", text))) <= 1
     return 10 <= len(digits) <= 15 and len(digits) < len(text)
 
 
+#: What makes a number a telephone number by itself, and words that do so within CONTACT_CHARS before it.
+EVIDENT = re.compile(r"[(/+]|00[1-9]|1-[0-9]{3}-|0[0-9]{2,5}-[0-9]{5,}$")
+CONTACT_CHARS = 32
+CONTACT = re.compile(r"(?i)\b(?:call(?:s|ed|ing)?|tel|telephone|phones?|fax|mob|mobile|cell|cellphone|ring|dial|hotline|text|sms|whatsapp|contact|reach|telefon|handy|mobil|anruf\w*|rufnummer|téléphon\w*|appel\w*|portable|teléfono|móvil|llam\w*)\b[^0-9\n]*$")
+
+
+#: What stands for an at sign, and the name before it: a word, or words joined by spelled-out dots.
+_AT = re.compile(r"(?i)\s?[\[(] ?at ?[\])]| at |@")
+_NAME = re.compile(r"(?i)[\w.%+-]+(?:(?: dot | ?[\[(] ?dot ?[\])] ?)[\w.%+-]+)*$")
+
+
+def name_start(text: str, start: int, end: int) -> int:
+    """Where the address in a span begins: the net may take in a word before the name."""
+    sign = _AT.search(text, start, end)
+    name = _NAME.search(text[start : sign.start()]) if sign else None
+    return start + name.start() if name else start
+
+
+def told(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether a telephone number shows by its form or by the words before it; other kinds always do."""
+    return kind != "phone" or EVIDENT.match(text, start, end) is not None or re.search(r"[(/]", text[start:end]) is not None or CONTACT.search(text, max(0, start - CONTACT_CHARS), start) is not None
+
+
 def _whole(text: str, start: int, end: int) -> bool:
     """Whether a span neither starts nor ends inside a word or number."""
     inside = lambda a, b: a.isalnum() and b.isalnum()
@@ -420,7 +481,9 @@ def decoded_spans(net: Net, texts: list[str]) -> list[list[Span]]:
                         s += 1
                     while e > s and text[e - 1] in " \n.,":
                         e -= 1
-                    if e > s and _whole(text, s, e) and plausible(KINDS[kind - 1], text[s:e]):
+                    if KINDS[kind - 1] == "email":
+                        s = name_start(text, s, e)
+                    if e > s and _whole(text, s, e) and plausible(KINDS[kind - 1], text[s:e]) and told(KINDS[kind - 1], text, s, e):
                         found[-1].append((s, e, ADDED[kind - 1]))
                     start = None
                 if which and start is None:

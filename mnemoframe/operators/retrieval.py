@@ -18,14 +18,35 @@ IDF_FLOOR = 1e-6
 RRF = 60
 #: Bytes up to which a query side is broadcast after its size was looked at.
 BROADCAST_ROWS = 200_000
+#: Tokens up to which a search names them in the scan of a stored index.
+PUSHED = 200
+#: Top-k search: rows of the lists that name promising documents and how many of these are scored in full for the
+#: threshold, as multiples of k; slack for sums in other orders.
+SEEDS = 50
+PROMISING = 4
+SLACK = 1e-7
 
 
 @dataclass
 class Index:
-    """Postings (grp, token, doc_id, tf, doc_len) and one row per group with document count and average length."""
+    """Postings (grp, token, doc_id, tf, doc_len) and one row per group with document count and average length. A stored
+    index also has a ``bucket`` column and the function that gives a token's bucket."""
 
     postings: DataFrame
     stats: DataFrame
+    bucket: Callable[[Column], Column] | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the tokens in ``wanted`` (grp, token, ...), joined with it. Of a stored index only the buckets
+        and, for a few tokens, the row groups that may hold them are read."""
+        if self.bucket is None:
+            return self.postings.join(_small(wanted), ["grp", "token"])
+        keyed = saved(wanted.withColumn("bucket", self.bucket(F.col("token"))))
+        rows = self.postings
+        if (few := keyed.select("token").distinct().limit(PUSHED + 1).collect()) and len(few) <= PUSHED:
+            rows = rows.where(F.col("token").isin([r["token"] for r in few]))
+        # Broadcast buckets prune the partitions of the scan at run time.
+        return rows.join(_small(keyed), ["grp", "token", "bucket"]).drop("bucket")
 
 
 def build_index(docs: DataFrame, fields: dict[str, float], group: Column | None = None, doc_id: str = "doc_id") -> Index:
@@ -59,13 +80,9 @@ def prefix_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return heads.join(terms.select("term").distinct(), "term")
 
 
-def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool = False) -> DataFrame:
-    """(grp, query_id, doc_id, score, matched): negated BM25 of every document that has a term; lower is better.
-
-    ``queries`` has query_id, an array column ``terms`` and, for grouped indexes, grp. With ``prefix`` a term
-    stands for all tokens that start with it: its counts are summed per document before scoring. Scores have nine
-    decimals, so that equal documents tie whatever order the sums ran in.
-    """
+def term_gains(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(asked, gains): (grp, query_id, term) of all queries, and (grp, term, doc_id, gain) once for each distinct term,
+    whatever number of queries has it. Arguments as in bm25."""
     q = queries.select(F.col("grp") if "grp" in queries.columns else F.lit(0).alias("grp"), "query_id", F.explode(F.array_distinct(F.col(terms))).alias("term"))
     wanted = q.select("grp", "term").distinct()
     if prefix:
@@ -73,17 +90,91 @@ def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool =
         wanted = saved(wanted.join(prefix_terms(wanted, known), "term"))
     else:
         wanted = wanted.withColumn("token", F.col("term"))
-    found = index.postings.join(_small(wanted), ["grp", "token"])
+    found = index.of(wanted)
     per_doc = found.groupBy("grp", "term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len")) if prefix else found.select("grp", "term", "doc_id", "tf", "doc_len")
     df = per_doc.groupBy("grp", "term").agg(F.count("*").alias("df"))
     weights = df.join(F.broadcast(index.stats) if "grp" not in queries.columns else index.stats, "grp")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weights = weights.select("grp", "term", "avg_len", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = per_doc.join(weights, ["grp", "term"]).withColumn("gain", gain).select("grp", "term", "doc_id", "gain").join(_small(q), ["grp", "term"])
+    return q, per_doc.join(weights, ["grp", "term"]).withColumn("gain", gain).select("grp", "term", "doc_id", "gain")
+
+
+def bm25(queries: DataFrame, index: Index, terms: str = "terms", prefix: bool = False) -> DataFrame:
+    """(grp, query_id, doc_id, score, matched): negated BM25 of every document that has a term; lower is better.
+
+    ``queries`` has query_id, an array column ``terms`` and, for grouped indexes, grp. With ``prefix`` a term
+    stands for all tokens that start with it: its counts are summed per document before scoring. Scores have nine
+    decimals, so that equal documents tie whatever order the sums ran in.
+    """
+    q, gains = term_gains(queries, index, terms, prefix)
+    scored = gains.join(_small(q), ["grp", "term"])
     return scored.groupBy("grp", "query_id", "doc_id").agg(F.round(-F.sum("gain"), 9).alias("score"), F.count("*").alias("matched"))
 
 
+def _lists(q: DataFrame, gains: DataFrame) -> DataFrame:
+    """(grp, query_id, term, most, n): each query's terms that occur, with the length and the best gain of their lists."""
+    return saved(q.join(gains.groupBy("grp", "term").agg(F.max("gain").alias("most"), F.count("*").alias("n")), ["grp", "term"]))
+
+
+def _with(pairs: DataFrame, lists: DataFrame, gains: DataFrame) -> DataFrame:
+    """(grp, query_id, doc_id, more, found): what the terms of ``lists`` add to the documents of ``pairs``."""
+    asked = pairs.select("grp", "query_id", "doc_id").join(lists.select("grp", "query_id", "term"), ["grp", "query_id"])
+    return asked.join(gains, ["grp", "term", "doc_id"]).groupBy("grp", "query_id", "doc_id").agg(F.sum("gain").alias("more"), F.count("*").alias("found"))
+
+
+def bm25_best(queries: DataFrame, index: Index, k: int, terms: str = "terms", prefix: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None, measure: dict[str, int] | None = None) -> DataFrame:
+    """The first ``k`` rows of bm25 for each query by score, then doc_id, ranked from 1, without scoring all postings.
+
+    A document's score is at most the sum of the best gains of the terms that it has. The lists of the highest gains name
+    promising documents first, whose full scores give a threshold that k documents reach. Terms whose best gains together stay below it cannot lift a
+    document to it, so their lists, which are the long ones of common words, bring in no documents; they are only looked
+    up for documents that can still reach the threshold with them. Exact: sums are compared with a slack, and the rows
+    left are scored in full. ``keep`` filters documents before the limit. ``measure`` gets the counts of scored rows.
+    """
+    q, gains = term_gains(queries, index, terms, prefix)
+    df_gains = saved(gains)
+    gains = keep(df_gains) if keep else df_gains
+    lists = _lists(q, gains)
+    by_query = Window.partitionBy("grp", "query_id")
+    down = by_query.orderBy(F.desc("most"), "term")
+    before = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = saved(lists.withColumn("seed", before < SEEDS * k))
+    first = gains.join(_small(marked.where("seed").select("grp", "query_id", "term")), ["grp", "term"]).groupBy("grp", "query_id", "doc_id").agg(F.sum("gain").alias("sure"))
+    # The most promising documents are scored in full; the k-th best of them is reached by k documents.
+    first = saved(first.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("sure"), "doc_id"))).where(F.col("place") <= PROMISING * k))
+    whole = first.join(_with(first, marked.where("not seed"), gains), ["grp", "query_id", "doc_id"], "left").withColumn("sure", F.col("sure") + F.coalesce("more", F.lit(0.0)))
+    kth = whole.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("sure"), "doc_id"))).where(F.col("place") <= k).groupBy("grp", "query_id").agg(F.max("place").alias("places"), F.min("sure").alias("least"))
+    kth = kth.select("grp", "query_id", F.when(F.col("places") == k, F.col("least")).otherwise(0.0).alias("least"))
+    up = by_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = lists.join(_small(saved(kth)), ["grp", "query_id"]).withColumn("needed", F.sum("most").over(up) >= F.col("least") - SLACK)
+    split = saved(split.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).over(by_query)))
+    entering = gains.join(_small(split.where("needed").select("grp", "query_id", "term", "rest", "least")), ["grp", "term"])
+    pairs = entering.groupBy("grp", "query_id", "doc_id").agg(F.sum("gain").alias("sure"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+    pairs = saved(pairs.where(F.col("sure") + F.col("rest") >= F.col("least") - SLACK).select("grp", "query_id", "doc_id", "sure"))
+    rest = split.where("not needed")
+    scored = pairs.join(_with(pairs, rest, gains), ["grp", "query_id", "doc_id"], "left").select("grp", "query_id", "doc_id", F.round(-(F.col("sure") + F.coalesce("more", F.lit(0.0))), 9).alias("score"))
+    if measure is not None:
+        measure["all"] = lists.agg(F.sum("n")).first()[0] or 0
+        measure["scored"] = (split.where("needed").agg(F.sum("n")).first()[0] or 0) + _with(pairs, rest, gains).agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
+    return top_k(scored, k, [F.col("score"), F.col("doc_id")], by=("grp", "query_id"))
+
+
+def bm25_all(queries: DataFrame, index: Index, terms: str = "terms") -> DataFrame:
+    """The rows of bm25 for documents that have all terms of a query: those of its rarest term are looked up in the others'
+    lists. Queries with a term that no document has are left out before."""
+    q, gains = term_gains(queries, index, terms)
+    gains = saved(gains)
+    wanted = q.groupBy("grp", "query_id").agg(F.count("*").alias("wanted"))
+    by_query = Window.partitionBy("grp", "query_id")
+    lists = _lists(q, gains).join(wanted, ["grp", "query_id"]).withColumns({"place": F.row_number().over(by_query.orderBy("n", "term")), "known": F.count("*").over(by_query)})
+    lists = saved(lists.where(F.col("known") == F.col("wanted")))
+    rarest = lists.where("place = 1").select("grp", "query_id", "term", "wanted")
+    pairs = saved(gains.join(_small(rarest), ["grp", "term"]).select("grp", "query_id", "doc_id", "wanted", F.col("gain").alias("sure")))
+    full = pairs.join(_with(pairs, lists.where("place > 1"), gains), ["grp", "query_id", "doc_id"], "left").where(F.col("wanted") == 1 + F.coalesce("found", F.lit(0)))
+    return full.select("grp", "query_id", "doc_id", F.round(-(F.col("sure") + F.coalesce("more", F.lit(0.0))), 9).alias("score"), F.col("wanted").alias("matched"))
+
+
 def top_k(scores: DataFrame, k: int, order: list[Column], by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each query in a total order, ranked from 1."""
     ranked = scores.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -99,14 +190,12 @@ def search(queries: DataFrame, index: Index, k: int = 20, keep: Callable[[DataFr
     left = saved(queries.select(*[c for c in ("grp",) if c in queries.columns], "query_id", T.plain_terms(F.col("question")).alias("plain"), T.content_terms(F.col("question")).alias("content")))
     out = None
     for tier in (3,) if loose_only else (1, 2, 3):
-        rows = bm25(left, index, "content" if tier == 2 else "plain", prefix=tier > 1)
         if tier == 1:
-            sizes = left.select("query_id", F.size(F.array_distinct("plain")).alias("wanted"))
-            rows = rows.join(sizes, "query_id").where("matched = wanted").drop("wanted")
-        rows = rows.withColumn("tier", F.lit(tier))
-        if keep:
-            rows = keep(rows)
-        found = saved(top_k(rows.drop("matched"), k, [F.col("score"), F.col("doc_id")]))
+            rows = bm25_all(left, index, "plain").drop("matched")
+            rows = top_k(keep(rows) if keep else rows, k, [F.col("score"), F.col("doc_id")], by=("grp", "query_id"))
+        else:
+            rows = bm25_best(left, index, k, "content" if tier == 2 else "plain", prefix=True, keep=keep)
+        found = saved(rows.withColumn("tier", F.lit(tier)))
         out = found if out is None else out.unionByName(found)
         if tier < 3:
             left = saved(left.join(found.select("query_id").distinct(), "query_id", "left_anti"))

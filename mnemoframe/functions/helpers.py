@@ -7,7 +7,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def isolated(spark: SparkSession, tasks: Sequence[tuple[str, Callable[[], DataFrame]]], columns: Sequence[str]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(rows, failures): each task's ``columns`` from a write of its own, so one that raises, while it is planned or on any
+    row, costs its own rows only and is listed with its error."""
+    found, failed = None, []
+    for name, make in tasks:
+        path = scratch(spark, "isolated")
+        try:
+            rows = make().select(*columns)
+            rows.write.parquet(path)
+            part = spark.read.schema(rows.schema).parquet(path)
+            found = part if found is None else found.unionByName(part)
+        except Exception as e:  # a user's function may raise anything
+            failed.append((name, f"{type(e).__name__}: {e}"))
+    return found, failed
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""

@@ -7,11 +7,12 @@ superseded_by, polarity, relations array<struct<kind, target_id>>, ...); all pro
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.helpers import saved
+from mnemoframe.functions.helpers import isolated, saved
 
 KEY = ["problem_id", "block_id"]
 #: Weights of the value score, days until a confirmed block or a pending question is stale.
@@ -83,15 +84,21 @@ def unmitigated_cause(blocks: DataFrame, relations: DataFrame, now: Column) -> D
 DETECTORS: tuple[Detector, ...] = (orphan_action, unsupported_hypothesis, stale_confirmed, uncaused_problem, low_confidence_critical, conflicting_outcomes, dangling_evidence, unmitigated_cause)
 
 
+GAP_COLUMNS = ("problem_id", "detector_id", "subject_id", "severity")
+
+
 def gaps(blocks: DataFrame, now: Column, detectors: Sequence[Detector] = DETECTORS) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """All gaps, one for each (problem, detector, subject), and the detectors that failed with their messages."""
-    relations, found, failed = relations_of(blocks), None, []
-    for detector in detectors:
-        try:
-            rows = detector(blocks, relations, now)
-            found = rows if found is None else found.unionByName(rows)
-        except Exception as e:  # a user's detector may raise anything
-            failed.append((getattr(detector, "__name__", str(detector)), f"{type(e).__name__}: {e}"))
+    """All gaps, one for each (problem, detector, subject), and the detectors that failed with their messages.
+
+    The own detectors are one plan. Each other one is a write of its own, so that one which raises on any row is reported
+    and the others' gaps stay.
+    """
+    relations = relations_of(blocks)
+    own = [d for d in detectors if d in DETECTORS]
+    tasks = [(getattr(d, "__name__", str(d)), partial(d, blocks, relations, now)) for d in detectors if d not in DETECTORS]
+    found, failed = isolated(blocks.sparkSession, tasks, GAP_COLUMNS)
+    for rows in (d(blocks, relations, now).select(*GAP_COLUMNS) for d in own):
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
         raise ValueError("no detector left")
     return found.dropDuplicates(["problem_id", "detector_id", "subject_id"]), failed

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as T
+from mnemoframe.functions.helpers import isolated
 
 #: The vocabulary of skill documents.
 SCENES = ["PREPARE", "ACQUIRE", "REASON", "ACT", "VERIFY", "RECOVER", "FINALIZE"]
@@ -67,12 +69,23 @@ def contradictions(claims: DataFrame, now: Column | None = None) -> DataFrame:
 DETECTORS = (duplicate_claims, stale_claims, contradictions, low_confidence, review_queue)
 
 
+FINDING_COLUMNS = ("detector_id", "severity", "subject", "evidence")
+
+
 def findings(claims: DataFrame, now: Column, detectors: Sequence = DETECTORS) -> DataFrame:
     """All findings of the detectors; a user's detector is a function of (claims, now) with the same columns."""
-    out = detectors[0](claims, now)
-    for d in detectors[1:]:
-        out = out.unionByName(d(claims, now))
-    return out
+    return findings_and_failures(claims, now, detectors)[0]
+
+
+def findings_and_failures(claims: DataFrame, now: Column, detectors: Sequence = DETECTORS) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The findings, and the user's detectors that failed with their messages; each of these runs on its own."""
+    tasks = [(getattr(d, "__name__", str(d)), partial(d, claims, now)) for d in detectors if d not in DETECTORS]
+    found, failed = isolated(claims.sparkSession, tasks, FINDING_COLUMNS)
+    for rows in (d(claims, now) for d in detectors if d in DETECTORS):
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise ValueError("no detector left")
+    return found, failed
 
 
 def governance_counts(claims: DataFrame, now: Column, detectors: Sequence = DETECTORS) -> DataFrame:

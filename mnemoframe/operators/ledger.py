@@ -222,6 +222,24 @@ def usage_by_day(usage: DataFrame) -> DataFrame:
     return usage.where("ts is not null").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("tool") == "search").alias("searches"), F.count_if(F.col("tool") == "ask").alias("asks"))
 
 
+#: Buckets of a sketch as a power of two, and the share by which an estimate may be off: three standard errors.
+SKETCH_LG = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_LG / 2)
+
+
+def daily_sketches(log: DataFrame, what: str, ts: str = "ts") -> DataFrame:
+    """(day, sketch): a mergeable state of the distinct values of ``what`` for each UTC day; some kilobytes a day."""
+    return log.where(F.col(what).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(F.col(what), F.lit(SKETCH_LG)).alias("sketch"))
+
+
+def distinct_in_windows(sketches: DataFrame, days: int = 7) -> DataFrame:
+    """(until, estimate, error) for the window of ``days`` days that ends with each day that has a sketch or follows one:
+    how many distinct values it has, within ``error``. The log is not read again."""
+    ends = sketches.select(F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("until"), "sketch")
+    estimate = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return ends.groupBy("until").agg(estimate.alias("estimate")).withColumn("error", F.ceil(F.col("estimate") * SKETCH_ERROR))
+
+
 def page_recalls(usage: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """How often and when last each page was among the results."""
     return usage_window(usage, now, days).select("ts", F.explode("top_page_ids").alias("page_id")).groupBy("page_id").agg(F.count("*").alias("recalls"), F.max("ts").alias("last_recall"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import govern, ledger, sessions
+from mnemoframe.functions.helpers import scratch
+from mnemoframe.operators import govern, ledger, sessions, snapshots
 
 from .base import CLAIMS, DELTAS, EVENTS, claims, deltas, events, joined, now, query
 
@@ -22,6 +23,23 @@ def w1_reduce_latest(spark, sf_dir):
     return ledger.reduce_latest(_log(spark, sf_dir), "id", "version").select("id", "seq", "state")
 
 
+def _thirds(log):
+    """The log up to a third, up to two thirds and whole, as it grows."""
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    return [log.where(F.col("seq") <= first + (last - first) * i // 3) for i in (1, 2)] + [log]
+
+
+@query(f"WITH {LOG} SELECT id, seq, state FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, seq DESC) = 1")
+def w1_snapshot_and_tail(spark, sf_dir):
+    """A snapshot that was advanced twice, and the tail behind it, reduce to what the whole log does."""
+    log = _log(spark, sf_dir)
+    kept = snapshots.Snapshot(spark, scratch(spark, "snapshot"), snapshots.keep_latest_rows("id", "version"), log.schema)
+    some, more, whole = _thirds(log)
+    kept.advance(some)
+    kept.advance(more)
+    return ledger.reduce_latest(kept.rows(whole), "id", "version").select("id", "seq", "state")
+
+
 def _queue(spark, sf_dir):
     return events(spark, sf_dir).select((F.col("user_id") * 100 + F.col("k")).alias("id"), F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"), (F.col("event_type") == "error").alias("tombstone"), "ts")
 
@@ -57,6 +75,18 @@ def w3_fold_flow(spark, sf_dir):
     return folded.select("problem_id", "block_id", "type", "label", "status", "superseded_by", F.nullif(text, F.lit("")).alias("relations"))
 
 
+@query(f"WITH {DELTAS} SELECT problem_id, block_id, type, label, status, superseded_by, (SELECT string_agg(kind || '>' || target_id, ',' ORDER BY seq) FROM rel WHERE rel.problem_id = b.problem_id AND rel.block_id = b.block_id) AS relations FROM blocks b")
+def w3_snapshot_and_tail(spark, sf_dir):
+    log = deltas(spark, sf_dir)
+    kept = snapshots.Snapshot(spark, scratch(spark, "snapshot"), snapshots.keep_flow_rows, log.schema)
+    some, more, whole = _thirds(log)
+    kept.advance(some)
+    kept.advance(more)
+    folded = ledger.fold_flow(kept.rows(whole))
+    text = F.array_join(F.transform("relations", lambda r: F.concat(r["kind"], F.lit(">"), r["target_id"])), ",")
+    return folded.select("problem_id", "block_id", "type", "label", "status", "superseded_by", F.nullif(text, F.lit("")).alias("relations"))
+
+
 @query(f"WITH {DELTAS} SELECT problem_id, count(*) AS n_deltas, count(*) >= 100 AS stale, arg_max(body_hash, seq) FILTER (op = 'cue-card-regen') AS cue_hash, arg_max(body_bytes, seq) FILTER (op = 'cue-card-regen') AS cue_bytes FROM deltas GROUP BY problem_id")
 def w3_flow_meta(spark, sf_dir):
     return ledger.flow_meta(deltas(spark, sf_dir))
@@ -299,3 +329,28 @@ def p3_redact(spark, sf_dir):
     from .base import table
 
     return ledger.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").withColumn("redactions", joined("redactions"))
+
+
+def _broken(claims, now):
+    """A detector that raises on its first row."""
+    return claims.select(F.lit("broken").alias("detector_id"), F.raise_error(F.lit("no evidence here")).cast("string").alias("severity"), F.lit("").alias("subject"), F.array(F.lit("")).alias("evidence"))
+
+
+@query(f"WITH {CLAIMS} SELECT detector_id, count(*) AS n FROM (" + " UNION ALL ".join(f"({s})" for s in FINDING_SQL.values()) + ") GROUP BY detector_id UNION ALL SELECT '_broken failed', 1")
+def a11_failing_detector(spark, sf_dir):
+    """A detector that raises on a row is reported; the others' findings stay."""
+    found, failed = govern.findings_and_failures(claims(spark, sf_dir), now(), (*govern.DETECTORS, _broken))
+    counts = found.groupBy("detector_id").agg(F.count("*").alias("n"))
+    told = spark.createDataFrame([(f"{name} failed", 1) for name, message in failed if "no evidence here" in message], "detector_id string, n long")
+    return counts.unionByName(told)
+
+
+@query(f"WITH {EVENTS}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM ev) SELECT strftime(day + CAST(d AS INT), '%Y-%m-%d') AS until, count(DISTINCT user_id) AS users, true AS within FROM days, range(0, 7) r(d) GROUP BY 1")
+def a2_distinct_users(spark, sf_dir):
+    """Distinct users of rolling weeks, exact, and whether the estimate from merged daily sketches is within its error."""
+    e = events(spark, sf_dir)
+    merged = ledger.distinct_in_windows(ledger.daily_sketches(e, "user_id"))
+    days = e.select(F.to_date("ts").alias("day"), "user_id").distinct()
+    exact = days.select(F.explode(F.sequence("day", F.date_add("day", 6))).alias("until"), "user_id").groupBy("until").agg(F.count_distinct("user_id").alias("users"))
+    within = F.abs(F.col("estimate") - F.col("users")) <= F.col("error")
+    return exact.join(merged, "until").select(F.date_format("until", "yyyy-MM-dd").alias("until"), "users", within.alias("within"))

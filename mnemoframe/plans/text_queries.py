@@ -9,6 +9,7 @@ from mnemoframe.functions.helpers import embedder, nfkc_where_needed, scratch
 from mnemoframe.operators import consolidate, metrics, retrieval, router
 from mnemoframe.operators.retrieval import top_k
 from mnemoframe.operators.stored_index import StoredIndex
+from mnemoframe.operators.vectors import VectorStore
 
 from .base import EVENTS, events, joined, query, table
 
@@ -183,13 +184,28 @@ g AS (SELECT doc_id, unnest(list_transform(generate_series(1, length(t) - 2), la
 h AS (SELECT doc_id, list_reduce(list_transform(string_split(g, ''), lambda c: unicode(c) & 255), lambda h, c: (xor(h, c) * 147) & 255, 197) AS bucket FROM g)"""
 
 
-@query("WITH " + F3 + ", n AS (SELECT doc_id, bucket, count(*) AS n FROM h GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY doc_id) SELECT doc_id, bucket, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS weight FROM n JOIN s USING (doc_id)")
+WEIGHTS_SQL = "WITH " + F3 + ", n AS (SELECT doc_id, bucket, count(*) AS n FROM h GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY doc_id) SELECT doc_id, bucket, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS weight FROM n JOIN s USING (doc_id)"
+
+
+@query(WEIGHTS_SQL)
 def f3_embed_counts(spark, sf_dir):
     """The buckets of each text's vector that are not zero; for 256 of them only the low byte of the hash matters."""
     vectors = _docs(spark, sf_dir).select("doc_id", F.posexplode(embedder()("text")).alias("bucket", "weight"))
     return vectors.where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("weight").cast("double").alias("weight"))
 
 
+@query(WEIGHTS_SQL)
+def f3_stored_vectors(spark, sf_dir):
+    """The same from a store that was filled with a part of the texts first; vectors of other dimensions lie beside."""
+    docs, path = _docs(spark, sf_dir), scratch(spark, "vectors")
+    store, other = (VectorStore(spark, path, "ngrams", dims, embedder(dims)) for dims in (256, 128))
+    store.fill(docs.where("doc_id % 3 = 0"))
+    other.fill(docs)
+    store.fill(docs)
+    vectors = store.vectors(docs).select("doc_id", F.posexplode("vec").alias("bucket", "weight"))
+    return vectors.where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("weight").cast("double").alias("weight"))
+
+
 @query(f"SELECT item_id, CASE WHEN list_reduce(list_transform(string_split(CAST(item_id AS VARCHAR) || text, ''), lambda c: unicode(c) & 1), lambda a, c: xor(a, c), 1) = 0 THEN 'dev' ELSE 'test' END AS part FROM benchmark")
 def f2_split_of(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")

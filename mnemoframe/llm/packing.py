@@ -46,18 +46,19 @@ class WordCache(dict):
         return ids
 
 
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+_ENCODERS: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 
 
-def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
+def encoder(name: str = "byte_bpe_50k", remember: bool = True) -> Callable[[str], bytes]:
     """Text to ids (as bytes), equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of ``<name>.json``.
 
     A single blank between two other characters always begins a new pre-token, so the words between single
-    blanks are encoded on their own and remembered. Texts with other runs of blanks are encoded whole, those
-    that name a special token or hold a very long run of white space by the tokenizer itself.
+    blanks are encoded on their own and remembered, unless ``remember`` is false, which suits texts of many different
+    words. Texts with other runs of blanks are encoded whole, those that name a special token or hold a very long run of
+    white space by the tokenizer itself.
     """
-    if name in _ENCODERS:
-        return _ENCODERS[name]
+    if (name, remember) in _ENCODERS:
+        return _ENCODERS[name, remember]
     import base64
 
     import public_tokenizers
@@ -77,13 +78,15 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
             if not full:  # seldom needed and large
                 full.append(Tokenizer.from_file(path))
             return np.asarray(full[0].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not remember:
+            return np.asarray(plain.encode_ordinary(text), dtype="<u4").tobytes()
         parts = text.split(" ")
         # An empty part is a double blank; a part that starts or ends with white space is a mixed run.
         if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
             return np.asarray(plain.encode_ordinary(text), dtype="<u4").tobytes()
         return words[parts[0]] + b"".join([words[" " + p] for p in parts[1:]])
 
-    _ENCODERS[name] = encode
+    _ENCODERS[name, remember] = encode
     return encode
 
 

@@ -42,7 +42,7 @@ PARTIAL = "part int, doc long, doc_id long, piece int, start long, n long, crc l
 
 def _pieces(batches: Iterable[pa.RecordBatch], tokenizer: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows of PIECES with at most ``most`` ids for (part, doc_id, text) rows that come in order."""
-    encode, tail = encoder(tokenizer), np.asarray([end], dtype="<u4").tobytes()
+    encode, tail = encoder(tokenizer, remember=False), np.asarray([end], dtype="<u4").tobytes()
     rows: list[tuple] = []
     held: list[bytes] = []
     doc = start = size = 0

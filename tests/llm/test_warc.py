@@ -23,7 +23,7 @@ def plain(rows):
     for page_id, _, html, _ in rows:
         data = (html or "").encode()
         top = last.get(data)
-        revisit = top is not None and page_id is not None and page_id < top
+        revisit = top is not None and (page_id is None or page_id < top)
         out.append((page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
     return sorted(out, key=repr)
 

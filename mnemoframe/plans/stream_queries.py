@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -22,20 +23,33 @@ BATCHES = 8
 LATE_SECONDS = 3300
 
 
-def _stream(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """``rows`` as a stream of several micro-batches that are not in the order of ``ts``.
+def _spans(rows: DataFrame, ts: str = "ts") -> tuple[list[DataFrame], int | None]:
+    """``rows`` by the spans of time in which they arrive, and the second of the last one.
 
     Every row comes up to LATE_SECONDS after its time, by a hash of the row, so neighbours in time come in other orders
-    and in other batches. Files are written one arrival span after the other and read in that order.
+    and in other spans.
     """
-    spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
     seconds = F.unix_seconds(ts)
     arrival = seconds + F.pmod(F.xxhash64(*rows.columns), F.lit(LATE_SECONDS))
     first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
-    span = ((last - first + LATE_SECONDS) // BATCHES + 1) if first is not None else 1
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    for i in range(BATCHES):
-        here = rows.where(F.floor((arrival - F.lit(first)) / span) == i) if first is not None else rows
+    if first is None:
+        return [rows], None
+    span = (last - first + LATE_SECONDS) // BATCHES + 1
+    return [rows.where(F.floor((arrival - F.lit(first)) / span) == i) for i in range(BATCHES)], last
+
+
+def _parts(spark) -> int:
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _stream(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """``rows`` as a stream of several micro-batches that are not in the order of ``ts``.
+
+    Files are written one arrival span after the other and read in that order.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
+    parts = _parts(spark)
+    for here in _spans(rows, ts)[0]:
         here.repartition(parts).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
@@ -55,22 +69,54 @@ def _stateful(spark):
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
-def _drained(df: DataFrame) -> DataFrame:
-    """What a stream gives once its source is used up. A batch that runs again replaces its own folder."""
+def _drained(df: DataFrame, arrivals: Iterable[None] = (None,)) -> DataFrame:
+    """What a stream gives once its source is used up. A batch that runs again replaces its own folder.
+
+    ``arrivals`` adds to the source each time it is asked; the stream then goes on from its checkpoint.
+    """
     spark, path, made = df.sparkSession, scratch(df.sparkSession, "drained"), []
+    progress = scratch(spark, "progress")
 
     def write(batch: DataFrame, number: int) -> None:
         target = f"{path}/batch={number}"
         batch.write.mode("overwrite").parquet(target)
         made.append(target)
 
-    q = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    for _ in arrivals:
+        q = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return spark.read.schema(df.schema).parquet(*dict.fromkeys(made)).select(df.columns) if made else spark.createDataFrame([], df.schema)
 
 
+#: The end of a stream is dated so long after its last row: longer than any window and its watermark's delay together.
+END_SECONDS = 30 * 86400
+
+
+def _all_windows(job: Callable[[DataFrame], DataFrame], rows: DataFrame) -> DataFrame:
+    """Every window of ``job`` over the dated ``rows``, those that are open at the last row too.
+
+    A span that arrives is one micro-batch, however few its rows or files are, so none is behind the watermark. Then the
+    end of the stream arrives, a row of nulls but for its time: it takes the watermark past all windows, which leave the
+    state as they close, and its own window never closes.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
+    parts = _parts(spark)
+
+    def arrive() -> Iterator[None]:
+        spans, last = _spans(rows.where("ts IS NOT NULL"))
+        if last is None:
+            return
+        ts = F.timestamp_seconds(F.lit(last + END_SECONDS))
+        end = spark.range(1).select(*((ts if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+        for i, here in enumerate([*(s.repartition(parts) for s in spans), end]):
+            here.write.parquet(f"{path}/{i}")
+            yield
+
+    return _drained(job(spark.readStream.schema(rows.schema).parquet(f"{path}/*")), arrive())
+
+
 @query(f"WITH {HOOKS} SELECT event_id, stage, 's' || user_id AS session_id, CASE WHEN stage = 'prompt-submit' THEN 'ask ' || k || ' <REDACTED:password-field>' END AS message, strftime(ts, '%Y-%m-%d') AS day FROM hooks WHERE stage IS NOT NULL")
 def st1_ingest(spark, sf_dir):
     ingested = jobs.ingest(_stream(_payloads(spark, sf_dir)), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -120,11 +166,13 @@ def st4_usage_daily(spark, sf_dir):
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query(f"WITH {USAGE} SELECT strftime(date_trunc('day', ts) + to_days(CAST(d AS INT)), '%Y-%m-%d') AS until, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage, range(1, 8) r(d) GROUP BY 1, date_trunc('day', ts) + to_days(CAST(d AS INT)) HAVING date_trunc('day', ts) + to_days(CAST(d AS INT)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev)")
+@query(f"WITH {USAGE} SELECT strftime(date_trunc('day', ts) + to_days(CAST(d AS INT)), '%Y-%m-%d') AS until, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage, range(1, 8) r(d) GROUP BY 1")
 def st4_usage_rolling(spark, sf_dir):
-    """Windows that are over by the watermark, which is a day behind."""
-    out = _drained(jobs.usage_rolling(_stream(_usage(spark, sf_dir).select("ts", "tool"))))
-    return out.withColumn("until", F.date_format("until", "yyyy-MM-dd"))
+    """All windows. Usage without a time is in none; like any other it counts for seven days, whose dates are null."""
+    usage = _usage(spark, sf_dir).select("ts", "tool")
+    windows = _all_windows(jobs.usage_rolling, usage).withColumn("until", F.date_format("until", "yyyy-MM-dd"))
+    undated = usage.where("ts IS NULL").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("until"))
+    return windows.unionByName(undated.agg(*((7 * F.count_if(F.col("tool") == tool)).alias(name) for tool, name in (("search", "searches"), ("ask", "asks")))))
 
 
 @query(f"WITH {LOG} SELECT id, seq, state FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, seq DESC) = 1")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from mnemoframe.plans import stream_queries
 from mnemoframe.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -139,3 +140,28 @@ def test_queue_lives_do_not_depend_on_batches(spark, tmp_path):
     batches = [[("a", True, T0 + timedelta(minutes=30)), ("b", False, T0)], [("a", False, T0)], [("b", True, T0 + 8 * day), ("b", False, T0 + 8 * day)], [("z", False, T0 + 40 * day)]]
     df = stream(spark, tmp_path, batches, "id string, tombstone boolean, ts timestamp")
     assert sorted((r.id, r.outcome) for r in run(jobs.expire_queue(df), "lives")) == [("a", "dequeued"), ("b", "dequeued"), ("b", "expired")]
+
+
+def odd_events(spark, tmp_path):
+    """A row long before the others, many within two hours, rows a session's gap apart, one without a time and one without a user."""
+    times = [T0 - timedelta(days=200)] + [T0 + timedelta(minutes=3 * i) for i in range(40)] + [T0 + timedelta(days=8, hours=6 * i) for i in range(3)] + [None, None]
+    rows = [(i, ts, None if i == 5 else i % 2, ("view", "click", "error")[i % 3], 1.0, '{"k": 1}') for i, ts in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    return rows
+
+
+def usage_counts(rows, dates):
+    """(date, searches, asks) for each date that a row counts for."""
+    counts = {}
+    for _, ts, _, kind, *_ in rows:
+        for date in dates(ts):
+            searches, asks = counts.get(date, (0, 0))
+            counts[date] = (searches + (kind != "error"), asks + (kind == "error"))
+    return {(date, *n) for date, n in counts.items()}
+
+
+def test_rolling_usage_has_the_windows_that_are_open_at_the_end(spark, tmp_path):
+    rows = odd_events(spark, tmp_path)
+    expected = usage_counts(rows, lambda ts: [ts and f"{ts + timedelta(days=d):%Y-%m-%d}" for d in range(1, 8)])
+    out = [tuple(r) for r in stream_queries.st4_usage_rolling(spark, str(tmp_path)).collect()]
+    assert len(out) == len(expected) and set(out) == expected

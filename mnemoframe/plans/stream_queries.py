@@ -159,11 +159,13 @@ def st3_close_turns(spark, sf_dir):
     return out.select("session_id", *longs, "tools", "closed_by")
 
 
-@query(f"WITH {USAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage GROUP BY 1, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM ev)")
+@query(f"WITH {USAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage GROUP BY 1")
 def st4_usage_daily(spark, sf_dir):
-    """Days that are over by the watermark, which is a day behind."""
-    out = _drained(jobs.usage_daily(_stream(_usage(spark, sf_dir).select("ts", "tool"))))
-    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    """All days. Usage without a time is of no day; it is counted under null."""
+    usage = _usage(spark, sf_dir).select("ts", "tool")
+    days = _all_windows(jobs.usage_daily, usage).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    undated = usage.where("ts IS NULL").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return days.unionByName(undated.agg(*(F.count_if(F.col("tool") == tool).alias(name) for tool, name in (("search", "searches"), ("ask", "asks")))))
 
 
 @query(f"WITH {USAGE} SELECT strftime(date_trunc('day', ts) + to_days(CAST(d AS INT)), '%Y-%m-%d') AS until, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'ask') AS asks FROM usage, range(1, 8) r(d) GROUP BY 1")

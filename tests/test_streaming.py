@@ -165,3 +165,9 @@ def test_rolling_usage_has_the_windows_that_are_open_at_the_end(spark, tmp_path)
     expected = usage_counts(rows, lambda ts: [ts and f"{ts + timedelta(days=d):%Y-%m-%d}" for d in range(1, 8)])
     out = [tuple(r) for r in stream_queries.st4_usage_rolling(spark, str(tmp_path)).collect()]
     assert len(out) == len(expected) and set(out) == expected
+
+
+def test_daily_usage_has_the_days_that_are_open_at_the_end(spark, tmp_path):
+    expected = usage_counts(odd_events(spark, tmp_path), lambda ts: [ts and f"{ts:%Y-%m-%d}"])
+    out = [tuple(r) for r in stream_queries.st4_usage_daily(spark, str(tmp_path)).collect()]
+    assert len(out) == len(expected) and set(out) == expected

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,8 +200,14 @@ def st6_expire_queue(spark, sf_dir):
         return _drained(jobs.expire_queue(_stream(log)))
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM s) SELECT 's' || user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS n FROM n GROUP BY user_id, nr HAVING max(ts) + INTERVAL 6 HOUR <= {SEALED}")
+@query(f"WITH {EVENTS}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM s) SELECT 's' || user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS n FROM n GROUP BY user_id, nr")
 def st7_sessions(spark, sf_dir):
+    """All sessions. An event without a time is a session of its own, without dates.
+
+    Spark's window takes in an event exactly a gap after the last one; the SQL does not, so the gap is a microsecond less.
+    """
     e = events(spark, sf_dir).select(F.concat(F.lit("s"), "user_id").alias("session_id"), "ts")
-    out = _drained(jobs.sessions(_stream(e), gap="6 hours"))
-    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "ended_at")})
+    spans = _all_windows(partial(jobs.sessions, gap="5 hours 59 minutes 59.999999 seconds"), e)
+    spans = spans.withColumn("ended_at", F.col("ended_at") + F.expr("INTERVAL 1 MICROSECOND"))
+    undated = e.where("ts IS NULL").select("session_id", F.col("ts").alias("started_at"), F.col("ts").alias("ended_at"), F.lit(1).cast("long").alias("n"))
+    return spans.unionByName(undated).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "ended_at")})

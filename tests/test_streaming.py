@@ -143,8 +143,8 @@ def test_queue_lives_do_not_depend_on_batches(spark, tmp_path):
 
 
 def odd_events(spark, tmp_path):
-    """A row long before the others, many within two hours, rows a session's gap apart, one without a time and one without a user."""
-    times = [T0 - timedelta(days=200)] + [T0 + timedelta(minutes=3 * i) for i in range(40)] + [T0 + timedelta(days=8, hours=6 * i) for i in range(3)] + [None, None]
+    """A row long before the others, many within two hours, two of a user exactly six hours apart, two without a time and one without a user."""
+    times = [T0 - timedelta(days=200)] + [T0 + timedelta(minutes=3 * i) for i in range(40)] + [T0 + timedelta(days=8, hours=3 * i) for i in range(3)] + [None, None]
     rows = [(i, ts, None if i == 5 else i % 2, ("view", "click", "error")[i % 3], 1.0, '{"k": 1}') for i, ts in enumerate(times)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     return rows
@@ -171,3 +171,19 @@ def test_daily_usage_has_the_days_that_are_open_at_the_end(spark, tmp_path):
     expected = usage_counts(odd_events(spark, tmp_path), lambda ts: [ts and f"{ts:%Y-%m-%d}"])
     out = [tuple(r) for r in stream_queries.st4_usage_daily(spark, str(tmp_path)).collect()]
     assert len(out) == len(expected) and set(out) == expected
+
+
+def test_sessions_has_those_that_are_open_at_the_end(spark, tmp_path):
+    gap, users, expected = timedelta(hours=6), {}, []
+    for _, ts, user, *_ in odd_events(spark, tmp_path):
+        users.setdefault(user, []).append(ts)
+    for user, times in users.items():
+        spans = [(None, None, 1)] * times.count(None)
+        for ts in sorted(t for t in times if t):
+            if spans and spans[-1][1] and ts < spans[-1][1]:
+                spans[-1] = (spans[-1][0], ts + gap, spans[-1][2] + 1)
+            else:
+                spans.append((ts, ts + gap, 1))
+        expected += [(None if user is None else f"s{user}", a and str(a), b and str(b), n) for a, b, n in spans]
+    out = [tuple(r) for r in stream_queries.st7_sessions(spark, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted(expected, key=str)

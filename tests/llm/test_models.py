@@ -280,6 +280,33 @@ def test_recall_on_unclustered_vectors_of_many_shards(spark):
     assert hits / 2000 >= 0.95
 
 
+def test_the_graph_leads_to_all_of_a_large_group_of_near_copies():
+    rng = np.random.default_rng(6)
+    lone = rng.normal(size=(900, 64))
+    copies = lone[0] + 0.09 * rng.normal(size=(600, 64))  # the original is nearer to each than any other copy
+    points = ann.lifted(np.concatenate([lone, copies]))
+    graph, entry = ann.build_graph(points)
+    asked = ann.asked_points(copies[::10])
+    true = np.argsort(-(asked @ points.T), axis=1, kind="stable")[:, :21]
+    found, _ = ann.beam_search(points, graph, entry, asked, ann.SEARCH_BEAM)
+    assert np.mean([np.isin(t, f).mean() for t, f in zip(true, found, strict=True)]) >= 0.9
+    assert ann.beam_for(points, graph, entry, copies[::10], 21, ann.SEARCH_BEAM) <= 2 * ann.SEARCH_BEAM
+
+
+def test_no_beam_is_wider_than_its_bound_before_a_shard_is_searched_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(3000, 8))
+    points, tried, search = ann.lifted(vectors), [], ann.beam_search
+    monkeypatch.setattr(ann, "beam_search", lambda p, g, e, q, beam: tried.append(beam) or search(p, g, e, q, beam))
+    bare = np.full((3000, 4), -1, dtype=np.int64)  # no edges: no beam can find anything
+    assert ann.beam_for(points, bare, 0, vectors[:8], 21, 64) == 3000 and max(tried) <= 256
+    index = {"points": points, "exact": vectors, "graph": bare, "start": np.array([0, 3000]), "members": np.arange(3000)[:, None]}
+    got = ann.best_in_shard(index, np.arange(5), vectors[:5], 20)
+    for own in range(5):
+        want = brute_force(dict(enumerate(vectors)), own, 20)
+        assert got.loc[got["query_id"] == own, "vec_id"].tolist() == [i for i, _ in want]
+
+
 def test_very_large_and_very_small_vectors_take_part(spark):
     rng = np.random.default_rng(5)
     vectors = {i: (rng.normal(size=8) * 10.0 ** [25, -25, 0][i % 3]).tolist() for i in range(60)}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as T
 from mnemoframe.functions.helpers import embedder, nfkc, nfkc_where_needed
+from mnemoframe.plans import text_queries
 
 
 def values(spark, rows, *columns):
@@ -91,3 +92,10 @@ def test_embedding(spark):
 def test_snippet(spark):
     df = spark.createDataFrame([("one two three Four five", ["four"]), ("nothing here", ["x"])], "b string, t array<string>")
     assert [r[0] for r in df.select(T.snippet(F.col("b"), F.col("t"), 2)).collect()] == ["... [Four] five", "nothing here"]
+
+
+def test_slug_query_keeps_reserved_names_and_nulls(spark, tmp_path):
+    rows = [(1, "Con", "es", "s"), (2, None, "en", "s"), (3, "", "en", "s"), (4, "-" * 90, "en", "s"), (5, "Lpt1!", "en", "s"), (6, "A, b", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.slug for r in text_queries.f10_slug(spark, str(tmp_path)).collect()}
+    assert out == {1: "con", 2: None, 3: "unnamed", 4: "unnamed", 5: "lpt1", 6: "a-b"}

@@ -249,20 +249,24 @@ def normalize_skills(pages: DataFrame) -> DataFrame:
     Each ``## `` heading is a scene by the first keyword that it has (else REASON) and leads to the next; backticked
     words of a section are its tools, at most 20 over the document.
     """
-    section = F.split("body", r"(?m)^##\s+")
-    parts = pages.select("slug", F.posexplode(section).alias("seq", "part")).where("seq > 0")
-    title = F.trim(F.split("part", "\n")[0])
-    scene = F.coalesce(*(F.when(F.lower(title).rlike(w), F.lit(s)) for s, w in SCENE_WORDS), F.lit("REASON"))
-    tools = F.array_distinct(F.regexp_extract_all("part", F.lit(r"`([A-Za-z][\w./-]*)`"), F.lit(1)))
-    scenes = parts.select("slug", "seq", title.alias("title"), scene.alias("scene"), tools.alias("tools"))
-    row = F.struct("seq", F.concat_ws("#", "slug", F.concat(F.lit("s"), F.col("seq"))).alias("id"), "scene", F.col("title").alias("summary"), "tools")
-    grouped = scenes.groupBy("slug").agg(F.array_sort(F.collect_list(row)).alias("s"))
-    linked = F.transform("s", lambda x, i: F.struct(x["id"].alias("id"), x["scene"].alias("scene"), x["summary"].alias("summary"), x["tools"].alias("tools"), F.array_compact(F.array(F.try_element_at(F.col("s.id"), i + 2))).alias("transitions_to")))
+    def step(seq: Column) -> Column:
+        return F.concat_ws("#", "slug", F.concat(F.lit("s"), seq))
+
+    def scene(part: Column, i: Column, number: Column) -> Column:
+        title = F.trim(F.substring_index(part, "\n", 1))
+        kind = lambda low: F.coalesce(*(F.when(low.rlike(w), F.lit(s)) for s, w in SCENE_WORDS), F.lit("REASON"))
+        tools = F.array_distinct(F.regexp_extract_all(part, F.lit(r"`([A-Za-z][\w./-]*)`"), F.lit(1)))
+        following = F.array_compact(F.array(F.when(i + 1 < number, step(i + 2))))
+        return F.struct(step(i + 1).alias("id"), F.transform(F.array(F.lower(title)), kind)[0].alias("scene"), title.alias("summary"), tools.alias("tools"), following.alias("transitions_to"))
+
+    # Within the row: no page waits for another, nor is it dealt or joined again. An array of one binds what is split once.
+    parts = F.array(F.split("body", r"(?m)^##\s+"))
+    scenes = F.transform(parts, lambda s: F.when(F.size(s) > 1, F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda part, i: scene(part, i, F.size(s) - 1))))[0]
     text = F.lower(F.coalesce("body", F.lit("")))
     features = F.array_compact(F.array(*(F.when(text.rlike(w), F.lit(f)) for f, w in FLOW_WORDS)))
     intents = F.slice(F.transform(F.filter(F.split(F.coalesce("description", F.lit("")), r"[.;]\s*"), lambda x: F.trim(x) != ""), lambda x: F.substring(F.trim(x), 1, 200)), 1, 5)
-    heads = pages.select("slug", intents.alias("intents"), features.alias("features"), F.slice(F.array_distinct(F.regexp_extract_all("body", F.lit(r"`([A-Za-z][\w./-]*)`"), F.lit(1))), 1, 20).alias("dependencies"))
-    return heads.join(grouped.select("slug", linked.alias("scenes")), "slug", "left")
+    dependencies = F.slice(F.array_distinct(F.regexp_extract_all("body", F.lit(r"`([A-Za-z][\w./-]*)`"), F.lit(1))), 1, 20)
+    return pages.select("slug", intents.alias("intents"), features.alias("features"), dependencies.alias("dependencies"), scenes.alias("scenes"))
 
 
 def skill_stats(skills: DataFrame) -> DataFrame:

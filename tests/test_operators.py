@@ -267,6 +267,15 @@ def test_skill_pages(spark):
     assert [(s.scene, s.transitions_to) for s in r.scenes] == [("PREPARE", ["deploy#s2"]), ("ACT", ["deploy#s3"]), ("VERIFY", [])]
 
 
+def test_skill_pages_are_made_row_by_row(spark):
+    df = spark.createDataFrame([("a", "One", "## Setup\n## Other\n"), ("a", "Two", "## Check\n"), ("b", "Three", "no heading"), ("c", None, None)], "slug string, description string, body string")
+    skills = govern.normalize_skills(df)
+    out = {(r.slug, *r.intents): r.scenes and [(s.id, s.scene, s.transitions_to) for s in r.scenes] for r in skills.collect()}
+    # Pages of one name each keep their own scenes, and no page meets another.
+    assert out == {("a", "One"): [("a#s1", "PREPARE", ["a#s2"]), ("a#s2", "REASON", [])], ("a", "Two"): [("a#s1", "VERIFY", [])], ("b", "Three"): None, ("c",): None}
+    assert "Exchange" not in skills._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decay(spark):
     now = datetime(2026, 7, 24)
     rows = [("p1", "draft", 15), ("p2", "draft", 14), ("p3", "active", 91), ("p4", "active", 91), ("p5", "active", 50)]

@@ -148,9 +148,9 @@ def question_lifecycle(blocks: DataFrame, asked: DataFrame, now: Column) -> Data
 
 
 def pending_questions(blocks: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """Pending questions with a total order: voi desc, creation, id; ``place`` counts within a problem."""
+    """Pending questions with a total order: voi desc, creation, id, nulls last; ``place`` counts within a problem."""
     rows = blocks.join(lifecycle.where("lifecycle = 'pending'").select(*KEY), KEY, "left_semi")
-    order = Window.partitionBy("problem_id").orderBy(F.desc("voi"), "created_at", "block_id")
+    order = Window.partitionBy("problem_id").orderBy(F.desc("voi"), F.asc_nulls_last("created_at"), F.asc_nulls_last("block_id"))
     return rows.withColumn("place", F.row_number().over(order))
 
 

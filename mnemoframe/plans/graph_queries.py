@@ -73,12 +73,14 @@ life AS (SELECT q.*, CASE WHEN status = 'superseded' THEN 'answered' WHEN q.gap_
 
 
 def _questions(spark, sf_dir):
+    """Questions from views. The value is rounded as the SQL does, on the binary number: 0.29 / 200 times 10,000 is under
+    14.5, while Spark's round to four places takes the decimal 0.00145 for a half."""
     e = events(spark, sf_dir).where("event_type = 'view'")
     text = F.col("event_id").cast("string")
     return e.select(
         F.col("user_id").alias("problem_id"), text.alias("block_id"), F.lit("Question").alias("type"), F.col("ts").alias("created_at"),
         F.when(F.col("k") % 6 == 0, "superseded").otherwise("confirmed").alias("status"), F.when(F.col("k") % 6 == 0, (F.col("event_id") - 1).cast("string")).alias("superseded_by"),
-        F.when(F.col("k") % 4 != 1, text).otherwise("none").alias("gap_id"), F.round(F.col("value") / 200, 4).alias("voi"), F.concat(F.lit("b"), "user_id").alias("bundle_id"), F.lit("why?").alias("label"),
+        F.when(F.col("k") % 4 != 1, text).otherwise("none").alias("gap_id"), (F.round(F.col("value") / 200 * 10000) / 10000).alias("voi"), F.concat(F.lit("b"), "user_id").alias("bundle_id"), F.lit("why?").alias("label"),
     )
 
 

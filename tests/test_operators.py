@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as T
 from mnemoframe.operators import consolidate, flow, govern, graph, ledger, metrics, retrieval, router, sessions
+from mnemoframe.plans import graph_queries
 
 NOW = datetime(2026, 4, 28)
 
@@ -276,6 +277,15 @@ def test_skill_pages_are_made_row_by_row(spark):
     assert "Exchange" not in skills._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pending_questions_are_ordered_as_in_sql(spark, tmp_path):
+    # 0.29 / 200 is 0.0014 with four places on the binary number, and 0.27 / 200 is 0.0014 too.
+    rows = [(1, NOW.replace(year=2024, month=2, day=2), 0.29), (2, NOW.replace(year=2024, month=2, day=1), 0.27), (3, None, 0.27)]
+    events = [(i * 10, ts, 1, "view", value, '{"k": 2}') for i, ts, value in rows]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = graph_queries.t2_pending_questions(spark, str(tmp_path))
+    assert [r.block_id for r in out.orderBy("place").collect()] == ["20", "10", "30"]
+
+
 def test_decay(spark):
     now = datetime(2026, 7, 24)
     rows = [("p1", "draft", 15), ("p2", "draft", 14), ("p3", "active", 91), ("p4", "active", 91), ("p5", "active", 50)]

@@ -132,11 +132,15 @@ def st1_ingest(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT DISTINCT user_id, event_type, k % 10 AS k, epoch(ts)::BIGINT // 604800 AS week FROM ev")
 def st2_dedup(spark, sf_dir):
-    """Content comes again within a week, when it is dropped, and four weeks later, when it is new."""
+    """Content comes again within a week, when it is dropped, and four weeks later, when it is new, however far a micro-batch
+    reaches. Events without a time never leave the stream's watermark; they are of no week."""
     week = F.floor(F.unix_seconds("ts") / (7 * 86400))
     e = events(spark, sf_dir).select("ts", "user_id", "event_type", (F.col("k") % 10).alias("k"), week.alias("week"))
-    hashed = e.withColumn("hash", F.sha2(F.concat_ws("|", "user_id", "event_type", "k", F.col("week") % 4), 256))
-    return _drained(jobs.dedup(_stream(hashed))).select("user_id", "event_type", "k", "week")
+    # Named fields, so that no null lets two contents spell the same.
+    hashed = e.withColumn("hash", F.sha2(F.to_json(F.struct("user_id", "event_type", "k", (F.col("week") % 4).alias("turn"))), 256))
+    columns = ["user_id", "event_type", "k", "week"]
+    dated = _drained(jobs.dedup(_stream(hashed.where("ts IS NOT NULL")), period=F.col("week"))).select(columns)
+    return dated.unionByName(hashed.where("ts IS NULL").select(columns).distinct())
 
 
 STREAM_TURNS = (

@@ -38,9 +38,15 @@ def write_ledger(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("yyyy", "mm", "dd").trigger(availableNow=True).start()
 
 
-def dedup(events: DataFrame, ts: str = "ts", within: str = "7 days") -> DataFrame:
-    """The first event of each content hash within the watermark; state is bounded by it."""
-    return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(["hash"])
+def dedup(events: DataFrame, ts: str = "ts", within: str = "7 days", period: Column | None = None) -> DataFrame:
+    """The first event of each content hash within the watermark; state is bounded by it.
+
+    When a hash is forgotten depends on the micro-batches. With a ``period`` content counts anew in each of them, whatever
+    batches it came in; a period should be no longer than the watermark's delay.
+    """
+    if period is None:
+        return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(["hash"])
+    return events.withColumn("period", period).withWatermark(ts, within).dropDuplicatesWithinWatermark(["hash", "period"]).drop("period")
 
 
 def usage_daily(usage: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -187,3 +187,14 @@ def test_sessions_has_those_that_are_open_at_the_end(spark, tmp_path):
         expected += [(None if user is None else f"s{user}", a and str(a), b and str(b), n) for a, b, n in spans]
     out = [tuple(r) for r in stream_queries.st7_sessions(spark, str(tmp_path)).collect()]
     assert sorted(out, key=str) == sorted(expected, key=str)
+
+
+def test_dedup_does_not_depend_on_batches(spark, tmp_path):
+    """Five years of rows, so that one arrival holds many months, and rows without a time, a user or a number."""
+    times = [T0 + timedelta(days=d) for d in (0, 1, 27, 28, 29, 400, 1800)] + [None, None]
+    rows = [(i, ts, user, kind, 1.0, props) for i, (ts, (user, kind, props)) in enumerate((t, c) for t in times for c in ((1, "view", '{"k": 3}'), (None, "view", '{"k": 3}'), (1, "view", "{}"), (1, None, '{"k": 3}')))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    week = lambda ts: ts and int((ts - datetime(1970, 1, 1)).total_seconds() // 604800)
+    expected = {(user, kind, 3 if "3" in props else None, week(ts)) for _, ts, user, kind, _, props in rows}
+    out = [tuple(r) for r in stream_queries.st2_dedup(spark, str(tmp_path)).collect()]
+    assert len(out) == len(expected) and set(out) == expected

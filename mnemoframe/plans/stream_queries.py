@@ -157,7 +157,7 @@ def st3_close_turns(spark, sf_dir):
     """Turns that a later prompt, their size or seven days without a row close, as far as the watermark has come; the
     ordinals are those of w4, whatever order the rows come in."""
     view = F.col("event_type") == "view"
-    e = events(spark, sf_dir).select(F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.when(view, "prompt-submit").otherwise("tool-post").alias("stage"), F.when(~view, F.col("event_type")).alias("tool"))
+    e = events(spark, sf_dir).select(F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.when(view, "prompt-submit").otherwise("tool-post").alias("stage"), F.when(~view, F.col("event_type")).alias("tool")).where("session_id IS NOT NULL")
     with _stateful(spark):
         out = _drained(jobs.close_turns(_stream(e)))
     longs = [F.col(c).cast("long").alias(c) for c in ("turn_ordinal", "part", "n", "prompts")]
@@ -199,7 +199,7 @@ def st5_keep_latest(spark, sf_dir):
 SELECT 'i' || id AS id, CASE WHEN done THEN 'dequeued' ELSE 'expired' END AS outcome FROM i WHERE pending AND (done OR first_ts + INTERVAL 7 DAY <= {SEALED})""")
 def st6_expire_queue(spark, sf_dir):
     """An item's life is seven days from its first row; what comes later is a new item."""
-    log = _queue(spark, sf_dir).select(F.concat(F.lit("i"), "id").alias("id"), "tombstone", "ts")
+    log = _queue(spark, sf_dir).select(F.concat(F.lit("i"), "id").alias("id"), "tombstone", "ts").where("id IS NOT NULL")
     with _stateful(spark):
         return _drained(jobs.expire_queue(_stream(log)))
 

@@ -6,6 +6,7 @@ The stateful jobs use transformWithStateInPandas, which needs the RocksDB state
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -136,17 +137,23 @@ def drop_replaced(spark: SparkSession, path: str) -> int:
     return len(gone)
 
 
-class InOrder(StatefulProcessor):
-    """Rows of a key by event time, whatever micro-batches they came in.
+#: Groups of keys that have one state: a task's calls grow with these and the batches, not with the keys.
+BUCKETS = 512
+
 
-    Rows wait in state until the watermark passes them, when none before them can come any more; a timer at the earliest
-    one wakes the key. ``step`` then gets them in the order of (us, seq) and gives its output, its new state and the time
-    at which it wants to be woken without rows. So results depend on event times and the final watermark, not on batches.
-    State holds what came within the watermark's delay, and the key's own state.
+class InOrder(StatefulProcessor):
+    """Rows of each key by event time, whatever micro-batches they came in.
+
+    Keys are dealt into buckets, whose rows and states are kept and woken together, as a call for each key costs far more
+    than its rows do. Rows wait in state until the watermark passes them, when none before them can come any more; a timer
+    at the earliest one wakes the bucket. ``step`` then gets the rows of each key that has some, or wants to be woken, in
+    the order of (us, seq) and gives its output, its new state and the time at which it wants to be woken without rows. So
+    results depend on event times and the final watermark, not on batches. State holds what came within the watermark's
+    delay, and the keys' own states; a task holds those of one bucket.
     """
 
-    row_schema: str
-    state_schema: str
+    key: str
+    row_columns: tuple[str, ...]
     out_schema: str
 
     def step(self, key: Any, state: list | None, rows: list[tuple], until: int) -> tuple[list, list | None, int | None]:
@@ -155,8 +162,9 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.state = handle.getValueState("state", self.state_schema)
+        # Pickled lists of (key, us, seq, ...), one for each time that rows came, and of (key, state, wake-up time).
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.states = handle.getValueState("states", "states binary")
 
     def _frame(self, rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out_schema.split(", ")])
@@ -170,25 +178,38 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.row_schema.split(", ")]
-        fresh = [tuple(None if x is None or x != x else x for x in r) for batch in rows for r in batch[names].astype(object).itertuples(index=False)]
+        fresh = []
+        for batch in rows:
+            columns = [batch[c].astype(object) for c in (self.key, *self.row_columns)]
+            fresh += zip(*(c.where(c.notna(), None) for c in columns), strict=True)
         if fresh:
-            self.waiting.appendList(fresh)
-            self._wake(min(r[0] for r in fresh))
+            self.waiting.appendValue((pickle.dumps(fresh),))
+            self._wake(min(r[1] for r in fresh))
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        known = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = sorted((r for r in known if r[0] <= until), key=lambda r: r[:2]), [r for r in known if r[0] > until]
+        known = [r for (chunk,) in self.waiting.get() for r in pickle.loads(chunk)] if self.waiting.exists() else []
+        states = {k: (state, wake) for k, state, wake in pickle.loads(self.states.get()[0])} if self.states.exists() else {}
+        ready = {k: [] for k, (_, wake) in states.items() if wake <= until}
+        for r in known:
+            if r[1] <= until:
+                ready.setdefault(r[0], []).append(r[1:])
+        rest = [r for r in known if r[1] > until]
+        if len(rest) < len(known):
+            self.waiting.put([(pickle.dumps(rest),)]) if rest else self.waiting.clear()
+        found = []
+        for k, rows in ready.items():
+            out, state, wake = self.step((k,), states.pop(k, (None, None))[0], sorted(rows, key=lambda r: r[:2]), until)
+            found += out
+            if state:
+                states[k] = (list(state), wake)
         if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        out, state, wake = self.step(key, list(self.state.get()) if self.state.exists() else None, ready, until)
-        self.state.update(tuple(state)) if state else self.state.clear()
-        times = [r[0] for r in rest] + ([wake] if wake is not None else [])
+            self.states.update((pickle.dumps([(k, *s) for k, s in states.items()]),)) if states else self.states.clear()
+        times = [r[1] for r in rest] + [wake for _, wake in states.values()]
         if times:
             self._wake(max(min(times), until + 1), until // 1000)
-        yield self._frame(out)
+        yield self._frame(found)
 
     def close(self) -> None:
         pass
@@ -208,8 +229,7 @@ class TurnCloser(InOrder):
     size = 50
     silent_us = 7 * DAY_US
     forget_us = 365 * DAY_US
-    row_schema = "us long, seq long, stage string, tool string"
-    state_schema = "ordinal int, part int, n int, prompts int, tools string, last long, prompted boolean"
+    key, row_columns = "session_id", ("us", "seq", "stage", "tool")
     out_schema = TURN_SCHEMA
 
     def step(self, key, state, rows, until):
@@ -252,11 +272,16 @@ class TurnCloser(InOrder):
         return out, [ordinal, part, n, prompts, spelled(), last, prompted], last + (self.silent_us if n else self.forget_us)
 
 
-def close_turns(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def _in_order(rows: DataFrame, delay: str, processor: InOrder, schema: str, buckets: int) -> DataFrame:
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(processor.key), F.lit(buckets)))
+    return dealt.withWatermark("ts", delay).groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def close_turns(events: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Sealed turns of (session_id, seq, ts, stage, tool) events, which may come in any order within ``delay``; abandoned
     ones close by event time after 7 days."""
     rows = events.select("session_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("us"), "stage", "tool")
-    return rows.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(statefulProcessor=TurnCloser(), outputStructType=TURN_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return _in_order(rows, delay, TurnCloser(), TURN_SCHEMA, buckets)
 
 
 EXPIRY_SCHEMA = "id string, outcome string"
@@ -267,8 +292,7 @@ class QueueExpirer(InOrder):
     item of their own."""
 
     life_us = 7 * DAY_US
-    row_schema = "us long, seq long, tombstone boolean"
-    state_schema = "first long, pending boolean, done boolean"
+    key, row_columns = "id", ("us", "seq", "tombstone")
     out_schema = EXPIRY_SCHEMA
 
     def step(self, key, state, rows, until):
@@ -294,7 +318,7 @@ class QueueExpirer(InOrder):
         return (out, None, None) if first is None else (out, [first, pending, done], first + self.life_us)
 
 
-def expire_queue(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+def expire_queue(log: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """What became of each item of (id, tombstone, ts), whose rows may come in any order within ``delay``."""
     rows = log.select("id", "tombstone", "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("long").alias("seq"))
-    return rows.withWatermark("ts", delay).groupBy("id").transformWithStateInPandas(statefulProcessor=QueueExpirer(), outputStructType=EXPIRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return _in_order(rows, delay, QueueExpirer(), EXPIRY_SCHEMA, buckets)

@@ -198,3 +198,14 @@ def test_dedup_does_not_depend_on_batches(spark, tmp_path):
     expected = {(user, kind, 3 if "3" in props else None, week(ts)) for _, ts, user, kind, _, props in rows}
     out = [tuple(r) for r in stream_queries.st2_dedup(spark, str(tmp_path)).collect()]
     assert len(out) == len(expected) and set(out) == expected
+
+
+def test_keys_of_a_bucket_keep_their_own_states(spark, tmp_path):
+    day = timedelta(days=1)
+    rows = [[(f"i{i}", i % 3 == 0, T0 + timedelta(minutes=i)) for i in range(40)], [(f"i{i}", i % 2 == 0, T0 + day + timedelta(minutes=i)) for i in range(40)], [("i1", False, T0 + 20 * day)], [("z", False, T0 + 40 * day)]]
+    df = stream(spark, tmp_path, rows, "id string, tombstone boolean, ts timestamp")
+    expired = jobs.expire_queue(df, buckets=2)
+    # Two groups are called in a batch, not forty.
+    assert "bucket" in expired._jdf.queryExecution().analyzed().toString()
+    expected = [(f"i{i}", "dequeued" if (i % 3 == 0) or (i % 2 == 0) else "expired") for i in range(40) if i % 6] + [("i1", "expired")]
+    assert sorted((r.id, r.outcome) for r in run(expired, "buckets")) == sorted(expected)

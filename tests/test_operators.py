@@ -346,3 +346,22 @@ def test_similar_texts_against_all_pairs(spark):
     want = {(i, j) for i, a in enumerate(counts) for j, b in enumerate(counts) if i < j and sum(n * b[w] for w, n in a.items()) / (norm(a) * norm(b)) >= 0.9 - 1e-9}
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "")], "id long, text string")
     assert {(r.a, r.b) for r in consolidate.similar_pairs(df).collect()} == want and len(want) > 20
+
+
+def test_similar_pairs_meet_within_tasks(spark):
+    """Several blocks, and groups of which none meets another, give all pairs; no pair that is not found is dealt."""
+    rng = random.Random(5)
+    base = [[f"word{rng.randrange(300)}" for _ in range(30)] for _ in range(12)]
+    texts = [" ".join([*words[: 30 - cut], *(f"own{i}x{j}x{cut}" for j in range(cut))]) for i, words in enumerate(base) for cut in (0, 1, 2, 9)]
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)]
+
+    def cosine(x, y):
+        x, y = Counter(x.split()), Counter(y.split())
+        return sum(n * y[w] for w, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+
+    want = {(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and cosine(x, y) >= 0.9 - 1e-9}
+    df = spark.createDataFrame(rows, "id long, text string, grp int")
+    found = consolidate.similar_pairs(df.drop("grp"), words=300)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want) and len(want) > 12
+    grouped = consolidate.similar_pairs(df, words=300).collect()
+    assert sorted((r.a, r.b) for r in grouped) == sorted((a, b) for a, b in want if a % 2 == b % 2)
